@@ -83,6 +83,15 @@ def space_words(text: str) -> list[str]:
     return [w for w in _SPACES.split(text) if w] if _ODD.search(text) else text.split()
 
 
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def ascii_words(text: str) -> list[str]:
+    """Words between ASCII spaces: matches of ``[^\\x20\\x09-\\x0D]+``."""
+    return _WORD.findall(text) if _ODD_SPACE.search(text) else text.split()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that all executors share.
 

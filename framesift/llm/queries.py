@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, tiff, warc
+from framesift.llm import bpe, host_rules, packing, tiff, warc
 from framesift.llm.common import shared_dir, table
 
 
@@ -31,6 +31,16 @@ def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    counts = [F.col(f"_stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select("doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
@@ -51,11 +61,42 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_media, op5_byte_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_tiff_media, op2_best_fit_packing, op3_host_rules, op5_byte_bpe, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": _OP10}
+    return {"op3_host_rules": _OP3, "op10_warc": _OP10}
+
+
+_OP3 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+w AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+t AS (SELECT rid, i, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w, w1, w2) AS times FROM t WHERE w2 IS NOT NULL),
+r AS (SELECT rid, count(DISTINCT i + s) AS n FROM g, (SELECT unnest([0, 1, 2]) AS s) WHERE times > 1 GROUP BY rid),
+m AS (
+  SELECT rid, doc_id, host, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN r USING (rid)),
+x AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 50 * n_lines OR 100 * n_repeat_words > 40 * n_words AS soft_failed
+  FROM m),
+h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE base_failed OR soft_failed) AS DOUBLE) AS f FROM x GROUP BY host),
+a AS (SELECT sum(n) AS n, sum(f) / sum(n) AS mu, sum(n * n) AS s, count(*) - 1 AS h1, sum(f * f / n) AS q FROM h),
+b AS (SELECT mu, CASE WHEN mu > 0 AND mu < 1 AND n - s / n - h1 > 0 THEN ((q - n * mu * mu) / (mu * (1 - mu)) - h1) / (n - s / n - h1) ELSE 0 END AS raw FROM a),
+c AS (SELECT mu, CASE WHEN mu > 0 AND mu < 1 THEN 1 / least(0.999, greatest(0.0001, raw)) - 1 ELSE 1 END AS k FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (soft_failed AND (f + mu * k) / (n + k) > 0.1) AS kept
+FROM x JOIN h USING (host), c
+"""
 
 
 _OP10 = """
