@@ -62,6 +62,13 @@ def whole_texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def text_groups(batch: pa.RecordBatch, name: str = "text", rows: int = 256) -> Iterator[tuple[int, list[str]]]:
+    """First row and whole texts (null: empty) of a few rows of a batch at a time, so that only those become strings."""
+    column = batch.column(name)
+    for start in range(0, batch.num_rows, rows):
+        yield start, [t or "" for t in column.slice(start, rows).to_pylist()]
+
+
 def cut_points(text: str, size: int) -> Iterator[str]:
     """Cut a text into runs of about ``size`` characters between a non-space and a space.
 

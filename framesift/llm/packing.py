@@ -12,6 +12,7 @@ occur; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from bisect import bisect_right
 
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import arrow_map, checkpoint, cut_points, space_words, whole_texts
+from framesift.llm.common import arrow_map, checkpoint, cut_points, space_words, text_groups
 
 #: Characters tokenized at a time, and words that a task remembers.
-RUN_CHARS, CACHE = 1 << 20, 1 << 20
+RUN_CHARS, CACHE = 1 << 20, 300_000
 #: Pieces of a block, and the fill below which a bin is dissolved for the next round.
 BLOCK, OPEN_BELOW = 1 << 15, 0.98
 #: Bins in a row that the search fails to empty before it ends.
@@ -32,10 +33,10 @@ PATIENCE = 12
 
 
 class WordIds:
-    """Token ids of texts as little-endian bytes; each distinct word goes to the tokenizer once in a task.
+    """Token ids of texts as little-endian bytes; a worker process remembers the ids of words it has met.
 
     The vocabulary's pre-tokenizer never matches across white space and its normalizer doesn't
-    look past it, so a text's ids are those of its words.
+    look past it, so a text's ids are those of its words, and new words are encoded many to a call.
     """
 
     def __init__(self, vocabulary: str):
@@ -45,20 +46,33 @@ class WordIds:
         self.model.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        parts = []
-        for run in cut_points(text, RUN_CHARS):
-            words = space_words(run)
-            try:
-                parts.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                new = [w for w in set(words) if w not in self.known]
-                for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-                    self.known[w] = np.array(e.ids, "<u4").tobytes()
-                parts.append(b"".join(map(self.known.__getitem__, words)))
-        return b"".join(parts)
+    def learn(self, distinct: set[str]) -> None:
+        if len(self.known) > CACHE:
+            self.known = {w: self.known[w] for w in distinct & self.known.keys()}
+        new = list(distinct - self.known.keys())
+        for k in range(0, len(new), 1000):
+            words = new[k : k + 1000]
+            code = self.model.encode(" ".join(words), add_special_tokens=False)
+            ids = np.array(code.ids, "<u4")
+            starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+            # tokens come in the order of the text, each with the place where it starts
+            cuts = np.searchsorted(np.fromiter((a for a, _ in code.offsets), np.int64, len(ids)), starts)
+            raw = ids.tobytes()
+            for w, a, b in zip(words, cuts.tolist(), cuts[1:].tolist()):
+                self.known[w] = raw[4 * a : 4 * b]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        runs = [[space_words(run) for run in cut_points(t, RUN_CHARS)] for t in texts]
+        self.learn(set().union(*(words for r in runs for words in r)))
+        known = self.known.__getitem__
+        return [b"".join(b"".join(map(known, words)) for words in r) for r in runs]
+
+
+@functools.lru_cache(maxsize=2)
+def word_ids(vocabulary: str) -> WordIds:
+    """One encoder for a worker process."""
+    return WordIds(vocabulary)
 
 
 def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -67,17 +81,17 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def make():
-        tokens, last = WordIds(vocabulary), np.array([end_id], "<u4").tobytes()
+        tokens, last = word_ids(vocabulary), np.array([end_id], "<u4").tobytes()
 
         def work(batch: pa.RecordBatch):
-            rows, at = [], []
-            for k, text in enumerate(whole_texts(batch)):
-                ids = tokens.ids(text) + last
-                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[start : start + 4 * capacity]
-                    rows.append((piece, start // 4, len(part) // 4, zlib.crc32(part)))
-                    at.append(k)
-            if rows:
+            for first, texts in text_groups(batch):
+                rows, at = [], []
+                for k, ids in enumerate(tokens.ids(texts), first):
+                    ids += last
+                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[start : start + 4 * capacity]
+                        rows.append((piece, start // 4, len(part) // 4, zlib.crc32(part)))
+                        at.append(k)
                 yield {"doc_id": batch.column("key").take(pa.array(at))} | dict(zip(("piece", "start", "length", "ids_crc32"), zip(*rows)))
 
         return work

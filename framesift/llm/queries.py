@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, host_rules, packing, tiff, warc
-from framesift.llm.common import shared_dir, table
+from framesift.llm import bpe, host_rules, langid, packing, tiff, warc
+from framesift.llm.common import id_split, shared_dir, table
 
 
 def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = public_toke
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.fit(documents, id_split("doc_id", 3) != 1)
+    found = langid.predict(documents, model)
+    return found.select("doc_id", F.coalesce(id_split("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -61,7 +68,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_media, op2_best_fit_packing, op3_host_rules, op5_byte_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_tiff_media, op2_best_fit_packing, op3_host_rules, op5_byte_bpe, op7_language_id, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
