@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, host_rules, langid, packing, tiff, toxicity, warc
+from framesift.llm import bpe, host_rules, langid, packing, rule_ensemble, tiff, toxicity, warc
 from framesift.llm.common import id_split, shared_dir, table
 
 
@@ -45,6 +45,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = public_toke
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_ensemble.fit(documents, table(spark, sf_dir, "labels"), id_split("doc_id", 4) != 2)
+    return _scored(rule_ensemble.with_score(documents, model).withColumnRenamed("_score", "score"), 0.7)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = langid.fit(documents, id_split("doc_id", 3) != 1)
@@ -79,7 +85,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_media, op2_best_fit_packing, op3_host_rules, op5_byte_bpe, op7_language_id, op9_toxicity, op10_warc)}
+    return {f.__name__: f for f in (op1_tiff_media, op2_best_fit_packing, op3_host_rules, op5_byte_bpe, op6_rule_ensemble, op7_language_id, op9_toxicity, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
