@@ -13,19 +13,25 @@ occur; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import arrow_map, checkpoint, cut_points, space_words, text_groups
+from framesift.llm.bpe import byte_table
+from framesift.llm.common import arrow_map, checkpoint, cut_points, text_groups
 
-#: Characters tokenized at a time, and words that a task remembers.
-RUN_CHARS, CACHE = 1 << 20, 300_000
+#: Characters tokenized at a time, and pieces that a worker process remembers.
+RUN_CHARS, CACHE = 1 << 18, 200_000
+_LATER = re.compile("[^\x00-\u052f]")
 #: Pieces of a block, and the fill below which a bin is dissolved for the next round.
 BLOCK, OPEN_BELOW = 1 << 15, 0.98
 #: Bins in a row that the search fails to empty before it ends.
@@ -33,40 +39,49 @@ PATIENCE = 12
 
 
 class WordIds:
-    """Token ids of texts as little-endian bytes; a worker process remembers the ids of words it has met.
+    """Token ids of texts as little-endian bytes; a worker process remembers the ids of pieces it has met.
 
-    The vocabulary's pre-tokenizer never matches across white space and its normalizer doesn't
-    look past it, so a text's ids are those of its words, and new words are encoded many to a call.
+    A text is normalized, split by the pattern in the vocabulary file, and each new piece goes to
+    the library's model byte by byte as printable characters. Texts with characters from U+0530 on,
+    whose classes depend on the Unicode version, are encoded by the library alone, run by run.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(vocabulary)
-        self.model.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(vocabulary)
+        self.whole.encode_special_tokens = True
+        self.model, self.normalizer = self.whole.model, self.whole.normalizer
+        split = json.loads(self.whole.pre_tokenizer.__getstate__())["pretokenizers"][0]
+        self.pieces = regex.compile(split["pattern"]["Regex"]).findall
+        self.printable = {b: c for c, b in byte_table().items()}
         self.known: dict[str, bytes] = {}
 
-    def learn(self, distinct: set[str]) -> None:
+    def learn(self, pieces: list[str]) -> None:
         if len(self.known) > CACHE:
-            self.known = {w: self.known[w] for w in distinct & self.known.keys()}
-        new = list(distinct - self.known.keys())
-        for k in range(0, len(new), 1000):
-            words = new[k : k + 1000]
-            code = self.model.encode(" ".join(words), add_special_tokens=False)
-            ids = np.array(code.ids, "<u4")
-            starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-            # tokens come in the order of the text, each with the place where it starts
-            cuts = np.searchsorted(np.fromiter((a for a, _ in code.offsets), np.int64, len(ids)), starts)
-            raw = ids.tobytes()
-            for w, a, b in zip(words, cuts.tolist(), cuts[1:].tolist()):
-                self.known[w] = raw[4 * a : 4 * b]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        runs = [[space_words(run) for run in cut_points(t, RUN_CHARS)] for t in texts]
-        self.learn(set().union(*(words for r in runs for words in r)))
-        known = self.known.__getitem__
-        return [b"".join(b"".join(map(known, words)) for words in r) for r in runs]
+            self.known = {p: self.known[p] for p in set(pieces) if p in self.known}
+        tokenize, table, known = self.model.tokenize, self.printable, self.known
+        for piece in [p for p in set(pieces) if p not in known]:
+            tokens = tokenize(piece.encode().decode("latin-1").translate(table))
+            known[piece] = array("I", [t.id for t in tokens]).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        try:
+            run.encode("latin-1")
+            plain = run.lower()  # such characters are in normal form already
+        except UnicodeEncodeError:
+            if _LATER.search(run):
+                return np.array(self.whole.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+            plain = self.normalizer.normalize_str(run)
+        pieces = self.pieces(plain)
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            self.learn(pieces)
+            return b"".join(map(self.known.__getitem__, pieces))
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self._run, cut_points(text, RUN_CHARS)))
 
 
 @functools.lru_cache(maxsize=2)
@@ -86,7 +101,7 @@ def pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         def work(batch: pa.RecordBatch):
             for first, texts in text_groups(batch):
                 rows, at = [], []
-                for k, ids in enumerate(tokens.ids(texts), first):
+                for k, ids in enumerate(map(tokens.ids, texts), first):
                     ids += last
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start : start + 4 * capacity]
