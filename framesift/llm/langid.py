@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framesift.llm.common import arrow_map, checkpoint
+from framesift.llm.common import arrow_map, checkpoint, text_groups
 
 UNKNOWN = "und"
 #: n-gram lengths, and bits of an n-gram's number: n-grams are hashed to this many bits.
@@ -32,7 +32,7 @@ LENGTHS, BITS = (1, 2, 3, 4), 18
 class Settings:
     """Sample rows and landmarks of each language (``landmarks`` in all, at least 4 each), ridge penalty and score sharpness."""
 
-    sample: int = 2000
+    sample: int = 1000
     landmarks: int = 128
     ridge: float = 1e-3
     sharpness: float = 6.0
@@ -89,8 +89,9 @@ def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "t
         grams = Grams()
 
         def work(batch: pa.RecordBatch):
-            found = [grams.present(t).astype(np.int32) for t in batch.column("text").to_pylist()]
-            yield {"lang": batch.column("lang"), "n": batch.column("n"), "grams": found}
+            for start, texts in text_groups(batch):
+                found = [grams.present(t).astype(np.int32) for t in texts]
+                yield {"lang": batch.column("lang").slice(start, len(texts)), "n": batch.column("n").slice(start, len(texts)), "grams": found}
 
         return work
 
@@ -100,7 +101,7 @@ def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "t
         return Model([], np.full(1 << BITS, -1, np.int32), np.zeros((0, 0)), np.zeros(0), settings.sharpness)
     each = max(4, settings.landmarks // len(languages))
     first = sample.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("n"))).where(F.col("place") <= each)
-    marks = [np.array(r.grams) for r in first.select("grams").collect()]
+    marks = [np.array(r.grams, np.int32) for r in first.select("grams").toLocalIterator()]
     known = np.unique(np.concatenate(marks))
     row = np.full(1 << BITS, -1, np.int32)
     row[known] = np.arange(len(known))
@@ -118,9 +119,11 @@ def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "t
         row, presence, half, number = shared.value
 
         def work(batch: pa.RecordBatch):
+            lists = batch.column("grams")
+            values, cuts = np.asarray(lists.values), lists.offsets.to_pylist()
             # sums over the batch of the outer products of features, and of features and +-1 targets, by language
             for name in set(langs := batch.column("lang").to_pylist()):
-                own = [np.array(g) for g, x in zip(batch.column("grams").to_pylist(), langs) if x == name]
+                own = [values[a:b] for a, b, x in zip(cuts, cuts[1:], langs) if x == name]
                 near = np.stack([presence[r[r >= 0]].sum(axis=0, dtype=np.float64) * len(g) ** -0.5 for g in own for r in (row[g],)])
                 features = np.hstack([near @ half, np.ones((len(own), 1))])
                 yield {"lang": [name], "n": [len(own)], "outer": [(features.T @ features).ravel()], "total": [features.sum(axis=0)]}
@@ -149,10 +152,10 @@ def predict(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     def make():
         grams, model = Grams(), shared.value
 
-        def work(batch: pa.RecordBatch):
+        def guess(texts: list[str]) -> tuple[list[str], np.ndarray]:
             sizes, rows = [], []
-            for text in batch.column("_text").to_pylist():
-                found = grams.present(text or "")
+            for text in texts:
+                found = grams.present(text)
                 sizes.append(len(found))
                 r = model.row[found]
                 rows.append(r[r >= 0])
@@ -168,7 +171,12 @@ def predict(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
                 share = odds[np.arange(len(best)), best] / odds.sum(axis=1)
                 names = [model.languages[b] if n else UNKNOWN for b, n in zip(best, sizes)]
                 scores = np.where(np.array(sizes) > 0, share, 0.0)
-            yield {c: batch.column(f"_keep{i}") for i, c in enumerate(keep)} | {"lang_pred": names, "score": scores}
+            return names, scores
+
+        def work(batch: pa.RecordBatch):
+            for start, texts in text_groups(batch, "_text"):
+                names, scores = guess(texts)
+                yield {c: batch.column(f"_keep{i}").slice(start, len(texts)) for i, c in enumerate(keep)} | {"lang_pred": names, "score": scores}
 
         return work
 
