@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding over Arrow batches.
 
-Each match of the pre-token pattern is encoded by the ``tokenizers`` library, whose vocabulary
-writes every byte as one printable character. Decoding reverses that table: a token's characters
+Each match of the pre-token pattern is encoded by the model of the ``tokenizers`` library, whose
+vocabulary writes every byte as one printable character; a worker process remembers the ids of
+pieces it has met. Decoding reverses that table: a token's characters
 give its bytes, so tokens that hold only a part of a UTF-8 character still decode, and offsets map
 such a token to the character that its bytes belong to.
 
@@ -10,7 +11,9 @@ Null texts count as empty; repeated rows give repeated results; an empty table g
 
 from __future__ import annotations
 
+import functools
 import hashlib
+from array import array
 from collections.abc import Iterable
 from itertools import chain
 
@@ -19,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from framesift.llm.common import arrow_map, cut_points, whole_texts
+from framesift.llm.common import arrow_map, cut_points, text_groups
 
 #: Characters of a text that are encoded at a time, and pre-tokens that a task remembers.
-RUN_CHARS, CACHE = 1 << 20, 1 << 19
+RUN_CHARS, CACHE = 1 << 18, 200_000
 
 
 def byte_table() -> dict[str, int]:
@@ -33,42 +36,42 @@ def byte_table() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Encoder and decoder of one vocabulary file; a task makes its own."""
+    """Encoder and decoder of one vocabulary file; see ``byte_bpe`` for the one of a worker process."""
 
     def __init__(self, vocabulary: str, pattern: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(vocabulary)
-        self.model.encode_special_tokens = True
-        # the pattern is applied here, so the library takes each piece as it is
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        whole = Tokenizer.from_file(vocabulary)
+        self.model = whole.model
         self.pieces = regex.compile(pattern).findall
         reverse = byte_table()
-        size = self.model.get_vocab_size(with_added_tokens=True)
-        names = [self.model.id_to_token(i) or "" for i in range(size)]
-        special = {i for i, t in self.model.get_added_tokens_decoder().items()} if hasattr(self.model, "get_added_tokens_decoder") else set()
+        self.printable = {b: c for c, b in reverse.items()}
+        special = {i for i in whole.get_added_tokens_decoder()}
+        names = [whole.id_to_token(i) or "" for i in range(whole.get_vocab_size(with_added_tokens=True))]
         self.bytes_of = [t.encode() if i in special else bytes(reverse[c] for c in t) for i, t in enumerate(names)]
-        self.decimal = [str(i) for i in range(size)]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.decimal = [str(i) for i in range(len(names))]
+        self.known: dict[str, bytes] = {}
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode, in one call of the library, the pieces that this task has not met yet."""
+    def learn(self, pieces: list[str]) -> None:
+        """Give the library's model the pieces that aren't remembered yet, byte by byte as printable characters."""
+        distinct = set(pieces)
         if len(self.known) > CACHE:
-            self.known.clear()
-        new = [p for p in set(pieces) if p not in self.known]
-        for p, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = tuple(e.ids)
+            self.known = {p: self.known[p] for p in distinct if p in self.known}
+        tokenize, table = self.model.tokenize, self.printable
+        for p in [p for p in distinct if p not in self.known]:
+            tokens = tokenize(p.encode().decode("latin-1").translate(table))
+            self.known[p] = array("I", [t.id for t in tokens]).tobytes()
 
     def encode(self, text: str) -> Iterable[list[int]]:
         """The text's ids, run after run."""
         for run in cut_points(text, RUN_CHARS):
             pieces = self.pieces(run)
             try:
-                found = list(map(self.known.__getitem__, pieces))
+                found = b"".join(map(self.known.__getitem__, pieces))
             except KeyError:
                 self.learn(pieces)
-                found = list(map(self.known.__getitem__, pieces))
-            yield list(chain.from_iterable(found))
+                found = b"".join(map(self.known.__getitem__, pieces))
+            yield array("I", found).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes that the ids stand for; characters split over tokens come together again."""
@@ -83,18 +86,24 @@ class ByteBpe:
         return at[ends - lengths], at[ends - 1] + 1
 
 
+@functools.lru_cache(maxsize=2)
+def byte_bpe(vocabulary: str, pattern: str) -> ByteBpe:
+    """One encoder for a worker process, whose tasks share what it remembers."""
+    return ByteBpe(vocabulary, pattern)
+
+
 def encode_ids(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id column, ids, and start and end of every token in characters."""
     schema = f"`{id_col}` {_type(df, id_col)}, ids array<int>, starts array<int>, ends array<int>"
 
     def make():
-        bpe = ByteBpe(vocabulary, pattern)
+        bpe = byte_bpe(vocabulary, pattern)
 
         def work(batch: pa.RecordBatch):
-            for key, text in zip(batch.column("key"), whole_texts(batch)):
-                ids = list(chain.from_iterable(bpe.encode(text)))
-                starts, ends = bpe.offsets(text, ids) if ids else ([], [])
-                yield {id_col: [key.as_py()], "ids": [ids], "starts": [starts], "ends": [ends]}
+            for start, texts in text_groups(batch):
+                ids = [list(chain.from_iterable(bpe.encode(t))) for t in texts]
+                starts, ends = zip(*(bpe.offsets(t, i) if i else ([], []) for t, i in zip(texts, ids)))
+                yield {id_col: batch.column("key").slice(start, len(texts)), "ids": ids, "starts": starts, "ends": ends}
 
         return work
 
@@ -106,7 +115,7 @@ def decode_ids(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
     schema = f"`{id_col}` {_type(df, id_col)}, content binary"
 
     def make():
-        bpe = ByteBpe(vocabulary, pattern)
+        bpe = byte_bpe(vocabulary, pattern)
 
         def work(batch: pa.RecordBatch):
             yield {id_col: batch.column("key"), "content": [bpe.decode(i or []) for i in batch.column("ids").to_pylist()]}
@@ -124,7 +133,7 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
     schema = f"`{id_col}` {_type(df, id_col)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
     def make():
-        bpe = ByteBpe(vocabulary, pattern)
+        bpe = byte_bpe(vocabulary, pattern)
 
         def digest(text: str) -> tuple[int, str, str]:
             n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
@@ -136,8 +145,9 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
             return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
         def work(batch: pa.RecordBatch):
-            n, a, b = zip(*map(digest, whole_texts(batch))) if batch.num_rows else ((), (), ())
-            yield {id_col: batch.column("key"), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
+            for start, texts in text_groups(batch):
+                n, a, b = zip(*map(digest, texts))
+                yield {id_col: batch.column("key").slice(start, len(texts)), "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
 
         return work
 
