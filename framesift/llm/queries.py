@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, host_rules, langid, packing, rule_ensemble, tiff, toxicity, warc
+from framesift.llm import bpe, host_rules, jaccard_join, langid, packing, rule_ensemble, tiff, toxicity, warc
 from framesift.llm.common import id_split, shared_dir, table
 
 
@@ -58,6 +58,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(id_split("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), settings=jaccard_join.Settings(words=3, percent=90))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"), id_split("doc_id", 4) != 2)
@@ -85,7 +89,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_media, op2_best_fit_packing, op3_host_rules, op5_byte_bpe, op6_rule_ensemble, op7_language_id, op9_toxicity, op10_warc)}
+    return {f.__name__: f for f in (op1_tiff_media, op2_best_fit_packing, op3_host_rules, op5_byte_bpe, op6_rule_ensemble, op7_language_id, op8_jaccard_join, op9_toxicity, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
