@@ -34,10 +34,11 @@ LONGEST = 24
 BITS, DAMPING = 16, 0.6
 STEPS = [(a, b) for a in range(1, 4) for b in range(1, 4) if a + b <= 5]
 #: Kernel values below this count as 0.
-FLOOR = 0.4
+FLOOR = 0.55
 #: Words that a worker process remembers.
 CACHE = 400_000
 
+_MARKS = re.compile(r"[\W_]+")
 _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -58,11 +59,15 @@ def normal(word: str) -> str:
 
 
 def windows(unit: str) -> list[str]:
-    """The unit with marks of its start and end, in windows of bounded length."""
-    if len(unit) <= LONGEST:
-        return [f"\x02{unit}\x03"]
-    step = LONGEST // 2
-    return [f"\x02{unit[i : i + LONGEST]}\x03" for i in range(0, len(unit) - step, step)]
+    """The unit with marks of its start and end, in windows of bounded length; with inner marks, also without them."""
+    found = []
+    for u in {unit: 0, _MARKS.sub("", unit): 0}:
+        if len(u) <= LONGEST:
+            found.append(f"\x02{u}\x03")
+        else:
+            step = LONGEST // 2
+            found += [f"\x02{u[i : i + LONGEST]}\x03" for i in range(0, len(u) - step, step)]
+    return found
 
 
 def subsequences(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,9 +95,12 @@ class Landmarks:
 
     units: list[str]
     row: np.ndarray = field(init=False)
+    cuts: np.ndarray = field(init=False)
+    marks: np.ndarray = field(init=False)
     weights: np.ndarray = field(init=False)
 
     def __post_init__(self):
+        # for each subsequence of a landmark (row) the landmarks that have it and their normalised weights
         parts = [windows(u)[0] for u in self.units]
         who, which, weight = subsequences(parts) if parts else (np.empty(0, np.int64),) * 3
         seen = np.unique(which)
@@ -100,7 +108,10 @@ class Landmarks:
         self.row[seen] = np.arange(len(seen))
         dense = np.zeros((len(seen), len(parts)))
         np.add.at(dense, (self.row[which], who), weight)
-        self.weights = (dense / np.maximum(np.sqrt((dense**2).sum(axis=0)), 1e-12)).astype(np.float32)
+        dense /= np.maximum(np.sqrt((dense**2).sum(axis=0)), 1e-12)
+        row, self.marks = dense.nonzero()
+        self.weights = dense[row, self.marks]
+        self.cuts = np.searchsorted(row, np.arange(len(seen) + 1))
 
     def kernel(self, units: list[str]) -> dict[int, np.ndarray]:
         """For the units (by place) with any kernel value of FLOOR or more: their values, smaller ones as 0."""
@@ -119,19 +130,22 @@ class Landmarks:
         weight = np.add.reduceat(weight, first.nonzero()[0]) if len(key) else weight
         key = key[first]
         who, row = key >> BITS, self.row[key & ((1 << BITS) - 1)]
-        norms = np.bincount(who, weight**2, len(parts))
+        norms = np.maximum(np.bincount(who, weight**2, len(parts)), 1e-12)
         # what a part has on the landmarks' subsequences bounds all its kernel values
-        bound = np.bincount(who[row >= 0], weight[row >= 0] ** 2, len(parts)) / np.maximum(norms, 1e-12)
+        bound = np.bincount(who[row >= 0], weight[row >= 0] ** 2, len(parts)) / norms
         near = (bound >= FLOOR**2)[who] & (row >= 0)
         who, row, weight = who[near], row[near], weight[near]
+        # a product of the parts' and the landmarks' sparse rows
+        n = self.cuts[row + 1] - self.cuts[row]
+        entry = np.repeat(np.arange(len(row)), n)
+        place = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.cuts[row], n)
+        wide = len(self.units)
+        values = np.bincount(who[entry] * wide + self.marks[place], weight[entry] * self.weights[place], len(parts) * wide).reshape(-1, wide) / np.sqrt(norms)[:, None]
+        values[values < FLOOR] = 0
         found: dict[int, np.ndarray] = {}
-        starts = np.concatenate(([0], (np.diff(who) != 0).nonzero()[0] + 1)) if len(who) else np.empty(0, np.int64)
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(who)]):
-            values = weight[a:b] @ self.weights[row[a:b]] / np.sqrt(norms[who[a]])
-            values = np.where(values >= FLOOR, values, 0)
-            if values.any():
-                k = owner[who[a]]
-                found[k] = np.maximum(found[k], values) if k in found else values
+        for p in values.any(axis=1).nonzero()[0].tolist():
+            k, v = owner[p], values[p].astype(np.float32)
+            found[k] = np.maximum(found[k], v) if k in found else v
         return found
 
 
@@ -146,8 +160,8 @@ class Reader:
         if len(self.known) > CACHE:
             self.known = {w: v for w, v in self.known.items() if v is not None and not isinstance(v, int)}
         new = [w for w in words if w not in self.known]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        for k in range(0, len(new), 10_000):
+            part = new[k : k + 10_000]
             units: dict[str, int] = {}
             at = [units.setdefault(u, len(units)) if len(u := normal(w)) > 2 else -1 for w in part]
             near = self.landmarks.kernel(list(units))
