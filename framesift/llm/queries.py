@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, host_rules, jaccard_join, langid, packing, rule_ensemble, tiff, toxicity, warc
+from framesift.llm import bpe, host_rules, jaccard_join, langid, packing, rule_ensemble, tiff, token_edits, toxicity, warc
 from framesift.llm.common import id_split, shared_dir, table
 
 
@@ -41,6 +41,14 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
+def op4_edit_counts(spark: SparkSession, sf_dir: str, ranks: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
+    """Tokens of every document before and after four edits that follow from its id and length."""
+    state = token_edits.build(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    state = state.withColumnRenamed("n_tokens", "n_tokens_before").withColumn("edits", token_edits.sample_edits())
+    done = token_edits.apply_edits(state, ranks, public_tokenizers.PATTERN, keep=("doc_id", "n_tokens_before"))
+    return done.select("doc_id", "n_tokens_before", "n_tokens", F.length("text").cast("bigint").alias("n_chars"), "encoded_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
@@ -89,7 +97,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_media, op2_best_fit_packing, op3_host_rules, op5_byte_bpe, op6_rule_ensemble, op7_language_id, op8_jaccard_join, op9_toxicity, op10_warc)}
+    return {f.__name__: f for f in (op1_tiff_media, op2_best_fit_packing, op3_host_rules, op4_edit_counts, op5_byte_bpe, op6_rule_ensemble, op7_language_id, op8_jaccard_join, op9_toxicity, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
