@@ -137,33 +137,36 @@ def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, settings: S
 
 def _survivors(signatures: DataFrame, settings: Settings) -> DataFrame:
     """node and one id of each distinct set that shares enough of its first prefix with other rows."""
+    # token rows carry a short row number instead of the set's number, which wouldn't compress
     rows = signatures.where("n > 0").withColumn("row", F.monotonically_increasing_id())
-    tokens = rows.select("row", "node", "n", F.explode("prefix").alias("token"))
+    tokens = rows.select("row", "n", F.explode("prefix").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
-    shared = tokens.join(often, "token").groupBy("row", "node", "n").agg(F.count("*").alias("shared"))
+    shared = tokens.join(often, "token").groupBy("row", "n").agg(F.count("*").alias("shared"))
     kept = shared.where(F.col("shared") >= settings.first_shared(F.col("n"))).select("row")
     ids = rows.select("row", "id", "node").where("id IS NOT NULL")
     return ids.join(kept, "row", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
 
 
 def _prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
-    """token, node, n, place and centre: each set's shared shingles in its prefix under the order that puts rare ones first.
+    """token, row, n, place and centre: each set's shared shingles in its prefix under the order that puts rare ones first.
 
     ``place`` is the number of the set's shingles that come before; ``centre`` is how often the
     set's shingles occur on average. Shingles of one set alone come first of all and match nothing.
+    The order is that of one number: how often a shingle occurs (32,767 stands for all from there
+    on) above 48 bits of its hash. Shingles that share these bits count as one, which only adds
+    pairs to verify.
     """
-    tokens = sets.select("node", "n", F.explode("shingles").alias("token"))
+    tokens = sets.select("row", "n", F.explode("shingles").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
-    shared = tokens.join(often, "token").groupBy("node", "n").agg(
-        F.count("*").alias("shared"),
-        (F.sum("times") / F.first("n")).alias("centre"),
-        F.array_sort(F.collect_list(F.struct("times", "token"))).alias("order"),
+    rank = F.shiftleft(F.least("times", F.lit(32767)), 48).bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << 48) - 1)))
+    shared = tokens.join(often, "token").groupBy("row", "n").agg(
+        F.count("*").alias("shared"), (F.sum("times") / F.first("n")).alias("centre"), F.array_sort(F.collect_list(rank)).alias("order")
     )
     alone = F.col("n") - F.col("shared")
     length = (settings.prefix(F.col("n")) - alone).cast("int")
     shared = shared.where(length > 0)
-    placed = shared.select("node", "n", "centre", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), length)).alias("at", "entry"))
-    return placed.select(F.col("entry.token").alias("token"), "node", "n", (F.col("alone") + F.col("at")).alias("place"), "centre")
+    placed = shared.select("row", "n", "centre", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), length)).alias("at", "token"))
+    return placed.select("token", "row", "n", (F.col("alone") + F.col("at")).alias("place"), "centre")
 
 
 def _room(settings: Settings, a: str, b: str) -> Column:
@@ -173,9 +176,9 @@ def _room(settings: Settings, a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) of nodes that link."""
-    a = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
+    """The pairs (a, b) of set rows that link."""
+    a = sets.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
+    b = sets.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
     joined = pairs.join(a, "a").join(b, "b")
     p_a, p_b = (settings.prefix(F.col(c)).cast("int") for c in ("n_a", "n_b"))
     # under the order by hash, then under its reverse: the sets are sorted
@@ -206,39 +209,42 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _link_components(sets: DataFrame, settings: Settings) -> DataFrame:
-    """node and comp of every node that links with another."""
+    """row and comp of every set (row, n, shingles) that links with another."""
     placed = checkpoint(_prefixes(sets, settings))
-    several = placed.groupBy("token").agg(F.max(F.struct("centre", "node", "n", "place")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    several = placed.groupBy("token").agg(F.max(F.struct("centre", "row", "n", "place")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
     pivots = several.select("token", "pivot.*").alias("p")
     star = placed.alias("x").join(pivots, F.col("x.token") == F.col("p.token"))
-    star = star.where((F.col("x.node") != F.col("p.node")) & _room(settings, "x", "p"))
-    first = checkpoint(_verified(star.select(F.col("p.node").alias("a"), F.col("x.node").alias("b")).distinct(), sets, settings))
+    star = star.where((F.col("x.row") != F.col("p.row")) & _room(settings, "x", "p"))
+    first = checkpoint(_verified(star.select(F.col("p.row").alias("a"), F.col("x.row").alias("b")).distinct(), sets, settings))
     labels = components(first)
 
-    comp = F.coalesce("comp", "node").alias("comp")
-    members = placed.join(several.select("token"), "token", "left_semi").join(labels, "node", "left").select("token", "node", "n", "place", comp)
+    comp = F.coalesce("comp", "row").alias("comp")
+    known = labels.withColumnRenamed("node", "row")
+    members = placed.join(several.select("token"), "token", "left_semi").join(known, "row", "left").select("token", "row", "n", "place", comp)
     sizes = members.groupBy("token", "comp").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("top.comp").alias("top"))
     members = checkpoint(members.join(largest, "token").withColumn("minor", F.col("comp") != F.col("top")))
     x, y = members.where("minor").alias("x"), members.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
-    once = ~F.col("y.minor") | (F.col("x.node") < F.col("y.node"))
-    across = x.join(y, apart & once & _room(settings, "x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    once = ~F.col("y.minor") | (F.col("x.row") < F.col("y.row"))
+    across = x.join(y, apart & once & _room(settings, "x", "y")).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
     rest = checkpoint(_verified(across, sets, settings))
-    # links across components join those components; a node without a label is its own
+    # links across components join those components; a set without a label is its own
     lifted = rest.join(labels.alias("la"), F.col("la.node") == F.col("a"), "left").join(labels.alias("lb"), F.col("lb.node") == F.col("b"), "left")
-    lifted = lifted.select(F.coalesce("la.comp", "a").alias("a"), F.coalesce("lb.comp", "b").alias("b"))
-    merged = components(lifted).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-    nodes = labels.unionByName(merged.select(F.col("comp").alias("node"), "comp")).dropDuplicates(["node"])
-    return nodes.join(merged, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    merged = components(lifted.select(F.coalesce("la.comp", "a").alias("a"), F.coalesce("lb.comp", "b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    found = known.unionByName(merged.select(F.col("comp").alias("row"), "comp")).dropDuplicates(["row"])
+    return found.join(merged, "comp", "left").select("row", F.coalesce("top", "comp").alias("comp"))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """id_col, n_shingles and component_id of every row: the size of its set, and the smallest id that links reach from it."""
     signatures = _signatures(df, id_col, text_col, settings).persist(StorageLevel.DISK_ONLY)
     kept = checkpoint(_survivors(signatures, settings))
-    sets = checkpoint(_sets(df, kept, id_col, text_col, settings))
-    labels = checkpoint(_link_components(sets, settings))
+    sets = checkpoint(_sets(df, kept, id_col, text_col, settings)).withColumn("row", F.monotonically_increasing_id())
+    linked = _link_components(sets, settings)
+    nodes = sets.select("row", "node")
+    tops = nodes.select(F.col("row").alias("comp"), F.col("node").alias("top"))
+    labels = checkpoint(nodes.join(linked, "row").join(tops, "comp").select("node", F.col("top").alias("comp")))
     rows = signatures.select("id", "node", "n")
     smallest = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
     classes = smallest.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
