@@ -127,3 +127,8 @@ def merged_config(stored: Column) -> dict[str, Column]:
     for k, v in {"min_confidence": "minConfidence", "expansion_fraction": "expansionFraction"}.items():
         found[k] = F.coalesce(F.get_json_object(stored, f"$.{v}").try_cast("double"), F.lit(DEFAULTS[k]))
     return found
+
+
+def stored_model(asked: Column, confirmed: Column) -> Column:
+    """The model to store: the large one only once it is confirmed to run."""
+    return F.when((asked == "detect_x") & ~confirmed, "detect_n").otherwise(asked)

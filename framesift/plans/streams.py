@@ -29,3 +29,9 @@ def stream_window_counts(spark, sf_dir):
 def stream_generations(spark, sf_dir):
     """The highest generation seen of each file, and the number of results: older ones are stale."""
     return jobs.generations(spark, sf_dir)
+
+
+@query("WITH " + FRAMES + ", cached AS (SELECT frame_id AS key, frame_id % 7 AS n FROM frames WHERE frame_id % 3 <> 0) SELECT frame_id, coalesce(n, -1) AS n, n IS NOT NULL AS drawn FROM frames LEFT JOIN cached ON frame_id = key")
+def stream_playback(spark, sf_dir):
+    """Each frame once, with its cached detections; frames without are left to be inferred."""
+    return jobs.playback(spark, sf_dir)

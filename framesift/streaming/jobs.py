@@ -76,3 +76,14 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "file_id bigint, generation bigint, n bigint"
     found = rows.groupBy("file_id").applyInPandasWithState(keep, schema, "top bigint, n bigint", "update", "NoTimeout")
     return upsert_sink(found, ["file_id"], spark)
+
+
+def playback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of frames joined to the static table of cached detections, each frame written once."""
+    cached = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 3 <> 0").select(F.col("event_id").alias("frame_id"), F.expr("event_id % 7").alias("n"))
+    found = events(spark, sf_dir).select("frame_id").join(cached, "frame_id", "left")
+    folder = _folder(spark)
+    rows = found.select("frame_id", F.coalesce("n", F.lit(-1)).cast("bigint").alias("n"), F.col("n").isNotNull().alias("drawn"))
+    sink = rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
