@@ -46,6 +46,10 @@ def arrow_map(
             for out in work(batch):
                 arrays = [x if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow_schema]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
+            # nothing of a batch stays while the next is read, and its memory goes back
+            del batch
+            out = arrays = None
+            pa.default_memory_pool().release_unused()
 
     return picked.mapInArrow(run, schema)
 
@@ -69,6 +73,11 @@ def text_groups(batch: pa.RecordBatch, name: str = "text", rows: int = 256) -> I
         yield start, [t or "" for t in column.slice(start, rows).to_pylist()]
 
 
+def text_rows(texts: pa.Array, measure: Callable[[str], tuple], rows: int = 256) -> list[tuple]:
+    """``measure`` of each text of an array (null: empty), a few texts as strings at a time."""
+    return [measure(t or "") for start in range(0, len(texts), rows) for t in texts.slice(start, rows).to_pylist()]
+
+
 def cut_points(text: str, size: int) -> Iterator[str]:
     """Cut a text into runs of about ``size`` characters between a non-space and a space.
 

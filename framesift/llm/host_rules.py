@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import ascii_words, checkpoint
+from framesift.llm.common import ascii_words, checkpoint, text_rows
 
 _STATS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 _SYMBOLS = "#*$%&|<>"
@@ -68,7 +68,7 @@ def statistics(text: Column) -> Column:
 
     @F.arrow_udf(", ".join(f"{c} bigint" for c in _STATS))
     def measure(texts: pa.Array) -> pa.Array:
-        rows = [text_statistics(t or "") for t in texts.to_pylist()]
+        rows = text_rows(texts, text_statistics)
         columns = list(zip(*rows)) if rows else [()] * len(_STATS)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], _STATS)
 

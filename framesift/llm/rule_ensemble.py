@@ -16,12 +16,10 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import ascii_words, checkpoint
+from framesift.llm.common import ascii_words, checkpoint, text_rows
 from framesift.llm.host_rules import repeated_words
 from framesift.llm.toxicity import sample_rows
 
@@ -77,7 +75,7 @@ def statistics(text: Column) -> Column:
 
     @F.arrow_udf(", ".join(f"{c} double" for c in STATISTICS))
     def measure(texts: pa.Array) -> pa.Array:
-        rows = [text_statistics(t or "") for t in texts.to_pylist()]
+        rows = text_rows(texts, text_statistics)
         columns = list(zip(*rows)) if rows else [()] * len(STATISTICS)
         return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], STATISTICS)
 
@@ -109,6 +107,10 @@ def holds(rule: tuple[tuple[str, bool, float], ...], s: Column) -> Column:
 
 def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", settings: Settings = Settings()) -> Model:
     """Learn from the labelled rows for which ``learn``, a condition on the id column, holds."""
+    # imported here, as workers that only measure texts do without
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
     sample = sample_rows(df, labels, learn, settings.sample, id_col, text_col, label_col)
     measured = checkpoint(sample.select("label", statistics(F.col("text")).alias("s")).repartition(4))
     classes = dict(measured.groupBy("label").count().collect())
