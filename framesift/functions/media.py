@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.functions.geometry import half_up
@@ -97,10 +97,10 @@ def effective_transfer(transfer: Column) -> Column:
     return F.when(transfer.eqNullSafe("pq"), "pq").otherwise("hlg")
 
 
-def encoder_options(spark: SparkSession) -> DataFrame:
-    """rank, acceleration and codec of the encoders, best first: eight rows."""
+def encoder_options() -> Column:
+    """Array of rank, acceleration and codec of the encoders, best first."""
     rows = [(i * len(CODECS) + j, a, c) for i, a in enumerate(ACCELERATIONS) for j, c in enumerate(CODECS)]
-    return spark.createDataFrame(rows, "rank int, acceleration string, codec string")
+    return F.array(*(F.struct(F.lit(r).alias("rank"), F.lit(a).alias("acceleration"), F.lit(c).alias("codec")) for r, a, c in rows))
 
 
 def first_supported(probes: DataFrame) -> DataFrame:

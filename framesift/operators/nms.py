@@ -30,14 +30,15 @@ def class_candidates(raw: DataFrame, least: float = LEAST) -> DataFrame:
 def top_per_class(boxes: DataFrame, k: int = TOP) -> DataFrame:
     """The k best of each frame and label, with their rank; ties go to the smaller anchor."""
     best = Window.partitionBy("frame_id", "label").orderBy(F.desc("conf"), "anchor")
-    return boxes.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
+    # the limit stands on the rank itself, so that Catalyst can also apply it before the shuffle
+    return boxes.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def suppress(boxes: DataFrame, overlap: float = OVERLAP, k: int = TOP) -> DataFrame:
     """Greedy suppression: from the best down, a box stays unless it overlaps a box that stayed.
 
-    A fold over each frame and label's at most k best boxes, within Catalyst. The rank limit
-    reaches the map side, so a frame never gathers more than k rows.
+    A fold over each frame and label's at most k best boxes, within Catalyst: a frame never gathers
+    more than k rows in one array, and a window that spills ranks those that it has.
     """
     entry = F.struct("rank", "anchor", "conf", "cx", "cy", "w", "h")
     lists = top_per_class(boxes, k).groupBy("frame_id", "label").agg(F.array_sort(F.collect_list(entry)).alias("s"))

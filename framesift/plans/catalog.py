@@ -155,8 +155,7 @@ def pixel_format_map(spark, sf_dir):
 SELECT pos, arg_min(codec, ord) AS codec, arg_min(hw, ord) AS acceleration, CASE WHEN arg_min(codec, ord) = 'vp9' THEN '.webm' ELSE '.mp4' END AS ext FROM o GROUP BY pos""")
 def pick_encoder(spark, sf_dir):
     """First of the probes that succeed, hardware before software, codecs by preference."""
-    options = m.encoder_options(spark)
-    probes = media(spark, sf_dir).select("pos").join(F.broadcast(options), F.expr("(pos * 31 + rank * 17) % 7 = 0"))
+    probes = media(spark, sf_dir).select("pos", F.inline(m.encoder_options())).where("(pos * 31 + rank * 17) % 7 = 0")
     return m.first_supported(probes)
 
 

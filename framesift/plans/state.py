@@ -136,7 +136,7 @@ def latest_request(spark, sf_dir):
 def log_ring(spark, sf_dir):
     """The last ten entries of each log."""
     latest = Window.partitionBy("file_id").orderBy(F.desc("pts_us"), F.desc("frame_id"))
-    return frames(spark, sf_dir).withColumn("n", F.row_number().over(latest).cast("bigint")).where("n <= 10").select("file_id", "frame_id", "n")
+    return frames(spark, sf_dir).withColumn("n", F.row_number().over(latest)).where("n <= 10").select("file_id", "frame_id", F.col("n").cast("bigint").alias("n"))
 
 
 @query(_FRAMES + ", f AS (SELECT *, min(pts_us) OVER (PARTITION BY file_id) AS start FROM frames) SELECT frame_id, (pts_us - start) / 1000::DOUBLE AS target_ms, 1000 + (pts_us - start) / 1000::DOUBLE < 5000000 AS late FROM f")
