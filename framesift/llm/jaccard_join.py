@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from framesift.llm.common import arrow_map, checkpoint, text_groups
 
 #: Words that a worker process remembers.
-CACHE = 200_000
+CACHE = 50_000
 _known: dict[bytes, int] = {}
 
 
@@ -95,9 +95,20 @@ def _node(values: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _bits(tokens: int) -> int:
+    """Bits of a hash that tell so many shingles apart but for a sixty-fourth of them.
+
+    Counts need no more: shingles that share these bits count as one, which only keeps documents
+    and pairs that a later step looks at whole.
+    """
+    return min(48, max(16, max(1, tokens).bit_length() + 6))
+
+
 def _signatures(df: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
-    """id, node, n and the first prefix of each row."""
+    """id, node, n and the first prefix of each row, its shingles by their low bits."""
     kind = df.schema[id_col].dataType.simpleString()
+    bits = _bits(128 * df.count())
+    item, mask = ("int", np.int32) if bits <= 32 else ("bigint", np.int64), np.uint64((1 << bits) - 1)
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -107,12 +118,12 @@ def _signatures(df: DataFrame, id_col: str, text_col: str, settings: Settings) -
                     "id": batch.column("id").slice(start, len(texts)),
                     "node": list(map(_node, sets)),
                     "n": list(map(len, sets)),
-                    "prefix": [s[: settings.first_prefix(len(s))].view(np.int64) for s in sets],
+                    "prefix": [(s[: settings.first_prefix(len(s))] & mask).astype(item[1]) for s in sets],
                 }
 
         return work
 
-    return arrow_map(df, {"id": id_col, "text": text_col}, f"id {kind}, node bigint, n bigint, prefix array<bigint>", make)
+    return arrow_map(df, {"id": id_col, "text": text_col}, f"id {kind}, node bigint, n bigint, prefix array<{item[0]}>", make)
 
 
 def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
@@ -137,14 +148,13 @@ def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, settings: S
 
 def _survivors(signatures: DataFrame, settings: Settings) -> DataFrame:
     """node and one id of each distinct set that shares enough of its first prefix with other rows."""
-    # token rows carry a short row number instead of the set's number, which wouldn't compress
+    # token rows are as small as can be: a short row number and some bits of a hash
     rows = signatures.where("n > 0").withColumn("row", F.monotonically_increasing_id())
-    tokens = rows.select("row", "n", F.explode("prefix").alias("token"))
+    tokens = rows.select("row", F.explode("prefix").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
-    shared = tokens.join(often, "token").groupBy("row", "n").agg(F.count("*").alias("shared"))
-    kept = shared.where(F.col("shared") >= settings.first_shared(F.col("n"))).select("row")
-    ids = rows.select("row", "id", "node").where("id IS NOT NULL")
-    return ids.join(kept, "row", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    shared = tokens.join(often, "token").groupBy("row").agg(F.count("*").alias("shared"))
+    kept = rows.select("row", "id", "node", "n").where("id IS NOT NULL").join(shared, "row")
+    return kept.where(F.col("shared") >= settings.first_shared(F.col("n"))).groupBy("node").agg(F.min("id").alias("id"))
 
 
 def _prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
@@ -153,19 +163,18 @@ def _prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
     ``place`` is the number of the set's shingles that come before; ``centre`` is how often the
     set's shingles occur on average. Shingles of one set alone come first of all and match nothing.
     The order is that of one number: how often a shingle occurs (32,767 stands for all from there
-    on) above 48 bits of its hash. Shingles that share these bits count as one, which only adds
-    pairs to verify.
+    on) above some bits of its hash.
     """
-    tokens = sets.select("row", "n", F.explode("shingles").alias("token"))
+    mask = F.lit((1 << _bits(sets.agg(F.sum("n")).first()[0] or 0)) - 1)
+    tokens = sets.select("row", F.explode(F.transform("shingles", lambda x: x.bitwiseAND(mask))).alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
-    rank = F.shiftleft(F.least("times", F.lit(32767)), 48).bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << 48) - 1)))
-    shared = tokens.join(often, "token").groupBy("row", "n").agg(
-        F.count("*").alias("shared"), (F.sum("times") / F.first("n")).alias("centre"), F.array_sort(F.collect_list(rank)).alias("order")
-    )
+    rank = F.shiftleft(F.least("times", F.lit(32767)), 48).bitwiseOR(F.col("token"))
+    shared = tokens.join(often, "token").groupBy("row").agg(F.count("*").alias("shared"), F.sum("times").alias("sum"), F.array_sort(F.collect_list(rank)).alias("order"))
+    shared = shared.join(sets.select("row", "n"), "row")
     alone = F.col("n") - F.col("shared")
     length = (settings.prefix(F.col("n")) - alone).cast("int")
     shared = shared.where(length > 0)
-    placed = shared.select("row", "n", "centre", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), length)).alias("at", "token"))
+    placed = shared.select("row", "n", (F.col("sum") / F.col("n")).alias("centre"), alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), length)).alias("at", "token"))
     return placed.select("token", "row", "n", (F.col("alone") + F.col("at")).alias("place"), "centre")
 
 
