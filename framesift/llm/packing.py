@@ -20,7 +20,6 @@ from array import array
 from bisect import bisect_right
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,7 +29,7 @@ from framesift.llm.bpe import byte_table
 from framesift.llm.common import arrow_map, checkpoint, cut_points, text_groups
 
 #: Characters tokenized at a time, and pieces that a worker process remembers.
-RUN_CHARS, CACHE = 1 << 18, 200_000
+RUN_CHARS, CACHE = 1 << 18, 120_000
 _LATER = re.compile("[^\x00-\u052f]")
 #: Pieces of a block, and the fill below which a bin is dissolved for the next round.
 BLOCK, OPEN_BELOW = 1 << 15, 0.98
@@ -231,7 +230,7 @@ def pack(found: DataFrame, capacity: int = 4096, block: int = BLOCK) -> DataFram
         blocks = -(-n // block)
         final = blocks == 1
 
-        def fill(key: tuple, part: pd.DataFrame, final: bool = final, turn: int = turn) -> pd.DataFrame:
+        def fill(key: tuple, part, final: bool = final, turn: int = turn):
             bins = local_search(best_fit(part["length"].tolist(), capacity), capacity)
             # rows of one length are alike: each bin takes the next of that length
             part = part.sort_values(["length", "_row"], kind="stable").reset_index(drop=True)
