@@ -73,9 +73,21 @@ def text_groups(batch: pa.RecordBatch, name: str = "text", rows: int = 256) -> I
         yield start, [t or "" for t in column.slice(start, rows).to_pylist()]
 
 
-def text_rows(texts: pa.Array, measure: Callable[[str], tuple], rows: int = 256) -> list[tuple]:
-    """``measure`` of each text of an array (null: empty), a few texts as strings at a time."""
-    return [measure(t or "") for start in range(0, len(texts), rows) for t in texts.slice(start, rows).to_pylist()]
+def measured(text: Column, names: list[str], kind: str, measure: Callable[[str], tuple], rows: int = 256) -> Column:
+    """Struct of ``measure``'s values for each text of a column (null: empty), a few texts as strings at a time."""
+    item = {"bigint": pa.int64(), "double": pa.float64()}[kind]
+
+    @F.arrow_udf(", ".join(f"{n} {kind}" for n in names))
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            found = [measure(t or "") for start in range(0, len(texts), rows) for t in texts.slice(start, rows).to_pylist()]
+            columns = list(zip(*found)) if found else [()] * len(names)
+            yield pa.StructArray.from_arrays([pa.array(c, item) for c in columns], names)
+            # nothing of a batch stays while the next is read, and its memory goes back
+            del texts, found, columns
+            pa.default_memory_pool().release_unused()
+
+    return run(text)
 
 
 def cut_points(text: str, size: int) -> Iterator[str]:

@@ -14,11 +14,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import ascii_words, checkpoint, text_rows
+from framesift.llm.common import ascii_words, checkpoint, measured
 
 _STATS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 _SYMBOLS = "#*$%&|<>"
@@ -65,14 +64,7 @@ def text_statistics(text: str) -> tuple[int, ...]:
 
 def statistics(text: Column) -> Column:
     """Struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (bigint) of a text column."""
-
-    @F.arrow_udf(", ".join(f"{c} bigint" for c in _STATS))
-    def measure(texts: pa.Array) -> pa.Array:
-        rows = text_rows(texts, text_statistics)
-        columns = list(zip(*rows)) if rows else [()] * len(_STATS)
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], _STATS)
-
-    return measure(text)
+    return measured(text, _STATS, "bigint", text_statistics)
 
 
 def base_failed(s: Column, limits: Limits) -> Column:
@@ -87,7 +79,7 @@ def soft_failed(s: Column, limits: Limits) -> Column:
     )
 
 
-def host_rates(measured: DataFrame, host: Column, failed: Column) -> DataFrame:
+def host_rates(rows: DataFrame, host: Column, failed: Column) -> DataFrame:
     """_host, n, f and the shrunk failure rate of each host, null host included.
 
     Counts are pre-aggregated in the tasks. The beta prior is fitted by moments: with mu the
@@ -95,7 +87,7 @@ def host_rates(measured: DataFrame, host: Column, failed: Column) -> DataFrame:
     parameters are mu (1 - rho) / rho and (1 - mu) (1 - rho) / rho. Five sums over the hosts, one
     row, are all that the driver sees.
     """
-    hosts = checkpoint(measured.groupBy(host.alias("_host")).agg(F.count("*").alias("n"), F.sum(failed.cast("bigint")).alias("f")))
+    hosts = checkpoint(rows.groupBy(host.alias("_host")).agg(F.count("*").alias("n"), F.sum(failed.cast("bigint")).alias("f")))
     n, f = F.col("n").cast("double"), F.col("f").cast("double")
     sums = hosts.agg(F.sum(n), F.sum(f), F.sum(n * n), F.count("*"), F.sum(f * f / n)).first()
     mu, strength = beta_prior(*(float(x or 0) for x in sums))

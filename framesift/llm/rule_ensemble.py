@@ -15,11 +15,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import ascii_words, checkpoint, text_rows
+from framesift.llm.common import ascii_words, checkpoint, measured
 from framesift.llm.host_rules import repeated_words
 from framesift.llm.toxicity import sample_rows
 
@@ -72,14 +71,7 @@ def text_statistics(text: str) -> tuple[float, ...]:
 
 def statistics(text: Column) -> Column:
     """Struct of the statistics (double) of a text column, in one Arrow pass; null counts as empty."""
-
-    @F.arrow_udf(", ".join(f"{c} double" for c in STATISTICS))
-    def measure(texts: pa.Array) -> pa.Array:
-        rows = text_rows(texts, text_statistics)
-        columns = list(zip(*rows)) if rows else [()] * len(STATISTICS)
-        return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], STATISTICS)
-
-    return measure(text)
+    return measured(text, STATISTICS, "double", text_statistics)
 
 
 def paths(description: str) -> set[tuple[tuple[int, bool, float], ...]]:
@@ -112,22 +104,22 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     from pyspark.ml.functions import array_to_vector
 
     sample = sample_rows(df, labels, learn, settings.sample, id_col, text_col, label_col)
-    measured = checkpoint(sample.select("label", statistics(F.col("text")).alias("s")).repartition(4))
-    classes = dict(measured.groupBy("label").count().collect())
+    rows = checkpoint(sample.select("label", statistics(F.col("text")).alias("s")).repartition(4))
+    classes = dict(rows.groupBy("label").count().collect())
     good, bad = classes.get(1, 0), classes.get(0, 0)
     if not good or not bad:
         from math import log
 
         return Model([], log((good + 1e-9) / (bad + 1e-9)) if good or bad else 0.0)
     label = F.col("label").cast("double").alias("label")
-    rows = measured.select(label, array_to_vector(F.array(*[F.col(f"s.{c}") for c in STATISTICS])).alias("features"))
-    forest = RandomForestClassifier(numTrees=settings.trees, maxDepth=settings.depth, subsamplingRate=0.5, seed=11, minInstancesPerNode=5).fit(rows)
+    vectors = rows.select(label, array_to_vector(F.array(*[F.col(f"s.{c}") for c in STATISTICS])).alias("features"))
+    forest = RandomForestClassifier(numTrees=settings.trees, maxDepth=settings.depth, subsamplingRate=0.5, seed=11, minInstancesPerNode=5).fit(vectors)
     named = sorted({tuple((STATISTICS[f], a, t) for f, a, t in p) for tree in forest.trees for p in paths(tree.toDebugString)})
     if not named:
         return Model([], 0.0)
     indicators = F.array(*[holds(r, F.col("s")).cast("double") for r in named])
     lasso = LogisticRegression(regParam=settings.penalty, elasticNetParam=1.0, maxIter=settings.iterations, standardization=False)
-    fitted = lasso.fit(checkpoint(measured.select(label, array_to_vector(indicators).alias("features"))))
+    fitted = lasso.fit(checkpoint(rows.select(label, array_to_vector(indicators).alias("features"))))
     weights = fitted.coefficients.toArray().tolist()
     return Model([(r, w) for r, w in zip(named, weights) if w], float(fitted.intercept))
 
