@@ -18,26 +18,36 @@ from framesift.llm.common import id_split, shared_dir, table
 
 #: Score below which the classifier rejects a document.
 QUALITY = 0.7
+#: Documents that Spark hands to Python at a time: some may be very long, and executors hold several batches at once.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least QUALITY; learns from labelled ones of the learning split."""
+    _small_batches(spark)
     model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"), id_split("doc_id", 4) != 2)
     return rule_ensemble.with_score(docs, model).where(F.col("_score") >= QUALITY).drop("_score")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and their host's verdict keep."""
+    _small_batches(spark)
     return host_rules.filter_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
+    _small_batches(spark)
     return jaccard_join.keep_first(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of at most 4096 tokens."""
+    _small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
