@@ -204,13 +204,14 @@ q AS (SELECT frame_id, label, anchor, xi, yi, xe, ye FROM region)
 SELECT a.frame_id, a.label AS label_a, a.anchor AS anchor_a, b.label AS label_b, b.anchor AS anchor_b FROM q a JOIN q b
 ON a.frame_id = b.frame_id AND (a.label, a.anchor) < (b.label, b.anchor) AND NOT (a.xe <= b.xi OR b.xe <= a.xi OR a.ye <= b.yi OR b.ye <= a.yi)""")
 def overlap_pairs(spark, sf_dir):
-    """Blur regions of a frame's six best boxes of each label that overlap; touching ones don't."""
-    return overlap.overlapping(_top_regions(spark, sf_dir), cell=128)
+    """Blur regions of all detections of a frame that overlap; touching ones don't."""
+    return overlap.overlapping(_kept_regions(spark, sf_dir), cell=128)
 
 
-def _top_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = nms.top_per_class(_candidates(spark, sf_dir), 6).select(*_KEY)
-    return _region(spark, sf_dir).join(best, list(_KEY), "left_semi")
+def _kept_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of every box that suppression keeps."""
+    kept = nms.suppress(_candidates(spark, sf_dir)).select(*_KEY)
+    return _region(spark, sf_dir).join(kept, list(_KEY), "left_semi")
 
 
 @query(_REGION.replace("FROM r)", "FROM r WHERE rank <= 6)", 1) + """,
@@ -222,5 +223,5 @@ w AS (SELECT frame_id, 0::BIGINT AS i, []::STRUCT(b BIGINT, xi DOUBLE, yi DOUBLE
   FROM w JOIN q ON q.frame_id = w.frame_id AND q.i = w.i + 1)
 SELECT w.frame_id, q.label, q.anchor, w.acc[q.i].b AS batch FROM w JOIN z ON z.frame_id = w.frame_id AND z.n = w.i JOIN q ON q.frame_id = w.frame_id""")
 def overlap_batches(spark, sf_dir):
-    """First-fit batches of a frame's regions, so that no two of a batch overlap."""
-    return overlap.batches(_top_regions(spark, sf_dir))
+    """First-fit batches of the regions of all detections of a frame, so that no two of a batch overlap."""
+    return overlap.batches(_kept_regions(spark, sf_dir))
