@@ -247,6 +247,33 @@ def test_gapped_insults(spark):
     assert toxicity.score(tests.limit(0), model).count() == 0
 
 
+def test_disguised_insults():
+    """Disguised insults keep a kernel value with the plain word; two replaced characters of a short word share too little with it."""
+    rnd = random.Random(1)
+    words = ["idiot", "trash", "clown", "loser", "moron", "stupid", "scum", "worthless", "pathetic", "disgusting"]
+    marks = toxicity.Landmarks(words)
+
+    def inserted(w, n):
+        for _ in range(n):
+            i = rnd.randrange(1, len(w))
+            w = w[:i] + rnd.choice("abcdefghijklmnopqrstuvwxyz1347*.-_") + w[i:]
+        return w
+
+    def replaced(w, n, by):
+        for i in rnd.sample(range(1, len(w) - 1), n):
+            w = w[:i] + rnd.choice(by) + w[i + 1 :]
+        return w
+
+    def recall(disguise):
+        units = [(k, toxicity.normal(disguise(w))) for k, w in enumerate(words) for _ in range(60)]
+        near = marks.kernel([u for _, u in units])
+        return sum(i in near and near[i][k] > 0 for i, (k, _) in enumerate(units)) / len(units)
+
+    assert recall(lambda w: inserted(w, 1)) == recall(lambda w: replaced(w, 1, "*")) == 1
+    assert recall(lambda w: inserted(w, 2)) >= 0.95 and recall(lambda w: replaced(w, 1, "0134578")) >= 0.85
+    assert recall(lambda w: replaced(w, 2, "*")) >= 0.45 and recall(lambda w: replaced(w, 2, "0134578")) >= 0.2
+
+
 # ---------------------------------------------------------------- Jaccard join
 
 
