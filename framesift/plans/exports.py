@@ -49,10 +49,13 @@ def log_once(spark, sf_dir):
 
 @query(_FRAMES + " SELECT file_id, string_agg(CAST(frame_id AS VARCHAR), ',' ORDER BY pts_us, frame_id) AS frames, count(DISTINCT frame_id % 256) AS signatures FROM frames WHERE frame_id % 20 = 0 GROUP BY file_id")
 def exported_frames(spark, sf_dir):
-    """The exported frames of each file in their order, and how many of their signatures differ."""
-    rows = frames(spark, sf_dir).where("frame_id % 20 = 0")
-    lists = rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pts_us", "frame_id"))).alias("s"), F.count_distinct(F.expr("frame_id % 256")).alias("signatures"))
-    return lists.select("file_id", F.array_join(F.transform("s", lambda x: x["frame_id"].cast("string")), ",").alias("frames"), "signatures")
+    """Every exported frame with its number in its file's order, and how many of the file's signatures differ."""
+    rows = frames(spark, sf_dir)
+    order = Window.partitionBy("file_id").orderBy("pts_us", "frame_id")
+    # the signatures are counted from partial aggregates, so no file gathers in one row
+    signatures = rows.groupBy("file_id").agg(F.count_distinct(F.expr("frame_id % 256")).alias("signatures"))
+    numbered = rows.select("file_id", "frame_id", F.row_number().over(order).cast("bigint").alias("n"))
+    return numbered.join(signatures, "file_id")
 
 
 @query("WITH p AS (SELECT s_suppkey AS k, greatest((i * s_suppkey * 7) % 40, (i * 13 + s_suppkey) % 23, (i * 5) % 17) AS top FROM supplier, range(0, 256) t(i)) SELECT k, count(*) FILTER (WHERE top > 10) AS lit, count(*) FILTER (WHERE top > 10) / 256::DOUBLE AS ratio FROM p GROUP BY k")

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from framesift.operators import nms
 from framesift.plans import all_queries, detections
+from framesift.sources.tables import frames
 
 QUERIES, _ = all_queries()
 
@@ -63,3 +64,12 @@ def test_overlap_batches_of_all_detections(spark, sf_dir):
             wanted[frame, a.label, a.anchor] = i + 1
     found = {(r.frame_id, r.label, r.anchor): r.batch for r in QUERIES["overlap_batches"](spark, sf_dir).collect()}
     assert found == wanted
+
+
+def test_every_frame_is_exported(spark, sf_dir):
+    files = defaultdict(list)
+    for r in frames(spark, sf_dir).collect():
+        files[r.file_id].append((r.pts_us, r.frame_id))
+    wanted = {(k, f, n, len({f % 256 for _, f in v})) for k, v in files.items() for n, (_, f) in enumerate(sorted(v), 1)}
+    found = [(r.file_id, r.frame_id, r.n, r.signatures) for r in QUERIES["exported_frames"](spark, sf_dir).collect()]
+    assert len(found) == len(wanted) and set(found) == wanted
