@@ -61,8 +61,7 @@ def seek_asof(spark, sf_dir):
 @query(_INFER + ", s AS (SELECT model, count(*) AS n, sum(CAST(round(ms * 100) AS BIGINT)) AS c FROM inferences WHERE model <> 'detect_x' OR seq % 2 = 0 GROUP BY model), m AS (SELECT unnest(['detect_n', 'detect_x', 'detect_z']) AS model) SELECT m.model, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(c, 0) AS BIGINT) AS total_hundredths, c / n::DOUBLE AS average FROM m LEFT JOIN s USING (model)")
 def inference_stats(spark, sf_dir):
     """Count, total and average of every model, with rows for models that never ran."""
-    log = inferences(spark, sf_dir).where("model <> 'detect_x' OR seq % 2 = 0")
-    return progress.inference_totals(log, ["detect_n", "detect_x", "detect_z"])
+    return progress.inference_totals(inferences(spark, sf_dir), ["detect_n", "detect_x", "detect_z"])
 
 
 @query(_INFER + ", c AS (SELECT *, CAST(round(ms * 100) AS BIGINT) AS h FROM inferences) SELECT seq, model, sum(h) OVER w / count(*) OVER w::DOUBLE AS average FROM c WINDOW w AS (PARTITION BY model, file_id ORDER BY pts_us, seq ROWS UNBOUNDED PRECEDING)".replace("count(*) OVER w::DOUBLE", "CAST(count(*) OVER w AS DOUBLE)"))

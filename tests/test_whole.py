@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from framesift.operators import nms
 from framesift.plans import all_queries, detections
-from framesift.sources.tables import frames
+from framesift.sources.tables import frames, inferences
 
 QUERIES, _ = all_queries()
 
@@ -73,3 +73,14 @@ def test_every_frame_is_exported(spark, sf_dir):
     wanted = {(k, f, n, len({f % 256 for _, f in v})) for k, v in files.items() for n, (_, f) in enumerate(sorted(v), 1)}
     found = [(r.file_id, r.frame_id, r.n, r.signatures) for r in QUERIES["exported_frames"](spark, sf_dir).collect()]
     assert len(found) == len(wanted) and set(found) == wanted
+
+
+def test_every_inference_counts(spark, sf_dir):
+    wanted = {"detect_n": [0, 0], "detect_x": [0, 0], "detect_z": [0, 0]}
+    for r in inferences(spark, sf_dir).collect():
+        wanted[r.model][0] += 1
+        wanted[r.model][1] += round(r.ms * 100)
+    found = {r.model: r for r in QUERIES["inference_stats"](spark, sf_dir).collect()}
+    assert {k: [r.n, r.total_hundredths] for k, r in found.items()} == wanted
+    assert all(r.average == (r.total_hundredths / r.n if r.n else None) for r in found.values())
+    assert {r.model: r.n for r in QUERIES["stream_stats"](spark, sf_dir).collect()} == {k: v[0] for k, v in wanted.items() if v[0]}
