@@ -131,7 +131,9 @@ def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, settings: S
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     wanted = ids.select("id").distinct()
     # a bounded list of ids spares the shuffle of all texts
-    texts = texts.join(F.broadcast(wanted) if ids.count() <= settings.broadcast_ids else wanted, "id", "left_semi")
+    found = texts.join(F.broadcast(wanted) if ids.count() <= settings.broadcast_ids else wanted, "id", "left_semi")
+    # sets that only rows with a null id hold: no id finds those rows, so all of them are read
+    texts = found.unionByName(texts.where("id IS NULL")) if ids.where("id IS NULL").limit(1).count() else found
 
     def make():
         def work(batch: pa.RecordBatch):
@@ -147,13 +149,13 @@ def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, settings: S
 
 
 def _survivors(signatures: DataFrame, settings: Settings) -> DataFrame:
-    """node and one id of each distinct set that shares enough of its first prefix with other rows."""
+    """node and one id (null if only null-id rows hold it) of each distinct set that shares enough of its first prefix with other rows."""
     # token rows are as small as can be: a short row number and some bits of a hash
     rows = signatures.where("n > 0").withColumn("row", F.monotonically_increasing_id())
     tokens = rows.select("row", F.explode("prefix").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
     shared = tokens.join(often, "token").groupBy("row").agg(F.count("*").alias("shared"))
-    kept = rows.select("row", "id", "node", "n").where("id IS NOT NULL").join(shared, "row")
+    kept = rows.select("row", "id", "node", "n").join(shared, "row")
     return kept.where(F.col("shared") >= settings.first_shared(F.col("n"))).groupBy("node").agg(F.min("id").alias("id"))
 
 
@@ -247,6 +249,12 @@ def _link_components(sets: DataFrame, settings: Settings) -> DataFrame:
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """id_col, n_shingles and component_id of every row: the size of its set, and the smallest id that links reach from it."""
+    found = _joined(df, id_col, text_col, settings)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _joined(df: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
+    """id, node, n and component_id of every row."""
     signatures = _signatures(df, id_col, text_col, settings).persist(StorageLevel.DISK_ONLY)
     kept = checkpoint(_survivors(signatures, settings))
     sets = checkpoint(_sets(df, kept, id_col, text_col, settings)).withColumn("row", F.monotonically_increasing_id())
@@ -261,16 +269,35 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings
     named = checkpoint(classes.join(lows, "comp").select("node", "component"))
     found = rows.join(named, "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return found.select("id", "node", "n", component.alias("component_id"))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their component, with all columns.
 
-    Rows without words or with a null id stay; so do repeated rows with an id that stays.
+    Rows without words or with a null id stay; so do repeated rows with an id that stays. Where an
+    id stands on several rows, each is decided by its own text.
     """
-    found = join(df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")), "_id", "_text", settings)
-    extra = checkpoint(found.where(F.col("_id") != F.col("component_id")).select(F.col("_id").alias(id_col)).distinct())
+    found = _joined(df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")), "_id", "_text", settings)
+    rows = checkpoint(found.select(F.col("id").alias(id_col), "node", (F.col("id") != F.col("component_id")).alias("_extra")).where("_extra IS NOT NULL").distinct())
+    extra = rows.where("_extra").select(id_col, "node")
+    # ids that stand on rows that go and on rows that stay
+    mixed = checkpoint(rows.groupBy(id_col).agg(F.bool_or("_extra").alias("some"), F.bool_and("_extra").alias("all")).where("some AND NOT all").select(id_col))
+    ids = checkpoint(extra.select(id_col).distinct().join(mixed, id_col, "left_anti"))
     # a bounded list of ids spares the shuffle of all texts
-    extra = F.broadcast(extra) if extra.count() <= settings.broadcast_ids else extra
-    return df.join(extra, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    bounded = lambda x: F.broadcast(x) if x.count() <= settings.broadcast_ids else x
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    kept = df.join(bounded(ids), id_col, "left_anti").select(*columns)
+    if not mixed.limit(1).count():
+        return kept
+    whole = kept.join(bounded(mixed), id_col, "left_anti").select(*columns)
+    parts = kept.join(bounded(mixed), id_col, "left_semi").select(*columns)
+
+    @F.arrow_udf("bigint")
+    def node(texts: pa.Array) -> pa.Array:
+        return pa.array([_node(shingles(t or "", settings.words)) for t in texts.to_pylist()], pa.int64())
+
+    gone = extra.join(mixed, id_col, "left_semi").select(F.col(id_col).alias("_gone_id"), F.col("node").alias("_gone_node"))
+    marked = parts.withColumn("_set", node(F.col(f"`{text_col}`")))
+    parts = marked.join(gone, (F.col(f"`{id_col}`") == F.col("_gone_id")) & (F.col("_set") == F.col("_gone_node")), "left_anti").select(*columns)
+    return whole.unionByName(parts)

@@ -335,6 +335,29 @@ def test_join_awkward_rows(spark, awkward):
     assert joined(awkward, words=3, percent=90, broadcast_ids=0) == joined(awkward, words=3, percent=90)
 
 
+def test_join_null_and_repeated_ids(spark):
+    """Rows with a null id link and bridge; an id may stand on several rows with other texts."""
+    text = [f"w{j}" for j in range(100)]
+    change = lambda n: " ".join(f"x{j}" if j % 30 < n else w for j, w in enumerate(text))
+    chain = [" ".join([f"a{j}" for j in range(k)] + [f"b{j}" for j in range(k, 100)]) for k in range(0, 45, 5)]
+    rows = [(1, change(0)), (None, change(1)), (None, change(2)), (2, change(0)), (3, "some other text with words of its own"), (3, change(0)), (None, None), (None, "p q r s t u v")]
+    rows += [(None if k % 2 else 10 + k, t) for k, t in enumerate(chain)] + [(None, chain[3]), (None, " ".join(f"n{j}" for j in range(50)))]
+    wanted = brute(rows, 3, 80)
+    assert sum(f"(None, 98, {i})" in wanted for i in (1, 10)) == 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for broadcast_ids in (0, 1000):
+        assert joined(df, words=3, percent=80, broadcast_ids=broadcast_ids) == wanted
+
+
+def test_keep_first_decides_by_row(spark):
+    """An id on two rows, a copy and a text of its own: only the copy goes."""
+    copy = " ".join(f"w{j}" for j in range(40))
+    rows = [(1, copy, "a"), (2, copy, "a"), (2, "a text that no other row has", "b"), (3, copy, "a"), (None, copy, "c")]
+    for broadcast_ids in (0, 1000):
+        kept = jaccard_join.keep_first(spark.createDataFrame(rows, SCHEMA), settings=jaccard_join.Settings(words=3, percent=80, broadcast_ids=broadcast_ids))
+        assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], rows[2], rows[4]]))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, 200), (200, 300), (50, 50)]
     found = {r.node: r.comp for r in jaccard_join.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
