@@ -21,7 +21,7 @@ def stream_latest_wins(spark, sf_dir):
 
 @query("WITH " + FRAMES + " SELECT pts_us // 3600000000 * 3600000000 AS window_us, event_type, count(*) AS n FROM frames GROUP BY ALL")
 def stream_window_counts(spark, sf_dir):
-    """Events of each hour and type, under a watermark."""
+    """Events of each hour and type."""
     return jobs.window_counts(spark, sf_dir)
 
 

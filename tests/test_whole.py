@@ -84,3 +84,10 @@ def test_every_inference_counts(spark, sf_dir):
     assert {k: [r.n, r.total_hundredths] for k, r in found.items()} == wanted
     assert all(r.average == (r.total_hundredths / r.n if r.n else None) for r in found.values())
     assert {r.model: r.n for r in QUERIES["stream_stats"](spark, sf_dir).collect()} == {k: v[0] for k, v in wanted.items() if v[0]}
+
+
+def test_window_counts_in_any_file_order(spark, tmp_path):
+    for at, name in enumerate(["2024-01-05", "2020-01-05", "2022-01-05"]):
+        row = spark.createDataFrame([(at, 1, name + " 10:30:00", "view", 1.0)], "event_id bigint, user_id bigint, ts string, event_type string, value double")
+        row.withColumn("ts", row.ts.cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert sum(r.n for r in QUERIES["stream_window_counts"](spark, str(tmp_path)).collect()) == 3
