@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framesift.operators import seek
+
 #: Frames a second taken for estimates, share of finalization before any history, and settings that only concern the export (fixed values).
 FPS, FINALIZATION = 30, 0.1
 EXPORT_ONLY = ("keepMetadata", "keepAudio", "exportMode", "namingPattern")
@@ -24,10 +26,9 @@ def inference_totals(log: DataFrame, models: list[str]) -> DataFrame:
     return names.join(sums, "model", "left").select("model", F.coalesce("n", zero).alias("n"), F.coalesce("c", zero).alias("total_hundredths"), F.try_divide(F.col("c").cast("double"), F.col("n").cast("double")).alias("average"))
 
 
-def running_average(log: DataFrame, keys: list[str]) -> DataFrame:
-    """``log`` with the average of hundredths of a millisecond after each run."""
-    order = Window.partitionBy(*keys).orderBy("pts_us", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("average", F.sum(_hundredths(F.col("ms"))).over(order) / F.count("*").over(order))
+def running_average(log: DataFrame, keys: list[str], stretch_us: int = seek.DAY) -> DataFrame:
+    """``log`` with the average of hundredths of a millisecond after each run; a null time counts as a run of nothing."""
+    return seek.running_average(log, keys, _hundredths(F.col("ms")), stretch_us)
 
 
 def finalization_fraction(finalization: Column, encoding: Column) -> Column:

@@ -31,8 +31,12 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked candidates as top-left boxes on their frame's canvas."""
-    return nms.top_per_class(_candidates(spark, sf_dir)).select(
-        "frame_id", "label", "anchor", "rank", "conf",
+    return _on_canvas(nms.top_per_class(_candidates(spark, sf_dir)))
+
+
+def _on_canvas(boxes: DataFrame) -> DataFrame:
+    return boxes.select(
+        "frame_id", "label", "anchor", "conf",
         (F.col("cx") - F.col("w") / 2).alias("x"), (F.col("cy") - F.col("h") / 2).alias("y"), "w", "h",
         F.expr("double(case frame_id % 3 when 0 then 300 when 1 then 400 else 1429 end)").alias("width"),
         F.expr("double(case frame_id % 3 when 0 then 300 when 1 then 250 else 497 end)").alias("height"),
@@ -160,10 +164,10 @@ region AS (SELECT *, least(xe - xi + 5 - CAST(xe - xi AS BIGINT) % 5, width - xi
 """
 
 
-def _region(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _region(placed: DataFrame) -> DataFrame:
     radius = g.corner_radius(F.col("label"), F.col("w"), F.col("h"))
     box = g.clip_to_edges(_box(), radius, F.col("width"), F.col("height"))
-    clipped = _placed(spark, sf_dir).select(*_KEY, "width", "height", *(box[c].alias(c) for c in ("x", "y", "w", "h")))
+    clipped = placed.select(*_KEY, "width", "height", *(box[c].alias(c) for c in ("x", "y", "w", "h")))
     region = g.blur_region(_box(), F.col("width"), F.col("height"))
     return clipped.select(*_KEY, *(v.cast("bigint").alias(k) for k, v in region.items()))
 
@@ -171,7 +175,7 @@ def _region(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_REGION + """SELECT frame_id, label, anchor, CAST(fe AS BIGINT) AS feather, CAST(xi AS BIGINT) AS xi, CAST(yi AS BIGINT) AS yi, CAST(xe AS BIGINT) AS xe, CAST(ye AS BIGINT) AS ye,
   CAST(wi AS BIGINT) AS wi, CAST(hi AS BIGINT) AS hi, CAST(greatest(10, least(50, floor(wi * hi / 100 + 0.5))) AS BIGINT) AS strength FROM region""")
 def blur_region(spark, sf_dir):
-    return _region(spark, sf_dir)
+    return _region(_placed(spark, sf_dir))
 
 
 @query(_PLACED + """, s AS (SELECT *, floor(w + 0.5) AS bw, floor(h + 0.5) AS bh FROM p),
@@ -199,10 +203,18 @@ def outline_palette(spark, sf_dir):
     )
 
 
-@query(_REGION.replace("FROM r)", "FROM r WHERE rank <= 6)", 1) + """,
-q AS (SELECT frame_id, label, anchor, xi, yi, xe, ye FROM region)
-SELECT a.frame_id, a.label AS label_a, a.anchor AS anchor_a, b.label AS label_b, b.anchor AS anchor_b FROM q a JOIN q b
-ON a.frame_id = b.frame_id AND (a.label, a.anchor) < (b.label, b.anchor) AND NOT (a.xe <= b.xi OR b.xe <= a.xi OR a.ye <= b.yi OR b.ye <= a.yi)""")
+#: Regions of the boxes that suppression keeps; the two recursive folds share one statement.
+_KEPT_REGION = _NMS + _REGION[len(_GATED):] + """,
+q AS MATERIALIZED (SELECT region.frame_id, region.label, region.anchor, CAST(xi AS BIGINT) AS xi, CAST(yi AS BIGINT) AS yi, CAST(xe AS BIGINT) AS xe, CAST(ye AS BIGINT) AS ye
+  FROM region JOIN (SELECT frame_id, label, anchor FROM kept) USING (frame_id, label, anchor))
+"""
+
+
+@query(_KEPT_REGION + """, g AS (SELECT *, unnest(range(xi // 128, (xe - 1) // 128 + 1)) AS gx FROM q WHERE xe > xi AND ye > yi),
+c2 AS MATERIALIZED (SELECT *, unnest(range(yi // 128, (ye - 1) // 128 + 1)) AS gy FROM g)
+SELECT a.frame_id, a.label AS label_a, a.anchor AS anchor_a, b.label AS label_b, b.anchor AS anchor_b FROM c2 a JOIN c2 b ON a.frame_id = b.frame_id AND a.gx = b.gx AND a.gy = b.gy
+WHERE (a.label < b.label OR a.label = b.label AND a.anchor < b.anchor) AND NOT (a.xe <= b.xi OR b.xe <= a.xi OR a.ye <= b.yi OR b.ye <= a.yi)
+  AND greatest(a.xi, b.xi) // 128 = a.gx AND greatest(a.yi, b.yi) // 128 = a.gy""")
 def overlap_pairs(spark, sf_dir):
     """Blur regions of all detections of a frame that overlap; touching ones don't."""
     return overlap.overlapping(_kept_regions(spark, sf_dir), cell=128)
@@ -210,18 +222,17 @@ def overlap_pairs(spark, sf_dir):
 
 def _kept_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of every box that suppression keeps."""
-    kept = nms.suppress(_candidates(spark, sf_dir)).select(*_KEY)
-    return _region(spark, sf_dir).join(kept, list(_KEY), "left_semi")
-
-
-@query(_REGION.replace("FROM r)", "FROM r WHERE rank <= 6)", 1) + """,
-q AS (SELECT frame_id, label, anchor, xi, yi, xe, ye, row_number() OVER (PARTITION BY frame_id ORDER BY label DESC, anchor) AS i FROM region),
-z AS (SELECT frame_id, max(i) AS n FROM q GROUP BY frame_id),
-w AS (SELECT frame_id, 0::BIGINT AS i, []::STRUCT(b BIGINT, xi DOUBLE, yi DOUBLE, xe DOUBLE, ye DOUBLE)[] AS acc FROM z
-  UNION ALL SELECT w.frame_id, q.i, list_append(w.acc, {'b': list_min(list_filter(range(1, len(w.acc) + 2), lambda t:
-     len(list_filter(w.acc, lambda o: o.b = t AND NOT (q.xe <= o.xi OR o.xe <= q.xi OR q.ye <= o.yi OR o.ye <= q.yi))) = 0)), 'xi': q.xi, 'yi': q.yi, 'xe': q.xe, 'ye': q.ye})
-  FROM w JOIN q ON q.frame_id = w.frame_id AND q.i = w.i + 1)
-SELECT w.frame_id, q.label, q.anchor, w.acc[q.i].b AS batch FROM w JOIN z ON z.frame_id = w.frame_id AND z.n = w.i JOIN q ON q.frame_id = w.frame_id""")
+    return _region(_on_canvas(nms.suppress(_candidates(spark, sf_dir))))
+
+
+@query(_KEPT_REGION + """,
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY label DESC, anchor) AS i FROM q),
+z AS (SELECT frame_id, max(i) AS n FROM n GROUP BY frame_id),
+w AS (SELECT frame_id, 0::BIGINT AS i, []::STRUCT(b BIGINT, xi BIGINT, yi BIGINT, xe BIGINT, ye BIGINT)[] AS acc FROM z
+  UNION ALL SELECT w.frame_id, n.i, list_append(w.acc, {'b': list_min(list_filter(range(1, len(w.acc) + 2),
+     lambda t: NOT list_contains(list_transform(list_filter(w.acc, lambda o: NOT (n.xe <= o.xi OR o.xe <= n.xi OR n.ye <= o.yi OR o.ye <= n.yi)), lambda o: o.b), t))), 'xi': n.xi, 'yi': n.yi, 'xe': n.xe, 'ye': n.ye})
+  FROM w JOIN n ON n.frame_id = w.frame_id AND n.i = w.i + 1)
+SELECT w.frame_id, n.label, n.anchor, w.acc[n.i].b AS batch FROM w JOIN z ON z.frame_id = w.frame_id AND z.n = w.i JOIN n ON n.frame_id = w.frame_id""")
 def overlap_batches(spark, sf_dir):
     """First-fit batches of the regions of all detections of a frame, so that no two of a batch overlap."""
     return overlap.batches(_kept_regions(spark, sf_dir))

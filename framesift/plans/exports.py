@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from framesift.functions import media as m
 from framesift.functions import naming
-from framesift.operators import export, inference
+from framesift.operators import export, inference, seek
 from framesift.plans.registry import query
 from framesift.sources.tables import FRAMES, MEDIA, frames, media, table
 
@@ -47,15 +47,10 @@ def log_once(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", F.expr("user_id % 5")).alias("key")).dropDuplicates(["key"])
 
 
-@query(_FRAMES + " SELECT file_id, string_agg(CAST(frame_id AS VARCHAR), ',' ORDER BY pts_us, frame_id) AS frames, count(DISTINCT frame_id % 256) AS signatures FROM frames WHERE frame_id % 20 = 0 GROUP BY file_id")
+@query(_FRAMES + ", s AS (SELECT file_id, count(DISTINCT frame_id % 256) AS signatures FROM frames GROUP BY file_id) SELECT file_id, frame_id, row_number() OVER (PARTITION BY file_id ORDER BY pts_us, frame_id) AS n, signatures FROM frames JOIN s USING (file_id)")
 def exported_frames(spark, sf_dir):
     """Every exported frame with its number in its file's order, and how many of the file's signatures differ."""
-    rows = frames(spark, sf_dir)
-    order = Window.partitionBy("file_id").orderBy("pts_us", "frame_id")
-    # the signatures are counted from partial aggregates, so no file gathers in one row
-    signatures = rows.groupBy("file_id").agg(F.count_distinct(F.expr("frame_id % 256")).alias("signatures"))
-    numbered = rows.select("file_id", "frame_id", F.row_number().over(order).cast("bigint").alias("n"))
-    return numbered.join(signatures, "file_id")
+    return seek.numbered(frames(spark, sf_dir), F.expr("frame_id % 256"))
 
 
 @query("WITH p AS (SELECT s_suppkey AS k, greatest((i * s_suppkey * 7) % 40, (i * 13 + s_suppkey) % 23, (i * 5) % 17) AS top FROM supplier, range(0, 256) t(i)) SELECT k, count(*) FILTER (WHERE top > 10) AS lit, count(*) FILTER (WHERE top > 10) / 256::DOUBLE AS ratio FROM p GROUP BY k")

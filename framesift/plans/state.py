@@ -58,7 +58,7 @@ def seek_asof(spark, sf_dir):
     return seek.latest_before(probes, rows.select("file_id", "frame_id", "pts_us"))
 
 
-@query(_INFER + ", s AS (SELECT model, count(*) AS n, sum(CAST(round(ms * 100) AS BIGINT)) AS c FROM inferences WHERE model <> 'detect_x' OR seq % 2 = 0 GROUP BY model), m AS (SELECT unnest(['detect_n', 'detect_x', 'detect_z']) AS model) SELECT m.model, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(c, 0) AS BIGINT) AS total_hundredths, c / n::DOUBLE AS average FROM m LEFT JOIN s USING (model)")
+@query(_INFER + ", s AS (SELECT model, count(*) AS n, sum(CAST(round(ms * 100) AS BIGINT)) AS c FROM inferences GROUP BY model), m AS (SELECT unnest(['detect_n', 'detect_x', 'detect_z']) AS model) SELECT m.model, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(c, 0) AS BIGINT) AS total_hundredths, c / n::DOUBLE AS average FROM m LEFT JOIN s USING (model)")
 def inference_stats(spark, sf_dir):
     """Count, total and average of every model, with rows for models that never ran."""
     return progress.inference_totals(inferences(spark, sf_dir), ["detect_n", "detect_x", "detect_z"])
@@ -131,11 +131,10 @@ def latest_request(spark, sf_dir):
     return rows.groupBy("file_id", "slot").agg(F.max("frame_id").alias("frame_id"), (F.count("*") - 1).alias("dropped"))
 
 
-@query(_FRAMES + ", r AS (SELECT file_id, frame_id, row_number() OVER (PARTITION BY file_id ORDER BY pts_us DESC, frame_id DESC) AS n FROM frames) SELECT file_id, frame_id, n FROM r WHERE n <= 10")
+@query(_FRAMES + ", r AS (SELECT file_id, frame_id, row_number() OVER (PARTITION BY file_id ORDER BY pts_us DESC, frame_id DESC) AS n FROM frames) SELECT file_id, frame_id, n FROM r WHERE n <= 1000")
 def log_ring(spark, sf_dir):
-    """The last ten entries of each log."""
-    latest = Window.partitionBy("file_id").orderBy(F.desc("pts_us"), F.desc("frame_id"))
-    return frames(spark, sf_dir).withColumn("n", F.row_number().over(latest)).where("n <= 10").select("file_id", "frame_id", F.col("n").cast("bigint").alias("n"))
+    """The last thousand entries of each log."""
+    return seek.latest_entries(frames(spark, sf_dir)).select("file_id", "frame_id", F.col("n").cast("bigint").alias("n"))
 
 
 @query(_FRAMES + ", f AS (SELECT *, min(pts_us) OVER (PARTITION BY file_id) AS start FROM frames) SELECT frame_id, (pts_us - start) / 1000::DOUBLE AS target_ms, 1000 + (pts_us - start) / 1000::DOUBLE < 5000000 AS late FROM f")
