@@ -7,14 +7,12 @@ folder that the executors share and reads it again for the next.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.llm import host_rules, jaccard_join, packing, rule_ensemble
-from framesift.llm.common import id_split, shared_dir, table
+from framesift.llm.common import id_split, shared_folder, table
 
 #: Score below which the classifier rejects a document.
 QUALITY = 0.7
@@ -64,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over ``documents``; returns the last one's rows."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

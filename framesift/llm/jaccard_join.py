@@ -1,8 +1,10 @@
 """N-gram Jaccard join: near-duplicate documents by word shingles, with multiple-global-order filtering.
 
 Two documents link when the Jaccard similarity of their sets of word shingles is at least
-``percent`` per cent; the join returns each document's component under these links. It is exact:
-every filter below keeps every pair that links.
+``percent`` per cent; the join returns each document's component under these links. Every filter
+below keeps every pair that links. Shingles are told apart by 64 bits and sets by 128, so the
+result is exact but for accidents of these hashes: for two sets of 10,000 shingles about one in
+10^11, for 10^10 different sets about one in 10^18.
 
 1. Under one global order of shingles, by hash, the first shingles of each document are counted
    over all documents. Two documents that link share the first few of their common shingles inside
@@ -10,12 +12,14 @@ every filter below keeps every pair that links.
 2. Of what is left, equal sets count as one, and all shingles are counted. The second order puts
    rare shingles first: linked documents share a shingle of its (shorter) prefixes, at places that
    leave room for the overlap they need.
-3. Pairs that pass must also share a prefix shingle under the first order and under its reverse;
-   only then are whole sets intersected.
+3. Pairs that pass must also share a prefix shingle under the first order and under its reverse.
+   Only these prefixes, a fifth or less of a set at 90 per cent, are joined to the pairs for that;
+   whole sets are joined to, and intersected for, the pairs that all three orders leave.
 
 Pairs are never formed within a whole group of documents that share a shingle. Each group first
 meets its most central document; what that links forms one component, and afterwards only pairs
 across components are formed, between members outside a group's largest component and the others.
+Groups are dealt over as many parts as their size asks for, so no shingle's group meets in one task.
 
 Words are runs of bytes other than ASCII space, A to Z read as a to z. A text with fewer words
 than a shingle has is one shingle; one without words, or null, has none and links with nothing.
@@ -31,14 +35,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import arrow_map, checkpoint, text_groups
+from framesift.llm.common import arrow_map, checkpoint, stored, text_groups
 
 #: Words that a worker process remembers.
 CACHE = 50_000
+#: Rows of a shingle's group that one part of it holds, about.
+PART = 512
+#: Occurrences from which on a shingle's number in the second order tells them by their logarithm alone.
+OFTEN = 1 << 14
 _known: dict[bytes, int] = {}
 
 
@@ -90,9 +97,9 @@ def shingles(text: str, k: int) -> np.ndarray:
     return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
-def _node(values: np.ndarray) -> int:
-    """A set's number: equal sets have equal numbers."""
-    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _node(values: np.ndarray) -> bytes:
+    """A set's name: equal sets have equal names, others differ in their 128 bits."""
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
 def _bits(tokens: int) -> int:
@@ -105,7 +112,7 @@ def _bits(tokens: int) -> int:
 
 
 def _signatures(df: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
-    """id, node, n and the first prefix of each row, its shingles by their low bits."""
+    """row (a number), id, node, n and the first prefix of each row, its shingles by their low bits; written once, in the shared folder."""
     kind = df.schema[id_col].dataType.simpleString()
     bits = _bits(128 * df.count())
     item, mask = ("int", np.int32) if bits <= 32 else ("bigint", np.int64), np.uint64((1 << bits) - 1)
@@ -123,11 +130,12 @@ def _signatures(df: DataFrame, id_col: str, text_col: str, settings: Settings) -
 
         return work
 
-    return arrow_map(df, {"id": id_col, "text": text_col}, f"id {kind}, node bigint, n bigint, prefix array<{item[0]}>", make)
+    found = arrow_map(df, {"id": id_col, "text": text_col}, f"id {kind}, node binary, n bigint, prefix array<{item[0]}>", make)
+    return stored(found.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
-    """node, n and all shingles of the distinct sets of the rows whose id is among ``ids`` (id, node)."""
+    """row (a number), node, n, shingles, and the prefixes low and high under the order by hash and its reverse, of the distinct sets of ``ids`` (id, node)."""
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     wanted = ids.select("id").distinct()
     # a bounded list of ids spares the shuffle of all texts
@@ -143,15 +151,20 @@ def _sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, settings: S
 
         return work
 
-    found = arrow_map(texts, {"text": "text"}, "node bigint, n bigint, shingles array<bigint>", make)
+    found = arrow_map(texts, {"text": "text"}, "node binary, n bigint, shingles array<bigint>", make)
     # an id may stand on several rows with other texts
-    return found.join(ids.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    found = found.join(ids.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    # the shingles are sorted by hash; 32 of their bits are enough to let every common one through
+    length = settings.prefix(F.col("n")).cast("int")
+    short = lambda part: F.transform(part, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
+    low, high = short(F.slice("shingles", F.lit(1), length)), short(F.slice("shingles", -length, length))
+    return stored(found.select(F.monotonically_increasing_id().alias("row"), "node", "n", low.alias("low"), high.alias("high"), "shingles"))
 
 
 def _survivors(signatures: DataFrame, settings: Settings) -> DataFrame:
     """node and one id (null if only null-id rows hold it) of each distinct set that shares enough of its first prefix with other rows."""
     # token rows are as small as can be: a short row number and some bits of a hash
-    rows = signatures.where("n > 0").withColumn("row", F.monotonically_increasing_id())
+    rows = signatures.where("n > 0")
     tokens = rows.select("row", F.explode("prefix").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
     shared = tokens.join(often, "token").groupBy("row").agg(F.count("*").alias("shared"))
@@ -164,13 +177,14 @@ def _prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
 
     ``place`` is the number of the set's shingles that come before; ``centre`` is how often the
     set's shingles occur on average. Shingles of one set alone come first of all and match nothing.
-    The order is that of one number: how often a shingle occurs (32,767 stands for all from there
-    on) above some bits of its hash.
+    The order is that of one number: how often a shingle occurs (its logarithm from OFTEN on) above
+    some bits of its hash.
     """
     mask = F.lit((1 << _bits(sets.agg(F.sum("n")).first()[0] or 0)) - 1)
     tokens = sets.select("row", F.explode(F.transform("shingles", lambda x: x.bitwiseAND(mask))).alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
-    rank = F.shiftleft(F.least("times", F.lit(32767)), 48).bitwiseOR(F.col("token"))
+    level = F.when(F.col("times") < OFTEN, F.col("times")).otherwise(OFTEN + F.floor(F.log2(F.col("times") / OFTEN)))
+    rank = F.shiftleft(level.cast("bigint"), 48).bitwiseOR(F.col("token"))
     shared = tokens.join(often, "token").groupBy("row").agg(F.count("*").alias("shared"), F.sum("times").alias("sum"), F.array_sort(F.collect_list(rank)).alias("order"))
     shared = shared.join(sets.select("row", "n"), "row")
     alone = F.col("n") - F.col("shared")
@@ -180,6 +194,22 @@ def _prefixes(sets: DataFrame, settings: Settings) -> DataFrame:
     return placed.select("token", "row", "n", (F.col("alone") + F.col("at")).alias("place"), "centre")
 
 
+def _parts(token: Column) -> Column:
+    """Parts that a shingle's group is dealt over: its number tells how often it occurs."""
+    level = F.shiftrightunsigned(token, 48)
+    return F.when(level < OFTEN, 1 + F.floor(level / PART)).otherwise(OFTEN // PART * F.pow(F.lit(2.0), level - OFTEN + 1)).cast("bigint")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (token, row, ...) with the part of their shingle's group that they fall in."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("row"), _parts(F.col("token"))))
+
+
+def _everywhere(rows: DataFrame) -> DataFrame:
+    """One row for each shingle, repeated for every part of its group."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), _parts(F.col("token")) - 1)))
+
+
 def _room(settings: Settings, a: str, b: str) -> Column:
     """Whether a shingle's places leave room for the overlap that sets of these sizes need."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -187,17 +217,13 @@ def _room(settings: Settings, a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) of set rows that link."""
-    a = sets.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    b = sets.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    joined = pairs.join(a, "a").join(b, "b")
-    p_a, p_b = (settings.prefix(F.col(c)).cast("int") for c in ("n_a", "n_b"))
-    # under the order by hash, then under its reverse: the sets are sorted
-    low = F.arrays_overlap(F.slice("s_a", F.lit(1), p_a), F.slice("s_b", F.lit(1), p_b))
-    high = F.arrays_overlap(F.slice("s_a", -p_a, p_a), F.slice("s_b", -p_b, p_b))
-    overlap = F.size(F.array_intersect("s_a", "s_b"))
-    similar = F.when(low & high, settings.enough(overlap, F.col("n_a"), F.col("n_b"))).otherwise(F.lit(False))
-    return joined.where(similar).select("a", "b")
+    """The pairs (a, b) of set rows that link: first by their prefixes under the other orders, then by whole sets."""
+    of = lambda side, *columns: sets.select(F.col("row").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+    near = pairs.join(of("b", "low", "high"), "b").join(of("a", "low", "high"), "a")
+    near = near.where(F.arrays_overlap("low_a", "low_b") & F.arrays_overlap("high_a", "high_b")).select("a", "b")
+    whole = near.join(of("b", "n", "shingles"), "b").join(of("a", "n", "shingles"), "a")
+    overlap = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return whole.where(settings.enough(overlap, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -220,25 +246,30 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _link_components(sets: DataFrame, settings: Settings) -> DataFrame:
-    """row and comp of every set (row, n, shingles) that links with another."""
-    placed = checkpoint(_prefixes(sets, settings))
+    """row and comp of every set (row, n, low, high, shingles) that links with another."""
+    placed = checkpoint(_dealt(_prefixes(sets, settings)))
     several = placed.groupBy("token").agg(F.max(F.struct("centre", "row", "n", "place")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    pivots = several.select("token", "pivot.*").alias("p")
-    star = placed.alias("x").join(pivots, F.col("x.token") == F.col("p.token"))
+    pivots = _everywhere(several.select("token", "pivot.row", "pivot.n", "pivot.place")).alias("p")
+    star = placed.alias("x").join(pivots, (F.col("x.token") == F.col("p.token")) & (F.col("x.part") == F.col("p.part")))
     star = star.where((F.col("x.row") != F.col("p.row")) & _room(settings, "x", "p"))
     first = checkpoint(_verified(star.select(F.col("p.row").alias("a"), F.col("x.row").alias("b")).distinct(), sets, settings))
     labels = components(first)
 
-    comp = F.coalesce("comp", "row").alias("comp")
     known = labels.withColumnRenamed("node", "row")
-    members = placed.join(several.select("token"), "token", "left_semi").join(known, "row", "left").select("token", "row", "n", "place", comp)
+    members = placed.join(known, "row", "left").select("token", "part", "row", "n", "place", F.coalesce("comp", "row").alias("comp"))
     sizes = members.groupBy("token", "comp").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("top.comp").alias("top"))
-    members = checkpoint(members.join(largest, "token").withColumn("minor", F.col("comp") != F.col("top")))
-    x, y = members.where("minor").alias("x"), members.alias("y")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
+    several = sizes.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+    # a grid over each group: members outside the largest component by all members, PART by PART
+    blocks = lambda n: 1 + F.floor(n / PART)
+    several = several.select("token", F.col("top.comp").alias("top"), blocks(F.col("all") - F.col("top.size")).alias("down"), blocks(F.col("all")).alias("across"))
+    members = checkpoint(members.join(_everywhere(several), ["token", "part"]).withColumn("minor", F.col("comp") != F.col("top")))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("row"), n)
+    x = members.where("minor").withColumn("i", own(F.col("down"))).withColumn("j", every(F.col("across"))).alias("x")
+    y = members.withColumn("j", own(F.col("across"))).withColumn("i", every(F.col("down"))).alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     once = ~F.col("y.minor") | (F.col("x.row") < F.col("y.row"))
-    across = x.join(y, apart & once & _room(settings, "x", "y")).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
+    across = x.join(y, same & (F.col("x.comp") != F.col("y.comp")) & once & _room(settings, "x", "y")).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
     rest = checkpoint(_verified(across, sets, settings))
     # links across components join those components; a set without a label is its own
     lifted = rest.join(labels.alias("la"), F.col("la.node") == F.col("a"), "left").join(labels.alias("lb"), F.col("lb.node") == F.col("b"), "left")
@@ -254,50 +285,63 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings
 
 
 def _joined(df: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
-    """id, node, n and component_id of every row."""
-    signatures = _signatures(df, id_col, text_col, settings).persist(StorageLevel.DISK_ONLY)
+    """id, node, n and component_id of every row, and keeper (id, node): the row of its class that stays; null for a class of one row."""
+    signatures = _signatures(df, id_col, text_col, settings)
     kept = checkpoint(_survivors(signatures, settings))
-    sets = checkpoint(_sets(df, kept, id_col, text_col, settings)).withColumn("row", F.monotonically_increasing_id())
+    sets = _sets(df, kept, id_col, text_col, settings)
     linked = _link_components(sets, settings)
     nodes = sets.select("row", "node")
     tops = nodes.select(F.col("row").alias("comp"), F.col("node").alias("top"))
     labels = checkpoint(nodes.join(linked, "row").join(tops, "comp").select("node", F.col("top").alias("comp")))
     rows = signatures.select("id", "node", "n")
     smallest = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
-    classes = smallest.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lows = classes.groupBy("comp").agg(F.min("low").alias("component"), F.sum("copies").alias("members")).where("members > 1")
-    named = checkpoint(classes.join(lows, "comp").select("node", "component"))
+    # classes of one row need no name
+    classes = smallest.join(labels, "node", "left").where("comp IS NOT NULL OR copies > 1").withColumn("comp", F.coalesce("comp", "node"))
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low").alias("id"), "node"))
+    named = checkpoint(classes.groupBy("comp").agg(first.alias("keeper")).join(classes.select("comp", "node"), "comp").select("node", "keeper"))
     found = rows.join(named, "node", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
-    return found.select("id", "node", "n", component.alias("component_id"))
+    component = F.when(F.col("n") > 0, F.when(F.col("keeper").isNull(), F.col("id")).otherwise(F.col("keeper.id"))).otherwise(F.col("id"))
+    return found.select("id", "node", "n", component.alias("component_id"), F.when(F.col("n") > 0, F.col("keeper")).alias("keeper"))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their component, with all columns.
+    """One row of each class of linked rows, that with the smallest id, with all columns of ``df``.
 
-    Rows without words or with a null id stay; so do repeated rows with an id that stays. Where an
-    id stands on several rows, each is decided by its own text.
+    Each row is decided by its own text, whatever other rows its id stands on. Rows without words
+    link with nothing and stay. Of rows that repeat id and text one stays, any of them if they
+    differ in other columns. Rows with a null id go where their class has an id; of a class
+    without one, a row stays.
     """
     found = _joined(df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")), "_id", "_text", settings)
-    rows = checkpoint(found.select(F.col("id").alias(id_col), "node", (F.col("id") != F.col("component_id")).alias("_extra")).where("_extra IS NOT NULL").distinct())
-    extra = rows.where("_extra").select(id_col, "node")
-    # ids that stand on rows that go and on rows that stay
-    mixed = checkpoint(rows.groupBy(id_col).agg(F.bool_or("_extra").alias("some"), F.bool_and("_extra").alias("all")).where("some AND NOT all").select(id_col))
-    ids = checkpoint(extra.select(id_col).distinct().join(mixed, id_col, "left_anti"))
+    alone = F.col("keeper").isNull()
+    stays = alone | (F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("node") == F.col("keeper.node")))
+    rows = checkpoint(found.groupBy("id", "node").agg(F.bool_or(~stays).alias("extra"), (F.bool_or(~alone) & (F.count("*") > 1)).alias("repeated")))
+    # ids all of whose rows go; ids (null among them) whose rows have to be looked at one by one
+    by_id = rows.groupBy("id").agg(F.bool_or("extra").alias("some"), F.bool_and("extra").alias("all"), F.bool_or("repeated").alias("repeated"))
+    ids = checkpoint(by_id.where("all AND id IS NOT NULL").select(F.col("id").alias("_key")))
+    mixed = checkpoint(by_id.where("(some OR repeated) AND (NOT all OR id IS NULL)").select(F.col("id").alias("_key")))
     # a bounded list of ids spares the shuffle of all texts
     bounded = lambda x: F.broadcast(x) if x.count() <= settings.broadcast_ids else x
     columns = [F.col(f"`{c}`") for c in df.columns]
-    kept = df.join(bounded(ids), id_col, "left_anti").select(*columns)
+    key = F.col(f"`{id_col}`")
+    kept = df.join(bounded(ids), key == F.col("_key"), "left_anti").select(*columns)
     if not mixed.limit(1).count():
         return kept
-    whole = kept.join(bounded(mixed), id_col, "left_anti").select(*columns)
-    parts = kept.join(bounded(mixed), id_col, "left_semi").select(*columns)
-
-    @F.arrow_udf("bigint")
+    no_ids = mixed.where("_key IS NULL").limit(1).count() > 0
+    known = bounded(mixed.where("_key IS NOT NULL"))
+    whole = kept.join(known, key == F.col("_key"), "left_anti").select(*columns)
+    parts = kept.join(known, key == F.col("_key"), "left_semi").select(*columns)
+    if no_ids:
+        whole, parts = whole.where(key.isNotNull()), parts.unionByName(kept.where(key.isNull()))
+
+    @F.arrow_udf("binary")
     def node(texts: pa.Array) -> pa.Array:
-        return pa.array([_node(shingles(t or "", settings.words)) for t in texts.to_pylist()], pa.int64())
+        sets = [shingles(t or "", settings.words) for t in texts.to_pylist()]
+        return pa.array([_node(s) if len(s) else None for s in sets], pa.binary())
 
-    gone = extra.join(mixed, id_col, "left_semi").select(F.col(id_col).alias("_gone_id"), F.col("node").alias("_gone_node"))
+    gone = rows.where("extra").join(mixed, F.col("id").eqNullSafe(F.col("_key")), "left_semi").select(F.col("id").alias("_gone_id"), F.col("node").alias("_gone_node"))
     marked = parts.withColumn("_set", node(F.col(f"`{text_col}`")))
-    parts = marked.join(gone, (F.col(f"`{id_col}`") == F.col("_gone_id")) & (F.col("_set") == F.col("_gone_node")), "left_anti").select(*columns)
-    return whole.unionByName(parts)
+    marked = marked.join(gone, (F.col("_set") == F.col("_gone_node")) & key.eqNullSafe(F.col("_gone_id")), "left_anti")
+    # of repeated rows one stays, but for those without words
+    once = marked.where("_set IS NOT NULL").dropDuplicates([id_col, "_set"]).unionByName(marked.where("_set IS NULL"))
+    return whole.unionByName(once.select(*columns))

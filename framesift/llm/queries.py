@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.llm import bpe, host_rules, jaccard_join, langid, packing, rule_ensemble, tiff, token_edits, toxicity, warc
-from framesift.llm.common import id_split, shared_dir, table
+from framesift.llm.common import id_split, shared_folder, table
 
 
 def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +81,7 @@ def _scored(found: DataFrame, threshold: float) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     found = warc.read_archives(spark, path)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d*)", 1).try_cast("bigint")
@@ -101,7 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_rules": _OP3, "op10_warc": _OP10}
+    return {"op3_host_rules": _OP3, "op8_jaccard_join": _OP8, "op10_warc": _OP10}
 
 
 _OP3 = r"""
@@ -135,6 +134,22 @@ FROM x JOIN h USING (host), c
 """
 
 
+_OP8 = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT rid, array_to_string(words[i : i + 2], ' ') AS shingle FROM (SELECT rid, words, unnest(range(1, greatest(1, len(words) - 2) + 1)) AS i FROM d WHERE len(words) > 0)),
+t AS MATERIALIZED (SELECT DISTINCT rid, shingle FROM s),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM t GROUP BY rid),
+o AS (SELECT a.rid AS a, b.rid AS b, count(*) AS common FROM t a JOIN t b ON a.shingle = b.shingle AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (rid) JOIN (SELECT r.a AS rid, min(x.doc_id) AS component_id FROM r JOIN d x ON x.rid = r.b GROUP BY r.a) c USING (rid)
+"""
+
+
 _OP10 = """
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,

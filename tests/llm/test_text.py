@@ -330,7 +330,7 @@ def test_join_awkward_rows(spark, awkward):
     assert component[9] == component[10] == 9 and component[1] == 1 and component[2] == 2
     assert {r.n_shingles for r in found if r.doc_id in (1, 2, 3)} == {0} and {r.n_shingles for r in found if r.doc_id == 4} == {1}
     kept = jaccard_join.keep_first(awkward, settings=jaccard_join.Settings(words=3, percent=90))
-    assert kept.columns == awkward.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 6, 8, 9]
+    assert kept.columns == awkward.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9]
     assert jaccard_join.join(awkward.limit(0)).count() == 0
     assert joined(awkward, words=3, percent=90, broadcast_ids=0) == joined(awkward, words=3, percent=90)
 
@@ -350,12 +350,34 @@ def test_join_null_and_repeated_ids(spark):
 
 
 def test_keep_first_decides_by_row(spark):
-    """An id on two rows, a copy and a text of its own: only the copy goes."""
-    copy = " ".join(f"w{j}" for j in range(40))
-    rows = [(1, copy, "a"), (2, copy, "a"), (2, "a text that no other row has", "b"), (3, copy, "a"), (None, copy, "c")]
+    """An id on two rows, a copy and a text of its own: only the copy goes; a null id with the same text goes, too."""
+    copy, lone = " ".join(f"w{j}" for j in range(40)), " ".join(f"n{j}" for j in range(40))
+    rows = [(1, copy, "a"), (2, copy, "a"), (2, "a text that no other row has", "b"), (3, copy, "a"), (None, copy, "c"), (None, lone, "c"), (None, lone, "c"), (None, "one more text without an id", "c"), (None, None, "c"), (None, "", "c")]
+    rows += [(4, "", "d"), (4, copy, "d"), (5, "said twice under one id", "d"), (5, "said twice under one id", "d"), (6, None, "e"), (6, None, "e")]
+    wanted = [rows[0], rows[2], *rows[6:11], rows[12], *rows[14:]]
     for broadcast_ids in (0, 1000):
         kept = jaccard_join.keep_first(spark.createDataFrame(rows, SCHEMA), settings=jaccard_join.Settings(words=3, percent=80, broadcast_ids=broadcast_ids))
-        assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], rows[2], rows[4]]))
+        assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, wanted))
+
+
+def test_join_with_split_groups(spark, monkeypatch):
+    """Groups dealt over many parts, and shingles so frequent that their numbers tell logarithms, change nothing."""
+    monkeypatch.setattr(jaccard_join, "PART", 4)
+    monkeypatch.setattr(jaccard_join, "OFTEN", 16)
+    rnd, base = random.Random(8), [f"w{j}" for j in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base) if i % 2 else [f"v{i % 10}_{j}" for j in range(60)]
+        for _ in range(rnd.choice([0, 1, 2, 5])):
+            words[rnd.randrange(60)] = f"x{rnd.randrange(90)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(base[:12]) + f" u{i}") for i in range(60)]
+    assert joined(spark.createDataFrame(rows, "doc_id bigint, text string"), words=3, percent=80) == brute(rows, 3, 80)
+
+
+def test_op8_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert_same(queries.op8_jaccard_join(spark, sf), connect(sf), queries.oracle_sql()["op8_jaccard_join"])
 
 
 def test_components(spark):
