@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from framesift.llm.common import arrow_map, cut_points, text_groups
+from framesift.llm.common import Remembered, arrow_map, cut_points, text_groups
 
 #: Characters of a text that are encoded at a time, and pre-tokens that a task remembers.
 RUN_CHARS, CACHE = 1 << 18, 200_000
@@ -50,28 +50,17 @@ class ByteBpe:
         names = [whole.id_to_token(i) or "" for i in range(whole.get_vocab_size(with_added_tokens=True))]
         self.bytes_of = [t.encode() if i in special else bytes(reverse[c] for c in t) for i, t in enumerate(names)]
         self.decimal = [str(i) for i in range(len(names))]
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, pieces: list[str]) -> None:
-        """Give the library's model the pieces that aren't remembered yet, byte by byte as printable characters."""
-        distinct = set(pieces)
-        if len(self.known) > CACHE:
-            self.known = {p: self.known[p] for p in distinct if p in self.known}
-        tokenize, table = self.model.tokenize, self.printable
-        for p in [p for p in distinct if p not in self.known]:
-            tokens = tokenize(p.encode().decode("latin-1").translate(table))
-            self.known[p] = array("I", [t.id for t in tokens]).tobytes()
+        self.known = Remembered(self._ids, CACHE)
+
+    def _ids(self, piece: str) -> bytes:
+        """What the library's model makes of a piece, byte by byte as printable characters."""
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.printable))
+        return array("I", [t.id for t in tokens]).tobytes()
 
     def encode(self, text: str) -> Iterable[list[int]]:
         """The text's ids, run after run."""
         for run in cut_points(text, RUN_CHARS):
-            pieces = self.pieces(run)
-            try:
-                found = b"".join(map(self.known.__getitem__, pieces))
-            except KeyError:
-                self.learn(pieces)
-                found = b"".join(map(self.known.__getitem__, pieces))
-            yield array("I", found).tolist()
+            yield array("I", b"".join(map(self.known.__getitem__, self.pieces(run)))).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes that the ids stand for; characters split over tokens come together again."""

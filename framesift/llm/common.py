@@ -91,6 +91,24 @@ def measured(text: Column, names: list[str], kind: str, measure: Callable[[str],
     return run(text)
 
 
+class Remembered(dict):
+    """Values of a function by its argument, ``size`` at most: when half of that is new, what hasn't been asked for since the last time goes."""
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.make, self.half, self.old = make, max(1, size // 2), {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def cut_points(text: str, size: int) -> Iterator[str]:
     """Cut a text into runs of about ``size`` characters between a non-space and a space.
 

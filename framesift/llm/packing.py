@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.bpe import byte_table
-from framesift.llm.common import arrow_map, checkpoint, cut_points, text_groups
+from framesift.llm.common import Remembered, arrow_map, checkpoint, cut_points, text_groups
 
 #: Characters tokenized at a time, and pieces that a worker process remembers.
-RUN_CHARS, CACHE = 1 << 18, 120_000
+RUN_CHARS, CACHE = 1 << 18, 300_000
 _LATER = re.compile("[^\x00-\u052f]")
 #: Pieces of a block, and the fill below which a bin is dissolved for the next round.
 BLOCK, OPEN_BELOW = 1 << 15, 0.98
@@ -41,48 +41,56 @@ class WordIds:
     """Token ids of texts as little-endian bytes; a worker process remembers the ids of pieces it has met.
 
     A text is normalized, split by the pattern in the vocabulary file, and each new piece goes to
-    the library's model byte by byte as printable characters. Texts with characters from U+0530 on,
-    whose classes depend on the Unicode version, are encoded by the library alone, run by run.
+    the library's model byte by byte as printable characters. Up to U+00FF the pattern's classes
+    are written out for Python's own expressions, which are faster. Texts with characters from
+    U+0530 on, whose classes depend on the Unicode version, or with what may be a special token's
+    text, are encoded by the library alone, run by run.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(vocabulary)
-        self.whole.encode_special_tokens = True
         self.model, self.normalizer = self.whole.model, self.whole.normalizer
-        split = json.loads(self.whole.pre_tokenizer.__getstate__())["pretokenizers"][0]
-        self.pieces = regex.compile(split["pattern"]["Regex"]).findall
+        pattern = json.loads(self.whole.pre_tokenizer.__getstate__())["pretokenizers"][0]["pattern"]["Regex"]
+        self.pieces = regex.compile(pattern).findall
+        self.latin_pieces = re.compile(latin_pattern(pattern)).findall
+        self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.printable = {b: c for c, b in byte_table().items()}
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(self._ids, CACHE)
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known = {p: self.known[p] for p in set(pieces) if p in self.known}
-        tokenize, table, known = self.model.tokenize, self.printable, self.known
-        for piece in [p for p in set(pieces) if p not in known]:
-            tokens = tokenize(piece.encode().decode("latin-1").translate(table))
-            known[piece] = array("I", [t.id for t in tokens]).tobytes()
+    def _ids(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.printable))
+        return array("I", [t.id for t in tokens]).tobytes()
 
     def _run(self, run: str) -> bytes:
+        if any(t in run for t in self.specials):
+            return self._by_library(run)
         try:
             run.encode("latin-1")
-            plain = run.lower()  # such characters are in normal form already
         except UnicodeEncodeError:
             if _LATER.search(run):
-                return np.array(self.whole.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-            plain = self.normalizer.normalize_str(run)
-        pieces = self.pieces(plain)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            self.learn(pieces)
-            return b"".join(map(self.known.__getitem__, pieces))
+                return self._by_library(run)
+            pieces = self.pieces(self.normalizer.normalize_str(run))
+        else:
+            pieces = self.latin_pieces(run.lower())  # such characters are in normal form already
+        return b"".join(map(self.known.__getitem__, pieces))
+
+    def _by_library(self, run: str) -> bytes:
+        return np.array(self.whole.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self._run, cut_points(text, RUN_CHARS)))
 
 
+def latin_pattern(pattern: str) -> str:
+    """The pattern for characters up to U+00FF, with the classes of letters, numbers and spaces written out."""
+    members = lambda kind: "".join(re.escape(c) for c in map(chr, range(256)) if regex.match(kind, c))
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        pattern = pattern.replace(kind, members(kind))
+    return pattern
+
+
 @functools.lru_cache(maxsize=2)
 def word_ids(vocabulary: str) -> WordIds:
     """One encoder for a worker process."""
