@@ -7,7 +7,7 @@ one-versus-rest kernel ridge regression is fitted. The fitted weights fold into
 n-grams to languages, so a batch is scored by one product of its presence rows with that matrix.
 
 Learning uses a bounded sample: at most ``sample`` rows of each language, in the order of a hash
-of the id, whole texts. Null texts and texts without a letter get ``und`` and score 0. Repeated
+of the id, whole texts; of an id with several texts of a language the one that sorts first. Null texts and texts without a letter get ``und`` and score 0. Repeated
 rows get equal results, an empty table an empty one; with nothing to learn from all is ``und``.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framesift.llm.common import arrow_map, checkpoint, text_groups
+from framesift.llm.toxicity import hash_share
 
 UNKNOWN = "und"
 #: n-gram lengths, and bits of an n-gram's number: n-grams are hashed to this many bits.
@@ -80,10 +81,14 @@ def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "t
     """Learn from the rows where ``learn`` holds and the language isn't null."""
     rows = df.where(learn & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     rows = rows.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    picked = rows.select("key", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= settings.sample)
+    # each language's share of hashes that holds little more than the sample, so that no language's rows meet in one task
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    cut = sizes.select("lang", hash_share(F.lit(settings.sample), F.col("rows")).alias("cut"))
+    few = rows.select("key", "lang", F.xxhash64("key").alias("hash")).join(F.broadcast(cut), "lang").where("hash <= cut").select("key", "lang", "hash").distinct()
+    order = Window.partitionBy("lang").orderBy("hash", "key")
+    picked = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= settings.sample).select("key", "lang", "n")
     # at most ``sample`` ids of each language, so their broadcast is bounded
-    chosen = rows.join(F.broadcast(picked.select("key", "lang", "n").dropDuplicates(["key", "lang"])), ["key", "lang"])
+    chosen = rows.join(F.broadcast(picked), ["key", "lang"]).groupBy("key", "lang", "n").agg(F.min("text").alias("text"))
 
     def make():
         grams = Grams()

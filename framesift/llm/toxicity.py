@@ -10,9 +10,13 @@ labelled by their documents: of a toxic document the sentence closest to the lan
 one its two closest. A document's score is that of its worst sentence, calibrated to 0 to 1.
 
 Learning uses a bounded sample of labelled rows (``sample`` of each class, in the order of a hash
-of the id), scoring whole texts of all rows. Null and empty texts score as a text without any
-suspect unit. Repeated rows score equally; an empty table gives an empty result; without labelled
-rows of both classes every score is 0.
+of the id); of an id that stands on several rows the text that sorts first. Landmarks are chosen
+from all units of the sample with ``shortest`` to ``longest`` characters; shorter units are no
+evidence (a word of one or two letters is close to many harmless ones), longer ones are read in
+windows. Scoring reads whole texts of all rows. A score depends on the text and the model alone:
+distinct units are told apart by their characters, whatever a worker read before. Null and empty
+texts score as a text without any suspect unit. Repeated rows score equally; an empty table gives
+an empty result; without labelled rows of both classes every score is 0.
 """
 
 from __future__ import annotations
@@ -44,24 +48,29 @@ _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 
 @dataclass(frozen=True)
 class Settings:
-    """Sample rows of each class, landmarks of each kind, toxic documents that a landmark must occur in, its least log-odds, and the SVM's penalty."""
+    """Sample rows of each class, landmarks of each kind, characters of a landmark, different sample texts that it must occur in, its least log-odds and log-likelihood ratio if toxic (the latter keeps out words that a few documents of one topic share), its highest log-odds if clean, and the SVM's penalty."""
 
     sample: int = 6000
     landmarks: int = 96
+    shortest: int = 3
+    longest: int = LONGEST
     least_documents: int = 3
+    least_evidence: float = 30.0
+    clean_odds: float = 1.0
     least_odds: float = 2.5
     penalty: float = 1.0
     epochs: int = 20
 
 
 def normal(word: str) -> str:
-    return _ENDS.sub("", word.lower())
+    low = word.lower()
+    return low if low.isalnum() else _ENDS.sub("", low)
 
 
 def windows(unit: str) -> list[str]:
     """The unit with marks of its start and end, in windows of bounded length; with inner marks, also without them."""
     found = []
-    for u in {unit: 0, _MARKS.sub("", unit): 0}:
+    for u in (unit,) if unit.isalnum() else {unit: 0, _MARKS.sub("", unit): 0}:
         if len(u) <= LONGEST:
             found.append(f"\x02{u}\x03")
         else:
@@ -149,12 +158,16 @@ class Landmarks:
         return found
 
 
+#: A unit and its kernel with the landmarks.
+Found = tuple[str, np.ndarray]
+
+
 class Reader:
     """Finds, in a text's sentences, the units that come near a landmark; remembers words it has met."""
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
-        self.known: dict[str, np.ndarray | int | None] = {}
+        self.known: dict[str, Found | int | None] = {}
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > CACHE:
@@ -167,16 +180,16 @@ class Reader:
             near = self.landmarks.kernel(list(units))
             for w, i in zip(part, at):
                 # 1: a single character, which may be part of a spelled-out unit
-                self.known[w] = near.get(i) if i >= 0 else 1 if len(w) == 1 and w.isalnum() else None
+                self.known[w] = ((normal(w), near[i]) if i in near else None) if i >= 0 else 1 if len(w) == 1 and w.isalnum() else None
 
-    def sentences(self, texts: list[str]) -> list[tuple[int, list[list[np.ndarray]]]]:
-        """For each text its number of words, and the unit kernels of those of its sentences that have any."""
+    def sentences(self, texts: list[str]) -> list[tuple[int, list[list[Found]]]]:
+        """For each text its number of words, and the units with kernels of those of its sentences that have any."""
         lines = [[ascii_words(x) for x in t.split("\n")] for t in texts]
         self.learn(set().union(*(words for text in lines for words in text)))
         get = self.known.get
         out = []
         for text in lines:
-            found: list[list[np.ndarray]] = []
+            found: list[list[Found]] = []
             for words in text:
                 hits = [(i, v) for i, v in enumerate(map(get, words)) if v is not None]
                 if hits:
@@ -184,7 +197,7 @@ class Reader:
             out.append((sum(map(len, text)), found))
         return out
 
-    def _sentences(self, words: list[str], hits: list[tuple[int, np.ndarray | int]]) -> list[list[np.ndarray]]:
+    def _sentences(self, words: list[str], hits: list[tuple[int, Found | int]]) -> list[list[Found]]:
         vectors = [(i, v) for i, v in hits if not isinstance(v, int)]
         singles = [i for i, v in hits if isinstance(v, int)]
         start = 0
@@ -194,7 +207,7 @@ class Reader:
                 stop += 1
             if stop - start > 2:
                 spelled = "".join(words[i] for i in singles[start:stop]).lower()
-                vectors += [(singles[start], v) for v in self.landmarks.kernel([spelled]).values()]
+                vectors += [(singles[start], (spelled, v)) for v in self.landmarks.kernel([spelled]).values()]
             start = stop
         if not vectors:
             return []
@@ -210,6 +223,11 @@ class Reader:
         return found
 
 
+def pooled(sentence: list[Found]) -> np.ndarray:
+    """A sentence's kernel: each landmark's closest unit."""
+    return np.maximum.reduce([v for _, v in sentence])
+
+
 @dataclass(frozen=True)
 class Model:
     """Landmark units, the SVM's weight on each landmark kernel, its constant, and the calibration's weights."""
@@ -219,13 +237,14 @@ class Model:
     constant: float
     calibration: np.ndarray
 
-    def evidence(self, n_words: int, sentences: list[list[np.ndarray]]) -> list[float]:
+    def evidence(self, n_words: int, sentences: list[list[Found]]) -> list[float]:
         """Worst sentence's decision; log of one more than the distinct units decided against; log of their share of the words; 1."""
-        worst = max([self.constant, *(float(np.maximum.reduce(s) @ self.weights) + self.constant for s in sentences)])
-        against = len({id(v): v for s in sentences for v in s if float(v @ self.weights) + self.constant > 0})  # distinct words
+        worst = max([self.constant, *(float(pooled(s) @ self.weights) + self.constant for s in sentences)])
+        units = {unit: v for s in sentences for unit, v in s}
+        against = sum(float(v @ self.weights) + self.constant > 0 for v in units.values())
         return [worst, float(np.log1p(against)), float(np.log((against + 0.5) / (n_words + 50))), 1.0]
 
-    def score(self, n_words: int, sentences: list[list[np.ndarray]]) -> float:
+    def score(self, n_words: int, sentences: list[list[Found]]) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.evidence(n_words, sentences) @ self.calibration, -500, 500))))
 
 
@@ -238,14 +257,29 @@ def _reader(units: tuple[str, ...]) -> Reader:
     return Reader(Landmarks(list(units)))
 
 
+def hash_share(n: Column, rows: Column) -> Column:
+    """Upper bound of ``xxhash64`` under which about half as many again as n of so many hashes lie: a cut before the n lowest are taken."""
+    share = F.least(F.lit(1.0), (1.5 * n + 100) / rows)
+    return F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * float(1 << 64) - float(1 << 63)).cast("bigint"))
+
+
 def sample_rows(df: DataFrame, labels: DataFrame, learn: Column, n: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """text and label of at most n labelled rows of each class for which ``learn`` holds, in the order of a hash of the id."""
+    """text and label of at most n labelled rows of each class for which ``learn`` holds, in the order of a hash of the id.
+
+    Labels other than 0 and 1 and null ids don't count; of an id with both labels 1 counts, of an
+    id with several texts the one that sorts first.
+    """
     marked = labels.where(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.max(f"`{label_col}`").alias("_label"))
-    order = [F.xxhash64("_id"), F.col("_id")]
-    # at most 2 n ids, so their broadcast is bounded
-    picked = [marked.withColumnRenamed("_id", id_col).where(learn).withColumnRenamed(id_col, "_id").where(F.col("_label") == k).orderBy(*order).limit(n) for k in (0, 1)]
+    marked = marked.withColumnRenamed("_id", id_col).where(learn).withColumnRenamed(id_col, "_id").withColumn("_hash", F.xxhash64("_id"))
+    sizes = {r._label: r.n for r in marked.groupBy("_label").agg(F.count("*").alias("n")).collect()}  # two rows
+    # little more than n ids of each class are sorted, whatever the number of tasks; at most 2 n are broadcast
+    picked = [
+        marked.where((F.col("_label") == k) & (F.col("_hash") <= hash_share(F.lit(n), F.lit(sizes.get(k, 1))))).orderBy("_hash", "_id").limit(n)
+        for k in (0, 1)
+    ]
     texts = df.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked[0].unionByName(picked[1])), "_id").dropDuplicates(["_id"]).select("text", F.col("_label").cast("int").alias("label"))
+    found = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("_label").alias("_label"))
+    return found.select("text", F.col("_label").cast("int").alias("label"))
 
 
 def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings = Settings()) -> Model:
@@ -255,16 +289,19 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     toxic, clean = classes.get(1, 0), classes.get(0, 0)
     if not toxic or not clean:
         return NOTHING
-    units = _unit_counts(sample)
+    units = _unit_counts(sample, settings)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    bad = units.withColumn("odds", odds).where((F.col("t") >= settings.least_documents) & (F.col("odds") >= settings.least_odds))
-    bad_units = [r.unit for r in bad.orderBy(F.desc(F.col("t") * F.col("odds")), "unit").limit(settings.landmarks).collect()]
+    # the log-likelihood ratio of the unit's counts against those that chance would give
+    term = lambda n, rows: F.when(n > 0, n * F.log(n * (toxic + clean) / ((F.col("t") + F.col("c")) * rows))).otherwise(0.0)
+    evidence = 2 * (term(F.col("t"), toxic) + term(F.col("c"), clean))
+    bad = units.withColumns({"odds": odds, "evidence": evidence}).where(F.col("t") >= settings.least_documents)
+    bad = bad.where((F.col("odds") >= settings.least_odds) & (F.col("evidence") >= settings.least_evidence))
+    bad_units = [r.unit for r in bad.orderBy(F.desc("evidence"), "unit").limit(settings.landmarks).collect()]
     if not bad_units:
         return NOTHING
-    # clean units that look most like those: the frequent ones are enough to choose from
-    fine = [r.unit for r in units.where(F.col("c") >= 3).withColumn("odds", odds).where("odds < 1").orderBy(F.desc("c"), "unit").limit(20_000).collect()]
-    near = Landmarks(bad_units).kernel(fine)
-    fine_units = [fine[k] for k in sorted(near, key=lambda k: (-near[k].max(), fine[k]))[: settings.landmarks]]
+    # clean units that look most like those, among all of the sample
+    fine = units.where(F.col("c") >= settings.least_documents).withColumn("odds", odds).where(F.col("odds") < settings.clean_odds)
+    fine_units = [r.unit for r in _closeness(fine, bad_units).orderBy(F.desc("near"), "unit").limit(settings.landmarks).collect()]
     names = bad_units + fine_units
     marks = Landmarks(names)
     base = np.zeros((len(names), len(names)))
@@ -283,20 +320,37 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     return replace(model, calibration=calibrate(np.array([r.evidence for r in evidence]), np.array([r.label for r in evidence])))
 
 
-def _unit_counts(sample: DataFrame) -> DataFrame:
-    """unit, and the toxic (t) and clean (c) sample documents that it occurs in."""
+def _unit_counts(sample: DataFrame, settings: Settings) -> DataFrame:
+    """unit, and the different toxic (t) and clean (c) sample texts that it occurs in: copies of a text count once."""
 
     def make():
         def work(batch: pa.RecordBatch):
             for start, texts in text_groups(batch):
                 for k, text in enumerate(texts, start):
-                    units = sorted({u for w in set(ascii_words(text)) if 2 < len(u := normal(w)) <= LONGEST})
+                    units = sorted({u for w in set(ascii_words(text)) if settings.shortest <= len(u := normal(w)) <= settings.longest})
                     yield {"unit": units, "label": [batch.column("label")[k].as_py()] * len(units)}
 
         return work
 
-    rows = arrow_map(sample, {"text": "text", "label": "label"}, "unit string, label int", make)
-    return checkpoint(rows.groupBy("unit").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).where("t + c >= 3"))
+    rows = arrow_map(sample.dropDuplicates(["text", "label"]), {"text": "text", "label": "label"}, "unit string, label int", make)
+    counts = rows.groupBy("unit").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
+    return checkpoint(counts.where(F.col("t") + F.col("c") >= settings.least_documents))
+
+
+def _closeness(units: DataFrame, bad_units: list[str]) -> DataFrame:
+    """unit and near, its highest kernel value with any of ``bad_units``, of the units that have one of FLOOR or more."""
+
+    def make():
+        marks = Landmarks(bad_units)
+
+        def work(batch: pa.RecordBatch):
+            names = batch.column("unit").to_pylist()
+            near = marks.kernel(names)
+            yield {"unit": [names[k] for k in near], "near": [float(v.max()) for v in near.values()]}
+
+        return work
+
+    return arrow_map(units, {"unit": "unit"}, "unit string, near double", make)
 
 
 def _training_rows(sample: DataFrame, names: list[str], n_bad: int) -> list:
@@ -310,8 +364,8 @@ def _training_rows(sample: DataFrame, names: list[str], n_bad: int) -> list:
                 out: list[tuple[int, np.ndarray]] = []
                 for k, (_, found) in enumerate(reader.sentences(texts), start):
                     label = batch.column("label")[k].as_py()
-                    pooled = sorted((np.maximum.reduce(s) for s in found), key=lambda v: -v[:n_bad].max())[: 1 if label else 2]
-                    out += [(label, v) for v in pooled or [np.zeros(len(names))]]
+                    closest = sorted(map(pooled, found), key=lambda v: -v[:n_bad].max())[: 1 if label else 2]
+                    out += [(label, v) for v in closest or [np.zeros(len(names))]]
                 yield dict(zip(("label", "kernel"), zip(*out)))
 
         return work
