@@ -2,17 +2,20 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the
 last return the columns of ``documents``. ``run`` writes each stage's result as Parquet in the
-folder that the executors share and reads it again for the next.
+folder that the executors share and reads it again for the next; the folders go when the driver's
+process ends.
 """
 
 from __future__ import annotations
 
+import contextlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.llm import host_rules, jaccard_join, packing, rule_ensemble
-from framesift.llm.common import id_split, shared_folder, table
+from framesift.llm.common import id_split, shared_folder, stored, table
 
 #: Score below which the classifier rejects a document.
 QUALITY = 0.7
@@ -20,33 +23,41 @@ QUALITY = 0.7
 BATCH_ROWS = 1000
 
 
-def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """Small Arrow batches while a stage works on texts; the session's own setting comes back after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least QUALITY; learns from labelled ones of the learning split."""
-    _small_batches(spark)
-    model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"), id_split("doc_id", 4) != 2)
-    return rule_ensemble.with_score(docs, model).where(F.col("_score") >= QUALITY).drop("_score")
+    with _small_batches(spark):
+        model = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"), id_split("doc_id", 4) != 2)
+        return stored(rule_ensemble.with_score(docs, model).where(F.col("_score") >= QUALITY).drop("_score"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and their host's verdict keep."""
-    _small_batches(spark)
-    return host_rules.filter_documents(docs)
+    with _small_batches(spark):
+        return host_rules.filter_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
-    _small_batches(spark)
-    return jaccard_join.keep_first(docs)
+    with _small_batches(spark):
+        return jaccard_join.keep_first(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of at most 4096 tokens."""
-    _small_batches(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    with _small_batches(spark):
+        return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import ascii_words, checkpoint, measured
+from framesift.llm.common import ascii_words, checkpoint, measured, stored
 
 _STATS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 _SYMBOLS = "#*$%&|<>"
@@ -105,25 +105,28 @@ def beta_prior(n: float, f: float, squares: float, hosts: float, q: float) -> tu
     return mu, (1 - rho) / rho
 
 
-def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:
-    """``df`` with columns _stats, _base_failed and _kept added; every row and column of it stays.
+def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", limits: Limits = Limits(), keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``df`` (None: all) with _stats, _base_failed and _kept added; every row stays.
 
-    The host table is joined by broadcast where it has at most ``broadcast_hosts`` rows, else by
-    shuffle with each host's rows dealt over salted parts.
+    Texts are measured once: rows with their statistics are written in the shared folder, and both
+    the hosts' rates and the verdicts are read from there. The host table is joined by broadcast
+    where it has at most ``broadcast_hosts`` rows, else by shuffle with each host's rows dealt over
+    salted parts.
     """
+    columns = df.columns if keep is None else keep
     host = F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")) if host_col in df.columns else F.lit("")
-    marked = df.withColumn("_host", host).withColumn("_stats", statistics(F.col(f"`{text_col}`")))
+    marked = stored(df.select(*[F.col(f"`{c}`") for c in columns], host.alias("_host"), statistics(F.col(f"`{text_col}`")).alias("_stats")))
     either = base_failed(F.col("_stats"), limits) | soft_failed(F.col("_stats"), limits)
     hosts = checkpoint(host_rates(marked, F.col("_host"), either).where(F.col("rate") > limits.max_host_rate).select("_host", F.lit(True).alias("_strict")))
     if hosts.count() <= limits.broadcast_hosts:
         joined = marked.join(F.broadcast(hosts), "_host", "left")
     else:
         salt = F.explode(F.sequence(F.lit(0), F.lit(31)))
-        row = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant"))]), F.lit(32)).cast("int")
+        row = F.pmod(F.xxhash64("_stats", F.monotonically_increasing_id()), F.lit(32)).cast("int")
         joined = marked.withColumn("_salt", row).join(hosts.withColumn("_salt", salt), ["_host", "_salt"], "left").drop("_salt")
     base = base_failed(F.col("_stats"), limits)
     kept = ~base & ~(soft_failed(F.col("_stats"), limits) & F.coalesce("_strict", F.lit(False)))
-    return joined.withColumns({"_base_failed": base, "_kept": kept}).select(*[F.col(f"`{c}`") for c in df.columns], "_stats", "_base_failed", "_kept")
+    return joined.withColumns({"_base_failed": base, "_kept": kept}).select(*[F.col(f"`{c}`") for c in columns], "_stats", "_base_failed", "_kept")
 
 
 def filter_documents(df: DataFrame, text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:

@@ -35,7 +35,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str, vocabulary: str = pub
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = host_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    judged = host_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     counts = [F.col(f"_stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
