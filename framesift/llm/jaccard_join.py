@@ -298,7 +298,9 @@ def _joined(df: DataFrame, id_col: str, text_col: str, settings: Settings) -> Da
     # classes of one row need no name
     classes = smallest.join(labels, "node", "left").where("comp IS NOT NULL OR copies > 1").withColumn("comp", F.coalesce("comp", "node"))
     first = F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low").alias("id"), "node"))
-    named = checkpoint(classes.groupBy("comp").agg(first.alias("keeper")).join(classes.select("comp", "node"), "comp").select("node", "keeper"))
+    # the keepers are cut off, so that Spark may split the rows of a large class when it joins them
+    keepers = checkpoint(classes.groupBy("comp").agg(first.alias("keeper")))
+    named = checkpoint(classes.select("comp", "node").join(keepers, "comp").select("node", "keeper"))
     found = rows.join(named, "node", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("keeper").isNull(), F.col("id")).otherwise(F.col("keeper.id"))).otherwise(F.col("id"))
     return found.select("id", "node", "n", component.alias("component_id"), F.when(F.col("n") > 0, F.col("keeper")).alias("keeper"))

@@ -31,8 +31,8 @@ STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 273, 27
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 
 _KINDS = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
-#: Longest side and sample count that a page may have; more is taken for a broken file.
-MAX_SIDE, MAX_BYTES = 1 << 24, 1 << 30
+#: Samples that a page may have: a binary cell of a table holds no more, so more is taken for a broken file.
+MAX_BYTES = (1 << 31) - 1
 
 
 class BadTiff(ValueError):
@@ -297,7 +297,7 @@ def _decode(data: bytes, fields: dict[int, list[int]]) -> Page:
     one = lambda tag, default=None: (fields.get(tag) or [default])[0]
     width, height, samples = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1)
     scheme, predictor, planes = one(COMPRESSION, NONE), one(PREDICTOR, PLAIN), one(PLANAR, 1)
-    if not (0 < width <= MAX_SIDE and 0 < height <= MAX_SIDE and 0 < samples <= 16 and width * height * samples <= MAX_BYTES):
+    if not (0 < width and 0 < height and 0 < samples <= 16 and width * height * samples <= MAX_BYTES):
         raise BadTiff("width, length or samples out of range")
     if any(b != 8 for b in fields.get(BITS, [1])):
         raise BadTiff("samples that aren't 8 bits")
@@ -392,9 +392,9 @@ def pages(df: DataFrame, content_col: str = "content", keep: tuple[str, ...] = (
 def store_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_bytes: int = 192) -> DataFrame:
     """Each text's UTF-8 bytes, padded with spaces to whole rows, as a one-page grey TIFF: id_col, n_bytes, content.
 
-    The payload's crc32 deals the files over the schemes: an eighth uses PackBits, an eighth LZW
-    (payloads up to 64 KiB; Python's slow path), the others deflate, with the predictor in two
-    thirds of the files and tiles in a quarter. Equal texts thus give equal files.
+    The payload's crc32 deals the files over the schemes, whatever their size: an eighth uses
+    PackBits, an eighth LZW, the others deflate, with the predictor in two thirds of the files and
+    tiles in a quarter. Equal texts thus give equal files.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -402,7 +402,7 @@ def store_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
         def store(raw: bytes) -> bytes:
             payload = raw + b" " * (-len(raw) % row_bytes or (0 if raw else row_bytes))
             mark = zlib.crc32(payload)
-            scheme = {0: PACKBITS, 1: LZW if len(payload) <= 1 << 16 else DEFLATE}.get(mark % 8, DEFLATE)
+            scheme = {0: PACKBITS, 1: LZW}.get(mark % 8, DEFLATE)
             image = np.frombuffer(payload, np.uint8).reshape(-1, row_bytes)
             return encode([image], scheme, DIFFERENCE if mark // 8 % 3 else PLAIN, tile=64 if mark // 24 % 4 == 0 else 0)
 

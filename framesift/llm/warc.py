@@ -9,7 +9,8 @@ Reading parses records by their Content-Length, groups continuation records by t
 their origin record, orders them by segment number, verifies that the numbers are gapless and that
 the bytes add up to WARC-Segment-Total-Length, and decodes chunked transfer framing. A record with
 missing segments, a wrong total or broken chunk framing is returned with ``valid`` false and a
-null payload; it doesn't stop the job.
+null payload, and so is what can't be read of a damaged file (without an identifier); neither
+stops the job.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 1 << 16, 1 << 13, 2000
 SALTS = 32
 
 _END = b"\r\n\r\n"
-_RECORD = "record_id string, record_type string, segment int, origin_id string, total_length bigint, refers_to string, target_uri string, payload_digest string, block binary"
+_RECORD = "error string, record_id string, record_type string, segment int, origin_id string, total_length bigint, refers_to string, target_uri string, payload_digest string, block binary"
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -77,20 +78,23 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return ("WARC/1.1\r\n" + "\r\n".join(lines)).encode() + _END + block
 
 
-def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record in an archive's bytes. A cut-off last record is left out."""
+def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes] | str]:
+    """Header fields and block of each record in an archive's bytes; where no record can be read, what is wrong, and no more."""
     at = 0
-    while (end := archive.find(_END, at)) >= 0:
-        lines = archive[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+    while at < len(archive):
+        end = archive.find(_END, at)
+        lines = archive[at : max(end, at)].decode("utf-8", "replace").split("\r\n")
+        if end < 0 or not lines[0].startswith("WARC/"):
+            yield f"no record at byte {at}"
+            return
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start = end + len(_END)
-        stop = start + int(fields["content-length"])
-        if stop > len(archive):
+        start, size = end + len(_END), fields.get("content-length", "")
+        if not (size.isascii() and size.isdigit()) or start + int(size) > len(archive):
+            yield f"no length, or one beyond the file, in the record at byte {at}"
             return
-        yield fields, archive[start:stop]
-        at = stop + len(_END)
+        at = start + int(size)
+        yield fields, archive[start:at]
+        at += len(_END) if archive[at : at + len(_END)] == _END else 0
 
 
 def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 1000) -> None:
@@ -147,27 +151,42 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under ``path``, gzip (any number of members) or plain, before reassembly."""
+    """Every record of the archives under ``path``, gzip (any number of members) or plain, before reassembly.
+
+    What a damaged file holds before the damage is returned, and one more row of it with ``error``
+    set and all else null; the other files aren't touched by that.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
     def make():
-        def plain(content: bytes) -> bytes:
-            parts = []
+        def plain(content: bytes) -> tuple[bytes, str | None]:
+            parts, fault = [], None
             while content[:2] == b"\x1f\x8b":
                 stream = zlib.decompressobj(31)
-                parts.append(stream.decompress(content) + stream.flush())
+                try:
+                    parts.append(stream.decompress(content) + stream.flush())
+                except zlib.error as e:
+                    return b"".join(parts), f"damaged gzip member: {e}"
+                if not stream.eof:
+                    fault = "gzip member cut off"
                 content = stream.unused_data
-            return b"".join(parts) + content
+            return b"".join(parts) + content, fault
 
         def number(text: str | None) -> int | None:
-            return int(text) if text and text.isdigit() else None
+            return int(text) if text and text.isascii() and text.isdigit() else None
 
         def work(batch: pa.RecordBatch):
             for content in batch.column("content"):
                 rows: list[tuple] = []
-                for fields, block in records(plain(content.as_py())):
-                    get = fields.get
-                    rows.append((get("warc-record-id"), get("warc-type"), number(get("warc-segment-number")), get("warc-segment-origin-id"), number(get("warc-segment-total-length")), get("warc-refers-to"), get("warc-target-uri"), get("warc-payload-digest"), block))
+                raw, fault = plain(content.as_py() or b"")
+                for found in records(raw):
+                    if isinstance(found, str):
+                        fault = fault or found
+                        continue
+                    get = found[0].get
+                    rows.append((None, get("warc-record-id"), get("warc-type"), number(get("warc-segment-number")), get("warc-segment-origin-id"), number(get("warc-segment-total-length")), get("warc-refers-to"), get("warc-target-uri"), get("warc-payload-digest"), found[1]))
+                if fault:
+                    rows.append((fault, *[None] * 9))
                 names = [x.split()[0] for x in _RECORD.split(", ")]
                 yield dict(zip(names, zip(*rows))) if rows else dict.fromkeys(names, ())
 
@@ -182,10 +201,12 @@ def reassemble(found: DataFrame) -> DataFrame:
     ``complete`` is false where a segment is missing, where segments of one number differ, where
     the first isn't there, or where the bytes don't add up to the total length. A record written
     several times with one identifier comes back as many times; its copies are counted before
-    anything is gathered. Only segmented records are shuffled.
+    anything is gathered. Only segmented records are shuffled. Rows with an ``error`` stay, not complete.
     """
     whole = ["record_id", "record_type", "refers_to", "target_uri", "payload_digest", "block"]
-    single = found.where("segment is null").select(*whole, F.lit(True).alias("complete"))
+    if "error" not in found.columns:
+        found = found.withColumn("error", F.lit(None).cast("string"))
+    single = found.where("segment is null").select(*whole, F.col("error").isNull().alias("complete"))
     parts = found.where("segment is not null").withColumn("origin", F.coalesce("origin_id", "record_id"))
     same = parts.groupBy("origin", "segment").agg(
         *(F.max(c).alias(c) for c in [*whole[1:], "total_length"]),
