@@ -1,6 +1,7 @@
 """TIFF pages, byte-level BPE and WARC: round trips, brute force, and awkward inputs."""
 
 import base64
+import gzip
 import hashlib
 import random
 import struct
@@ -88,6 +89,21 @@ def test_op1(spark, sf_dir):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def test_op1_stored_form_and_feature(spark, awkward):
+    """Length and hash of the stored bytes, and the feature from the payload's samples one by one."""
+    stored = {(r.doc_id, r.n_bytes): bytes(r.content) for r in tiff.store_text(awkward).collect()}
+    for r in tiff.pages(tiff.store_text(awkward), keep=("doc_id", "n_bytes")).collect():
+        content, raw = stored[r.doc_id, r.n_bytes], bytes(r.pixels)
+        assert (r.media_bytes, r.media_sha256) == (len(content), hashlib.sha256(content).hexdigest())
+        n, mean = len(raw), sum(raw) / len(raw)
+        spread = max(0.0, sum(x * x for x in raw) / n - mean**2) ** 0.5
+        steps = sum(abs(a - b) for a, b in zip(raw, raw[192:])) / n
+        assert r.feature == f"192x{n // 192}x1 mean={mean:.4f} sd={spread:.4f} step={steps:.4f}"
+    # compression is dealt by the payload's checksum, whatever its size
+    kinds = {r.compression for r in tiff.pages(tiff.store_text(spark.createDataFrame([(i, f"{i} " * 40_000) for i in range(40)], "doc_id int, text string"))).collect()}
+    assert kinds == {tiff.LZW, tiff.DEFLATE, tiff.PACKBITS}
+
+
 @pytest.fixture(scope="module")
 def reference():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
@@ -157,6 +173,23 @@ def test_warc_awkward_pages(spark, tmp_path):
     assert warc.read_archives(spark, path + "-none").count() == 0
 
 
+def test_damaged_archives_dont_stop_the_job(spark, tmp_path):
+    good = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<a>")], b"HTTP/1.1 200 OK\r\n\r\nbody") + b"\r\n\r\n"
+    packed = gzip.compress(good)
+    damaged = packed + packed[:20] + bytes(30)
+    files = {
+        "good.warc": good, "bytes.warc": b"no record at all\r\n\r\nx", "empty.warc": b"", "nolength.warc": good + b"WARC/1.1\r\nWARC-Type: response\r\n\r\nx",
+        "length.warc": b"WARC/1.1\r\nContent-Length: \xc2\xb2\r\n\r\n", "cut.warc": good[:-10], "member.warc.gz": damaged, "cutgzip.warc.gz": packed[:-12],
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    found = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    assert sum(r.valid for r in found) >= 3 and all(bytes(r.payload) == b"body" and r.record_id == "<a>" for r in found if r.valid)
+    faults = warc.read_records(spark, f"file://{tmp_path}").where("error IS NOT NULL").collect()
+    assert len(faults) == 6 and all(r.record_id is None and r.block is None for r in faults)
+    assert sum(not r.valid for r in found) == 6
+
+
 def test_reassembly_finds_faults(spark):
     columns = ["record_id", "record_type", "segment", "origin_id", "total_length", "refers_to", "target_uri", "payload_digest", "block"]
     part = lambda origin, n, block, total=None: (origin if n == 1 else f"{origin}.{n}", "response" if n == 1 else "continuation", n, None if n == 1 else origin, total, None, None, None, block)

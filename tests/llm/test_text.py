@@ -46,7 +46,6 @@ def check_packed(rows, lengths, capacity=4096):
 
 def test_op2_packs_all_tokens(spark, sf_dir, documents):
     model = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    model.encode_special_tokens = True
     wanted, lengths = {}, []
     for r in documents.collect():
         ids = model.encode(r.text or "", add_special_tokens=False).ids + [1]
@@ -78,13 +77,29 @@ def test_packing_in_blocks(spark):
 
 def test_word_ids_equal_the_library():
     model = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    model.encode_special_tokens = True
     own, rnd = packing.WordIds(P.path("word_bpe_49k.json")), random.Random(2)
     for _ in range(300):
         text = "".join(rnd.choice("abC'st  \n.,1é́Σς字\x1c <|endoftext|>") for _ in range(rnd.randint(0, 50)))
         assert own.ids(text) == np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_special_tokens_are_the_library_s():
+    """The contract's plain call reads a special token's text as that token."""
+    model, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), packing.WordIds(P.path("word_bpe_49k.json"))
+    for text in ("a<|endoftext|>b", "<|startoftext|> x <|ENDOFTEXT|> <| endoftext|>", "é—<|endoftext|>", "word " * 60_000 + "<|endoftext|>"):
+        assert own.ids(text) == np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(own.ids("<|endoftext|>")) == 4
+
+
+def test_memory_is_bounded_and_exact(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 6)
+    model, own, rnd = Tokenizer.from_file(P.path("word_bpe_49k.json")), packing.WordIds(P.path("word_bpe_49k.json")), random.Random(3)
+    for _ in range(80):
+        text = " ".join(rnd.choice(["alpha", "beta's", "42", "été", "x!", "ÿñ", "gamma—ray"]) for _ in range(9))
+        assert own.ids(text) == np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(own.known) <= 3 and len(own.known.old) <= 3
+
+
 def test_local_search_empties_bins():
     # best fit first leaves three bins; exchanges fit the lengths into two
     bins = packing.best_fit([6, 5, 5, 4, 4, 3, 3], 15)
@@ -132,6 +147,11 @@ def test_host_verdicts(spark, awkward):
     assert {r.doc_id: r._kept for r in many.collect()} == {k: r._kept for k, r in found.items()}
 
 
+def test_judge_keeps_what_is_asked(awkward):
+    judged = host_rules.judge(awkward, keep=["doc_id", "length"])
+    assert judged.columns == ["doc_id", "length", "_stats", "_base_failed", "_kept"] and judged.count() == len(AWKWARD)
+
+
 def test_beta_prior():
     assert host_rules.beta_prior(0, 0, 0, 0, 0) == (0.0, 1.0)
     mu, strength = host_rules.beta_prior(200.0, 100.0, 20_000.0, 2.0, 100.0)  # one host all bad, one all good
@@ -204,6 +224,26 @@ def test_rules_on_awkward_rows(spark, awkward):
     assert none.rules == []
 
 
+def test_compiled_rules_equal_direct_evaluation(spark, sf_dir):
+    """The column expression against plain Python over the same statistics, for a fitted model."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_ensemble.fit(documents, table(spark, sf_dir, "labels"), id_split("doc_id", 4) != 2, settings=rule_ensemble.Settings(trees=6))
+    assert model.rules
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in rule_ensemble.with_score(documents, model).collect():
+        s = dict(zip(rule_ensemble.STATISTICS, rule_ensemble.text_statistics(texts[r.doc_id] or "")))
+        total = model.constant + sum(w for rule, w in model.rules if all(s[f] > t if above else s[f] <= t for f, above, t in rule))
+        assert r._score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
+
+
+def test_samples_are_bounded_and_repeatable(spark):
+    rows = [(i, f"text {i}") for i in range(3000)] + [(7, "an earlier text"), (7, None)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(3000)] + [(None, 1), (5, None), (6, 7)], "doc_id bigint, toxic int")
+    take = lambda order: sorted(map(tuple, toxicity.sample_rows(spark.createDataFrame(order, "doc_id bigint, text string").repartition(3), labels, F.lit(True), 40, "doc_id", "text", "toxic").collect()))
+    found = take(rows)
+    assert [sum(label == k for _, label in found) for k in (0, 1)] == [40, 40] and found == take(rows[::-1])
+
+
 def test_op7_held_out(spark):
     sf = "/root/testdata/sf0.01"
     both = queries.op7_language_id(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -221,6 +261,79 @@ def test_language_of_awkward_rows(spark, awkward):
     assert langid.predict(train, langid.fit(train.limit(0), F.lit(True))).first().lang_pred == "und"
 
 
+def test_language_scores_equal_explicit_kernels(spark):
+    """Folded scores against kernels of texts with landmarks, Nyström features and a ridge solved in the open."""
+    rnd, parts = random.Random(2), {"en": ["the ", "dog ", "and ", "walk "], "es": ["el ", "perro ", "que ", "anda "], "fr": ["le ", "chien ", "et ", "vœu "]}
+    train = [(i, "".join(rnd.choice(parts[k]) for _ in range(rnd.randint(2, 9))), k) for i in range(60) for k in parts]
+    train = [(n, t, k) for n, (_, t, k) in enumerate(train)]
+    settings = langid.Settings(sample=30, landmarks=12, ridge=1e-3)
+    df = spark.createDataFrame(train, "doc_id bigint, text string, lang string")
+    model = langid.fit(df, F.lit(True), settings=settings)
+    order = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    grams = langid.Grams()
+    kernel = lambda a, b: len(np.intersect1d(a, b)) / (len(a) * len(b)) ** 0.5
+    names, own = sorted(parts), {}
+    for k in names:
+        own[k] = [grams.present(t) for _, t in sorted((order[i], t) for i, t, lang in train if lang == k)[:30]]
+    marks = [g for k in names for g in own[k][:4]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    good = values > 1e-8 * values.max()
+    half = vectors[:, good] * values[good] ** -0.5
+    feature = lambda g: np.append(np.array([kernel(g, m) for m in marks]) @ half, 1.0)
+    rows = [(feature(g), k) for k in names for g in own[k]]
+    x, weight = np.array([f for f, _ in rows]), np.array([1 / len(own[k]) / 3 for _, k in rows])
+    y = np.array([[1.0 if k == c else -1.0 for c in names] for _, k in rows])
+    solved = np.linalg.solve(x.T @ (x * weight[:, None]) + settings.ridge * np.eye(x.shape[1]), x.T @ (y * weight[:, None]))
+    probes = [(1, "the perro and"), (2, "le chien que"), (3, "walk walk anda")]
+    found = {r.doc_id: r for r in langid.predict(spark.createDataFrame(probes, "doc_id int, text string"), model).collect()}
+    for i, text in probes:
+        outputs = feature(grams.present(text)) @ solved
+        odds = np.exp(settings.sharpness * (outputs - outputs.max()))
+        assert found[i].lang_pred == names[outputs.argmax()] and found[i].score == pytest.approx(odds.max() / odds.sum(), abs=1e-6)
+
+
+def test_kernel_equals_explicit_subsequences():
+    """Kernel values against a plain enumeration of subsequences and their weights."""
+
+    def weights(unit):
+        found = collections.Counter()
+        for i in range(len(unit)):
+            for j in range(i + 1, len(unit)):
+                for k in range(j + 1, len(unit)):
+                    if j - i <= 3 and k - j <= 3 and k - i <= 5:
+                        found[unit[i], unit[j], unit[k]] += toxicity.DAMPING ** (k - i - 2)
+        return found
+
+    def plain(a, b):
+        x, y = weights(f"\x02{a}\x03"), weights(f"\x02{b}\x03")
+        return sum(x[s] * y[s] for s in x) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+
+    marks, units = ["idiot", "clown", "worthless"], ["idiot", "idi0t", "idxiot", "clowns", "clawn", "worthles", "harmless", "tree", "idiotidiot"]
+    found = toxicity.Landmarks(marks).kernel(units)
+    for k, u in enumerate(units):
+        for j, m in enumerate(marks):
+            exact = plain(u, m)
+            if abs(exact - toxicity.FLOOR) > 0.01:
+                assert (found[k][j] if k in found else 0) == pytest.approx(exact if exact >= toxicity.FLOOR else 0, abs=0.01), (u, m)
+
+
+def test_scores_depend_on_the_text_alone():
+    """One text after different reading histories, and beside different neighbours."""
+    marks = ["idiot", "clown", "stupid"]
+    model = toxicity.Model(marks, np.array([1.5, 1.0, 0.5]), -0.7, np.array([1.0, 0.8, 0.2, -0.5]))
+    text = "You IDIOT, an idiot!! i d i o t and Idiot. St-upid clown; clown CLOWN."
+    histories = [[], ["Idiot"], ["idiot", "IDIOT CLOWN"], ["clown; stupid", "other words " * 50, "i d i o t"]]
+    scores = set()
+    for history in histories:
+        reader = toxicity.Reader(toxicity.Landmarks(marks))
+        for t in history:
+            reader.sentences([t])
+        scores |= {model.score(*s) for s in (reader.sentences([text])[0], reader.sentences(["some idiot", text])[1])}
+    assert len(scores) == 1
+    n_words, sentences = toxicity.Reader(toxicity.Landmarks(marks)).sentences([text])[0]
+    assert {u for s in sentences for u, _ in s} == {"idiot", "st-upid", "clown"} and n_words == 15
+
+
 def test_op9_held_out(spark):
     sf = "/root/testdata/sf0.1"
     share, both = accuracy(queries.op9_toxicity(spark, sf), table(spark, sf, "labels"), "toxic")
