@@ -37,6 +37,8 @@ LONGEST = 24
 #: Bits of a subsequence's number, damping of each skipped character, and the offsets of the second and third character.
 BITS, DAMPING = 16, 0.6
 STEPS = [(a, b) for a in range(1, 4) for b in range(1, 4) if a + b <= 5]
+#: Weights by the number of skipped characters, as whole numbers: their sums are exact in any order.
+WEIGHTS = np.array([round(1000 * DAMPING**k) for k in range(4)], float)
 #: Kernel values below this count as 0: low enough for words with two inserted characters or one replaced (test_disguised_insults).
 FLOOR = 0.35
 #: Words that a worker process remembers.
@@ -80,22 +82,29 @@ def windows(unit: str) -> list[str]:
 
 
 def subsequences(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit, subsequence number and weight of every three-character subsequence of bounded span."""
+    """Unit, number and weight of every three-character subsequence of bounded span, one entry for each unit and number."""
+    if not units:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     sizes = np.fromiter(map(len, units), np.int64, len(units))
     code = np.frombuffer("".join(units).encode("utf-32-le", "replace"), np.uint32)
-    owner = np.repeat(np.arange(len(units)), sizes)
+    owner = np.repeat(np.arange(len(units)) << (BITS + 2), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(code))  # characters from here to the unit's end
-    who, which, weight = [], [], []
+    packed = []
     for a, b in STEPS:
         at = (left > a + b).nonzero()[0]
         mixed = code[at]
         for step in (a, a + b):
             mixed = (mixed * np.uint32(0x9E3779B1)) ^ code[at + step]
         mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)
-        who.append(owner[at])
-        which.append(mixed.astype(np.int64))
-        weight.append(np.full(len(at), DAMPING ** (a + b - 2)))
-    return np.concatenate(who), np.concatenate(which), np.concatenate(weight)
+        packed.append(owner[at] | (mixed.astype(np.int64) << 2) | (a + b - 2))
+    # unit, number and skipped characters in one number each, so that plain sorting brings equal ones together
+    entries = np.concatenate(packed)
+    entries.sort()
+    key = entries >> 2
+    first = np.concatenate(([True], key[1:] != key[:-1])).nonzero()[0] if len(key) else np.empty(0, np.int64)
+    weight = np.add.reduceat(WEIGHTS[entries & 3], first) if len(key) else np.empty(0)
+    key = key[first]
+    return key >> BITS, key & ((1 << BITS) - 1), weight
 
 
 @dataclass
@@ -111,7 +120,7 @@ class Landmarks:
     def __post_init__(self):
         # for each subsequence of a landmark (row) the landmarks that have it and their normalised weights
         parts = [windows(u)[0] for u in self.units]
-        who, which, weight = subsequences(parts) if parts else (np.empty(0, np.int64),) * 3
+        who, which, weight = subsequences(parts)
         seen = np.unique(which)
         self.row = np.full(1 << BITS, -1, np.int32)
         self.row[seen] = np.arange(len(seen))
@@ -132,13 +141,7 @@ class Landmarks:
         if not parts or not self.units:
             return {}
         who, which, weight = subsequences(parts)
-        # one entry for each subsequence of a part
-        order = np.argsort(key := who << BITS | which, kind="stable")
-        key, weight = key[order], weight[order]
-        first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-        weight = np.add.reduceat(weight, first.nonzero()[0]) if len(key) else weight
-        key = key[first]
-        who, row = key >> BITS, self.row[key & ((1 << BITS) - 1)]
+        row = self.row[which]
         norms = np.maximum(np.bincount(who, weight**2, len(parts)), 1e-12)
         # what a part has on the landmarks' subsequences bounds all its kernel values
         bound = np.bincount(who[row >= 0], weight[row >= 0] ** 2, len(parts)) / norms
