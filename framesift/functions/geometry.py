@@ -93,6 +93,12 @@ def pixel_grid(w: Column, h: Column, width: Column) -> dict[str, Column]:
     return {"block": block, "cols": F.ceil(w / block), "rows": F.ceil(h / block)}
 
 
+def label_chip(box: dict[str, Column], width: Column, height: Column) -> dict[str, Column]:
+    """Font size of a label on a canvas, and where its chip and text stand above a top-left box."""
+    font = F.greatest(F.lit(11), half_up(F.least(width, height) * 0.012)).cast("bigint")
+    return {"font": font, "chip_y": box["y"] - font - 3, "chip_h": font + 3, "text_x": box["x"] + 2, "text_y": box["y"] - 5}
+
+
 def rounded_distance(px: Column, py: Column, box: dict[str, Column]) -> Column:
     """Signed distance from a point to a rounded box (ox, oy, dw, dh and a radius for each corner)."""
     hx, hy = box["dw"] / 2, box["dh"] / 2

@@ -49,3 +49,19 @@ def size_parts(n: Column) -> tuple[Column, Column]:
     """Decimal unit (KB, MB, GB) of a number of bytes, and the amount in it."""
     unit = F.when(n < 1_000_000, "KB").when(n < 1_000_000_000, "MB").otherwise("GB")
     return unit, n / F.when(n < 1_000_000, 1e3).when(n < 1_000_000_000, 1e6).otherwise(1e9)
+
+
+def clock(seconds: Column) -> Column:
+    """m:ss.SSS of seconds, to the nearest thousandth; null for null."""
+    m = F.floor(seconds / 60)
+    return F.when(seconds.isNotNull(), F.concat_ws(":", m.cast("string"), F.format_string("%06.3f", seconds - m * 60)))
+
+
+def log_time(at: Column) -> Column:
+    """hh:mm:ss.SSS of a timestamp, in the session's zone."""
+    return F.date_format(at, "HH:mm:ss.SSS")
+
+
+def scrubbed(value: Column, most: Column, duration_s: Column) -> Column:
+    """Seconds at a scrubber's place; null without a length of the scrubber."""
+    return F.try_divide(value, most) * duration_s

@@ -6,15 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def run_batch(items: DataFrame, result: Column, failure: Column, cancelled: Column) -> DataFrame:
-    """``items`` with status and output: a failed or cancelled item doesn't stop the others.
+def run_batch(items: DataFrame, keys: list[str], order: str, result: Column, failure: Column, aborted: Column) -> DataFrame:
+    """``items`` with status, error, output and done: a failed item doesn't stop the others, an aborted one stops its batch.
 
-    ``failure`` is null where the item's work succeeded. Cancelled items have no output; ``done``
-    counts failures as completed, as progress does.
+    Items of a batch (``keys``) run in ``order``: from the first on whose work is ``aborted`` (null:
+    no) all are cancelled. ``failure`` is null where the item's work succeeded. Cancelled items
+    have no output; ``done`` counts failures as completed, as progress does. The first abort of
+    each batch is a pre-aggregated minimum; batches with a null key run like others.
     """
-    status = F.when(cancelled, "cancelled").when(failure.isNotNull(), "error").otherwise("ok")
-    rows = items.withColumns({"status": status, "error": F.when(~cancelled, failure)})
-    return rows.withColumns({"output": F.when(F.col("status") == "ok", result), "done": F.col("status") != "cancelled"})
+    # the flags may be any expressions, so they are columns before the join
+    rows = items.withColumns({"_aborted": F.coalesce(aborted, F.lit(False)), "_failure": failure, "_result": result})
+    first = rows.where("_aborted").groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(order).alias("_first"))
+    met = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    cancelled = F.coalesce(F.col(order) >= F.col("_first"), F.lit(False))
+    rows = rows.join(first, met, "left").withColumn("_cancelled", cancelled)
+    status = F.when(F.col("_cancelled"), "cancelled").when(F.col("_failure").isNotNull(), "error").otherwise("ok")
+    rows = rows.withColumns({"status": status, "error": F.when(~F.col("_cancelled"), F.col("_failure"))})
+    rows = rows.withColumns({"output": F.when(F.col("status") == "ok", F.col("_result")), "done": F.col("status") != "cancelled"})
+    return rows.select(*items.columns, "status", "error", "output", "done")
 
 
 def summary(batch: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,6 +32,12 @@ def summary(batch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_files(files: DataFrame, path: str, rows_per_file: int = 1000) -> None:
-    """Write files (name, content) as Parquet with bounded part files; the latest of equal names wins by ``exported_at``."""
-    best = files.groupBy("name").agg(F.max_by("content", "exported_at").alias("content"), F.max("exported_at").alias("exported_at"))
+    """Write files (name, content) as Parquet with bounded part files; the latest of equal names wins by ``exported_at``, of equally late ones the larger content."""
+    best = files.groupBy("name").agg(F.max_by("content", F.struct("exported_at", "content")).alias("content"), F.max("exported_at").alias("exported_at"))
     best.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def joined_log(ring: DataFrame, entry: Column) -> DataFrame:
+    """file_id and text: the entries of each file's ring (n, 1 for the latest), oldest first, a line each. A ring bounds what a row gathers; null entries are left out."""
+    lines = ring.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("n", entry.alias("line"))), asc=False).alias("lines"))
+    return lines.select("file_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,25 +53,48 @@ def suppress(boxes: DataFrame, overlap: float = OVERLAP, k: int = TOP) -> DataFr
 
 
 def suppress_dense(boxes: DataFrame, overlap: float = OVERLAP, k: int = TOP) -> DataFrame:
-    """The same as ``suppress`` for frames with many boxes, where the fold's copying would dominate: one array pass per kept box."""
-    schema = "frame_id bigint, label string, anchor bigint, conf double, cx double, cy double, w double, h double"
+    """The same as ``suppress`` for frames with many boxes, where the fold's copying would dominate.
 
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rank")
-        left, right = (part.cx - part.w / 2).to_numpy(), (part.cx + part.w / 2).to_numpy()
-        top, bottom = (part.cy - part.h / 2).to_numpy(), (part.cy + part.h / 2).to_numpy()
-        area = (part.w * part.h).to_numpy()
-        open_, kept = np.ones(len(part), bool), []
-        for i in range(len(part)):
-            if not open_[i]:
+    Groups stream through a task one after another in Arrow batches, so calls are as many as
+    batches, not as groups; a group is at most k boxes, whose overlaps are one k x k matrix.
+    """
+    schema = "frame_id bigint, label string, anchor bigint, conf double, cx double, cy double, w double, h double"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def kept(cx: np.ndarray, cy: np.ndarray, w: np.ndarray, h: np.ndarray) -> list[int]:
+        sides = lambda c, s: np.maximum(0, np.minimum.outer(c + s / 2, c + s / 2) - np.maximum.outer(c - s / 2, c - s / 2))
+        inter, area = sides(cx, w) * sides(cy, h), w * h
+        union = np.add.outer(area, area) - inter
+        over = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0) > overlap
+        open_, found = np.ones(len(cx), bool), []
+        for i in range(len(cx)):
+            if open_[i]:
+                found.append(i)
+                open_ &= ~over[i]
+        return found
+
+    def pick(part: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        sides = [part[c].to_numpy(float) for c in ("cx", "cy", "w", "h")]
+        rows = [a + i for a, b in zip(cuts, cuts[1:]) for i in kept(*(s[a:b] for s in sides))]
+        return part.iloc[rows][names]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for part in parts:
+            part = part if rest is None or not len(rest) else pd.concat([rest, part], ignore_index=True)
+            if not len(part):
                 continue
-            kept.append(i)
-            inter = np.maximum(0, np.minimum(right[i], right) - np.maximum(left[i], left)) * np.maximum(0, np.minimum(bottom[i], bottom) - np.maximum(top[i], top))
-            union = area[i] + area - inter
-            open_ &= ~(np.divide(inter, union, out=np.zeros_like(inter), where=union > 0) > overlap)
-        return part.iloc[kept][["frame_id", "label", "anchor", "conf", "cx", "cy", "w", "h"]]
-
-    return top_per_class(boxes, k).groupBy("frame_id", "label").applyInPandas(pick, schema)
+            frame, label = part["frame_id"], part["label"]
+            same = ((frame == frame.shift()) | (frame.isna() & frame.shift().isna())) & (label == label.shift())
+            starts = np.flatnonzero(~same.to_numpy()).tolist()
+            # the last group may go on in the next batch
+            yield pick(part, starts)
+            rest = part.iloc[starts[-1] :].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield pick(rest, [0, len(rest)])
+
+    ranked = top_per_class(boxes, k).sortWithinPartitions("frame_id", "label", "rank")
+    return ranked.mapInPandas(run, schema)
 
 
 def filter_detections(found: DataFrame, least: float, labels: tuple[str, ...]) -> DataFrame:

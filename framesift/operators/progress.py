@@ -54,6 +54,19 @@ def batch_remaining(items: DataFrame, average_ms: Column) -> DataFrame:
     return items.withColumn("remaining_all", F.floor(current) + F.coalesce(F.sum(whole).over(later), F.lit(0.0)))
 
 
+def still_exported(exported: Column, changed: Column) -> Column:
+    """Whether an exported item stays so: any changed setting makes it unexported (null: nothing changed)."""
+    return F.coalesce(exported, F.lit(False)) & (F.coalesce(F.size(changed), F.lit(0)) <= 0)
+
+
+def exported_by_run(succeeded: Column, trim: list[tuple[Column, Column]]) -> Column:
+    """Whether an item counts as exported after a run: it succeeded, and every (then, now) bound of its trim is unchanged; null equals null."""
+    same = F.coalesce(succeeded, F.lit(False))
+    for then, now in trim:
+        same = same & then.eqNullSafe(now)
+    return same
+
+
 def needs_redraw(changed: Column) -> Column:
     """Whether any changed setting concerns more than the export."""
     return ~F.forall(changed, lambda k: k.isin(*EXPORT_ONLY))

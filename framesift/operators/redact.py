@@ -1,4 +1,10 @@
-"""Pixels of frames: redaction of boxes, masks, model input, sample depth. One frame to a row, in Arrow batches."""
+"""Pixels of frames: redaction of boxes, masks, model input, sample depth. One frame to a row.
+
+Frames are read one at a time from an Arrow batch and handed on in groups of a few MB, so that at
+4K no batch stands twice in memory; how many frames Spark puts into a batch is the session's
+``spark.sql.execution.arrow.maxRecordsPerBatch``. Null pixels, and pixels whose number doesn't fit
+the size, stay as they are in ``redact`` and give null elsewhere.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +19,8 @@ from framesift.functions import geometry as g
 
 #: Value that fills the model input around a picture (fixed value).
 GREY = 114
+#: Bytes of pixels that are handed on at a time.
+GROUP_BYTES = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -52,14 +60,18 @@ def mask(width: int, height: int, feather: float, ox: float, oy: float, box: Box
 
 
 def stack_blur(pixels: np.ndarray, radius: int) -> np.ndarray:
-    """Blur of an image (rows x columns x channels) by a triangle of the given radius along both axes, edges repeated."""
-    weights = np.concatenate([np.arange(1, radius + 2), np.arange(radius, 0, -1)]).astype(float)
-    out = pixels.astype(float)
+    """Blur of an image (rows x columns x channels) by a triangle of the given radius along both axes, edges repeated.
+
+    A triangle is a box over a box: two running sums for each axis, whatever the radius.
+    """
+    out, side = pixels.astype(np.int64), radius + 1
     for axis in (1, 0):
-        padded = np.pad(out, [(radius, radius) if a == axis else (0, 0) for a in range(3)], mode="edge")
-        n = out.shape[axis]
-        out = sum(weight * np.take(padded, np.arange(k, k + n), axis=axis) for k, weight in enumerate(weights)) / weights.sum()
-        out = np.floor(out)
+        out = np.pad(out, [(radius, radius) if a == axis else (0, 0) for a in range(3)], mode="edge")
+        for _ in range(2):
+            sums = np.cumsum(np.pad(out, [(1, 0) if a == axis else (0, 0) for a in range(3)]), axis=axis)
+            n = sums.shape[axis]
+            out = np.take(sums, np.arange(side, n), axis=axis) - np.take(sums, np.arange(n - side), axis=axis)
+        out //= side * side
     return out.astype(np.uint8)
 
 
@@ -70,8 +82,12 @@ def half_up(x: float) -> int:
 def fill(pixels: np.ndarray, box: Box, colour: tuple[int, int, int]) -> None:
     """Paint the rounded box."""
     height, width = pixels.shape[:2]
-    px, py = np.meshgrid(np.arange(width) + 0.5, np.arange(height) + 0.5)
-    pixels[distance(px, py, box.x, box.y, box.w, box.h, box.corners) <= 0, :3] = colour
+    x0, y0 = max(0, int(np.floor(box.x)) - 1), max(0, int(np.floor(box.y)) - 1)
+    x1, y1 = min(width, int(np.ceil(box.x + box.w)) + 1), min(height, int(np.ceil(box.y + box.h)) + 1)
+    if x0 >= x1 or y0 >= y1:
+        return
+    px, py = np.meshgrid(np.arange(x0, x1) + 0.5, np.arange(y0, y1) + 0.5)
+    pixels[y0:y1, x0:x1, :3][distance(px, py, box.x, box.y, box.w, box.h, box.corners) <= 0] = colour
 
 
 def pixelate(pixels: np.ndarray, box: Box) -> None:
@@ -111,7 +127,7 @@ def blur(pixels: np.ndarray, box: Box) -> None:
 
 def _clipped(detection: dict, width: int, height: int) -> Box:
     x, y, w, h = (detection[c] for c in "xywh")
-    r = half_up(min(w, h) / 2 * g.CORNER[detection["label"]])
+    r = half_up(min(w, h) / 2 * g.CORNER.get(detection["label"], 0))
     near_x, near_y = width * g.EDGE, height * g.EDGE
     left, top, right, bottom = x < near_x, y < near_y, x + w > width - near_x, y + h > height - near_y
     bx, by = (0 if left else x), (0 if top else y)
@@ -122,43 +138,80 @@ def _clipped(detection: dict, width: int, height: int) -> Box:
 
 
 def redact(frames: DataFrame, mode: str = "blur", colour: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
-    """``frames`` (frame_id, width, height, rgba, detections) with rgba redacted: solid, pixelate or blur.
+    """``frames`` (frame_id, width, height, rgba, detections, ...) with rgba redacted: solid, pixelate or blur.
 
     Detections apply in their order. Redaction depends on the frame's own row alone; frames with a
-    pixel count that doesn't fit, or without detections, come back as they are.
+    pixel count that doesn't fit, with a null size or without detections come back as they are. A
+    detection that is null or has a null or NaN coordinate has no place and is passed over; one
+    with a label other than plate and person, or none, has square corners.
     """
-    schema = frames.schema
+    paint = {"solid": lambda pixels, box: fill(pixels, box, colour), "pixelate": pixelate, "blur": blur}[mode]
+
+    def redacted(raw: bytes | None, w: int | None, h: int | None, detections: list | None) -> bytes | None:
+        placed = [d for d in detections or [] if d and all(d[c] is not None and d[c] == d[c] for c in "xywh")]
+        if not raw or not placed or w is None or h is None or len(raw) != w * h * 4:
+            return raw
+        pixels = np.frombuffer(raw, np.uint8).reshape(h, w, 4).copy()
+        for d in placed:
+            paint(pixels, _clipped(d, w, h))
+        return pixels.tobytes()
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                w, h, raw = row["width"], row["height"], row["rgba"]
-                if raw and row["detections"] and len(raw) == w * h * 4:
-                    pixels = np.frombuffer(raw, np.uint8).reshape(h, w, 4).copy()
-                    for d in row["detections"]:
-                        box = _clipped(d, w, h)
-                        {"solid": lambda: fill(pixels, box, colour), "pixelate": lambda: pixelate(pixels, box), "blur": lambda: blur(pixels, box)}[mode]()
-                    row["rgba"] = pixels.tobytes()
-            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+            names, place = batch.schema.names, batch.schema.get_field_index("rgba")
+            columns = [batch.column(c) for c in ("rgba", "width", "height", "detections")]
+            start, size, out = 0, 0, []
+            for i in range(batch.num_rows):
+                out.append(redacted(*(c[i].as_py() for c in columns)))
+                size += len(out[-1] or b"")
+                if size >= GROUP_BYTES or i == batch.num_rows - 1:
+                    part = batch.slice(start, len(out))
+                    pixels = pa.array(out, batch.schema.field("rgba").type)
+                    yield pa.RecordBatch.from_arrays([pixels if k == place else part.column(k) for k in range(len(names))], schema=batch.schema)
+                    start, size, out = i + 1, 0, []
+
+    return frames.mapInArrow(run, frames.schema)
+
 
-    return frames.mapInArrow(run, schema)
+def _each(kind: pa.DataType, make, *columns: pa.Array) -> pa.Array:
+    """``make`` of each row's values, one row as Python values at a time; null where it gives None."""
+    return pa.array((make(*(c[i].as_py() for c in columns)) for i in range(len(columns[0]))), kind)
 
 
 def tensor(rgba: Column, width: Column, height: Column) -> Column:
-    """Planar float32 RGB in 0 to 1, as little-endian bytes, of an RGBA picture."""
+    """Planar float32 RGB in 0 to 1, as little-endian bytes, of an RGBA picture; null where the pixels don't fit the size."""
+
+    def planes(raw: bytes | None, w: int | None, h: int | None) -> bytes | None:
+        if raw is None or w is None or h is None or len(raw) != w * h * 4:
+            return None
+        return (np.frombuffer(raw, np.uint8).reshape(h, w, 4)[:, :, :3].transpose(2, 0, 1).astype("<f4") / np.float32(255)).tobytes()
 
     @F.arrow_udf("binary")
     def build(raw: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
-        out = []
-        for r, a, b in zip(raw.to_pylist(), w.to_pylist(), h.to_pylist()):
-            planes = np.frombuffer(r, np.uint8).reshape(b, a, 4)[:, :, :3].transpose(2, 0, 1)
-            out.append((planes.astype("<f4") / np.float32(255)).tobytes())
-        return pa.array(out, pa.binary())
+        return _each(pa.binary(), planes, raw, w, h)
 
     return build(rgba, width, height)
 
 
+def channel_sums(rgba: Column) -> Column:
+    """Struct of the sums of red, green and blue over a picture's pixels, of red times the pixel's number, and of pixels of which some channel is above 10."""
+
+    def sums(raw: bytes | None) -> dict | None:
+        if raw is None:
+            return None
+        pixels = np.frombuffer(raw, np.uint8)[: len(raw) // 4 * 4].reshape(-1, 4)[:, :3].astype(np.int64)
+        red, green, blue = pixels.sum(axis=0).tolist()
+        return {"red": red, "green": green, "blue": blue, "red_moment": int(pixels[:, 0] @ np.arange(len(pixels))), "lit": int((pixels.max(axis=1) > 10).sum()) if len(pixels) else 0}
+
+    names = ("red", "green", "blue", "red_moment", "lit")
+
+    @F.arrow_udf(", ".join(f"{n} bigint" for n in names))
+    def run(raw: pa.Array) -> pa.Array:
+        return _each(pa.struct([(n, pa.int64()) for n in names]), sums, raw)
+
+    return run(rgba)
+
+
 def snapshot(pixels: np.ndarray, side: int = g.SIDE) -> np.ndarray:
     """A picture scaled into the model's square, nearest sample, grey around it."""
     h, w = pixels.shape[:2]
@@ -172,18 +225,21 @@ def snapshot(pixels: np.ndarray, side: int = g.SIDE) -> np.ndarray:
 
 
 def to_8_bit(planes: Column, width: Column, height: Column, layout: Column) -> Column:
-    """8-bit planar 4:2:0 bytes from 10-bit little-endian ones whose planes lie at (offset, stride); odd sizes lose a chroma column."""
+    """8-bit planar 4:2:0 bytes from 10-bit little-endian ones whose planes lie at (offset, stride); odd sizes lose a chroma column; null where a plane is cut off."""
+
+    def narrow(raw: bytes | None, w: int | None, h: int | None, lay: list | None) -> bytes | None:
+        if raw is None or w is None or h is None or not lay or len(lay) < 3:
+            return None
+        view, parts = np.frombuffer(raw[: len(raw) // 2 * 2], "<u2"), []
+        for (pw, ph), p in zip(((w, h), (w // 2, h // 2), (w // 2, h // 2)), lay):
+            rows = [view[p["offset"] // 2 + k * (p["stride"] // 2) :][:pw] for k in range(ph)]
+            if any(len(r) != pw for r in rows):
+                return None
+            parts += [(r >> 2).astype(np.uint8).tobytes() for r in rows]
+        return b"".join(parts)
 
     @F.arrow_udf("binary")
     def convert(raw: pa.Array, w: pa.Array, h: pa.Array, at: pa.Array) -> pa.Array:
-        out = []
-        for r, a, b, lay in zip(raw.to_pylist(), w.to_pylist(), h.to_pylist(), at.to_pylist()):
-            parts = []
-            for (pw, ph), p in zip(((a, b), (a // 2, b // 2), (a // 2, b // 2)), lay):
-                view = np.frombuffer(r, "<u2")
-                rows = np.stack([view[p["offset"] // 2 + k * (p["stride"] // 2) :][:pw] for k in range(ph)]) if ph else np.empty((0, pw), np.uint16)
-                parts.append((rows >> 2).astype(np.uint8).tobytes())
-            out.append(b"".join(parts))
-        return pa.array(out, pa.binary())
+        return _each(pa.binary(), narrow, raw, w, h, at)
 
     return convert(planes, width, height, layout)

@@ -26,4 +26,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = nms.filter_detections(placed, 0.05, nms.LABELS)
     grown = g.expand({c: F.col(c) for c in ("x", "y", "w", "h")}, 0.2, F.lit(1429.0), F.lit(497.0))
     boxes = kept.select("frame_id", "label", "conf", *(v.alias(k) for k, v in grown.items()))
-    return boxes.groupBy("frame_id", "label").agg(F.count("*").alias("n"), F.max("conf").alias("best"), F.sum(F.col("w") * F.col("h")).alias("area"))
+    return boxes.groupBy("frame_id", "label").agg(F.count("*").alias("n"), F.max("conf").alias("best"), F.sum(F.round(F.col("w") * F.col("h")).cast("bigint")).alias("area"))

@@ -203,6 +203,26 @@ def outline_palette(spark, sf_dir):
     )
 
 
+@query(_NMS + f""", v AS (SELECT kept.*, {_CANVAS} FROM kept), t AS (SELECT *, greatest(11, floor(least(width, height) * 0.012::DOUBLE + 0.5)) AS font FROM v)
+SELECT frame_id, label, anchor, cx - w / 2 AS x, cy - h / 2 AS y, w, h, CAST(font AS BIGINT) AS font, cy - h / 2 - font - 3 AS chip_y, CAST(font + 3 AS BIGINT) AS chip_h, cx - w / 2 + 2 AS text_x, cy - h / 2 - 5 AS text_y FROM t""")
+def outline_geometry(spark, sf_dir):
+    """Rectangle of each outline, and the place of its label: a chip above it as high as its text, whose width is the font's."""
+    boxes = _on_canvas(nms.suppress(_candidates(spark, sf_dir)))
+    return boxes.select(*_KEY, "x", "y", "w", "h", *(v.alias(k) for k, v in g.label_chip(_box(), F.col("width"), F.col("height")).items()))
+
+
+@query(_NMS + """, s AS (SELECT frame_id, label, conf, least(1280::DOUBLE / 1429, 1280::DOUBLE / 497) AS scale, floor((1280 - floor(497 * least(1280::DOUBLE / 1429, 1280::DOUBLE / 497) + 0.5)) / 2) AS py, cx, cy, w, h FROM kept WHERE conf >= 0.05::DOUBLE),
+p AS (SELECT frame_id, label, conf, floor((cx - w / 2) / scale + 0.5) AS x, floor((cy - h / 2 - py) / scale + 0.5) AS y, floor(w / scale + 0.5) AS w, floor(h / scale + 0.5) AS h FROM s),
+e AS (SELECT *, greatest(0::DOUBLE, x - w * 0.2::DOUBLE * 0.5::DOUBLE) AS ex, greatest(0::DOUBLE, y - h * 0.2::DOUBLE * 0.5::DOUBLE) AS ey FROM p),
+a AS (SELECT *, (least(1429::DOUBLE, x + w + w * 0.2::DOUBLE * 0.5::DOUBLE) - ex) * (least(497::DOUBLE, y + h + h * 0.2::DOUBLE * 0.5::DOUBLE) - ey) AS area FROM e)
+SELECT frame_id, label, count(*) AS n, max(conf) AS best, CAST(sum(CAST(round(area) AS BIGINT)) AS BIGINT) AS area FROM a GROUP BY frame_id, label""")
+def flagship(spark, sf_dir):
+    """The whole chain, from head rows to expanded boxes on the picture, counted by frame and label."""
+    from framesift.plans import flagship as chain
+
+    return chain(spark, sf_dir)
+
+
 #: Regions of the boxes that suppression keeps; the two recursive folds share one statement.
 _KEPT_REGION = _NMS + _REGION[len(_GATED):] + """,
 q AS MATERIALIZED (SELECT region.frame_id, region.label, region.anchor, CAST(xi AS BIGINT) AS xi, CAST(yi AS BIGINT) AS yi, CAST(xe AS BIGINT) AS xe, CAST(ye AS BIGINT) AS ye

@@ -6,28 +6,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framesift.functions import media as m
-from framesift.functions import naming
-from framesift.operators import export, inference, seek
+from framesift.functions import naming, timecode
+from framesift.operators import export, inference, progress, seek
 from framesift.plans.registry import query
-from framesift.sources.tables import FRAMES, MEDIA, frames, media, table
+from framesift.sources.tables import FRAMES, MEDIA, TRIMS, frames, media, table, trims
 
 _MEDIA, _FRAMES = "WITH " + MEDIA, "WITH " + FRAMES
 
 
-@query(_MEDIA + r""", s AS (SELECT pos, pos // 50 AS batch, CASE WHEN pos % 50 > 45 THEN 'cancelled' WHEN pos % 7 = 0 THEN 'error' ELSE 'ok' END AS status, name, is_video FROM media)
-SELECT pos, status, CASE WHEN status = 'error' THEN 'not a media file' END AS error, CASE WHEN status = 'ok' THEN regexp_replace(name, '\.[^.]+$', '') || CASE WHEN is_video THEN '.mp4' ELSE '.jpg' END END AS output FROM s""")
+_RUN = _MEDIA + """, a AS (SELECT *, pos // 50 AS batch, pos % 50 = 46 OR pos % 350 = 20 AS aborted FROM media),
+b AS (SELECT *, min(pos) FILTER (WHERE aborted) OVER (PARTITION BY batch) AS first FROM a),
+s AS (SELECT *, CASE WHEN coalesce(pos >= first, false) THEN 'cancelled' WHEN pos % 7 = 0 THEN 'error' ELSE 'ok' END AS status FROM b)
+"""
+
+
+def _run(spark, sf_dir, output):
+    rows = media(spark, sf_dir).withColumn("batch", F.expr("pos div 50"))
+    return export.run_batch(rows, ["batch"], "pos", output, F.when(F.expr("pos % 7 = 0"), "not a media file"), F.expr("pos % 50 = 46 or pos % 350 = 20"))
+
+
+@query(_RUN + r"""SELECT pos, status, CASE WHEN status = 'error' THEN 'not a media file' END AS error, CASE WHEN status = 'ok' THEN regexp_replace(name, '\.[^.]+$', '') || CASE WHEN is_video THEN '.mp4' ELSE '.jpg' END END AS output FROM s""")
 def batch_export(spark, sf_dir):
-    """Status and output name of every item: bad files fail alone, items after a cancellation don't run."""
+    """Status and output name of every item: bad files fail alone, the first abort of a batch cancels it from there on."""
     name = F.concat(naming.stem(F.col("name")), F.when(F.col("is_video"), ".mp4").otherwise(".jpg"))
-    failure = F.when(F.expr("pos % 7 = 0"), "not a media file")
-    return export.run_batch(media(spark, sf_dir), name, failure, F.expr("pos % 50 > 45")).select("pos", "status", "error", "output")
+    return _run(spark, sf_dir, name).select("pos", "status", "error", "output")
 
 
-@query(_MEDIA + ", s AS (SELECT pos // 50 AS batch, CASE WHEN pos % 50 > 45 THEN 'cancelled' WHEN pos % 7 = 0 THEN 'error' ELSE 'ok' END AS status FROM media) SELECT batch, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'error') AS errors, count(*) FILTER (WHERE status = 'cancelled') AS cancelled, count(*) FILTER (WHERE status <> 'cancelled') AS completed FROM s GROUP BY batch")
+@query(_RUN + "SELECT batch, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'error') AS errors, count(*) FILTER (WHERE status = 'cancelled') AS cancelled, count(*) FILTER (WHERE status <> 'cancelled') AS completed FROM s GROUP BY batch")
 def batch_summary(spark, sf_dir):
-    rows = media(spark, sf_dir).withColumn("batch", F.expr("pos div 50"))
-    done = export.run_batch(rows, F.col("name"), F.when(F.expr("pos % 7 = 0"), "bad"), F.expr("pos % 50 > 45"))
-    return export.summary(done, ["batch"])
+    return export.summary(_run(spark, sf_dir, F.col("name")), ["batch"])
+
+
+@query(_RUN + ", " + TRIMS + """, x AS (SELECT s.pos, status, t0, t1, CASE WHEN s.pos % 6 = 1 THEN t1 + 1 ELSE t1 END AS t1_now FROM s LEFT JOIN trims ON s.pos = trims.pos)
+SELECT pos, status = 'ok' AND t1 IS NOT DISTINCT FROM t1_now AS exported FROM x""")
+def exported_after_run(spark, sf_dir):
+    """An item counts as exported where its work succeeded and its trim is still the one it was exported with."""
+    rows = _run(spark, sf_dir, F.col("name")).join(trims(spark, sf_dir), "pos", "left")
+    now = F.when(F.expr("pos % 6 = 1"), F.col("t1") + 1).otherwise(F.col("t1"))
+    done = progress.exported_by_run(F.col("status") == "ok", [(F.col("t0"), F.col("t0")), (F.col("t1"), now)])
+    return rows.select("pos", done.alias("exported"))
 
 
 @query("SELECT doc_id AS model, sha256(encode(text)) AS sha, true AS complete FROM documents WHERE octet_length(encode(text)) >= 9")
@@ -81,6 +98,28 @@ def translated_labels(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.alias("text"))
 
 
+@query("SELECT event_id, CAST(CAST(floor(value / 60) AS BIGINT) AS VARCHAR) || ':' || printf('%06.3f', value - floor(value / 60) * 60) AS time FROM events")
+def time_text(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", timecode.clock(F.col("value")).alias("time"))
+
+
+@query("SELECT event_id, strftime(ts, '%H:%M:%S.%g') AS at FROM events")
+def log_times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", timecode.log_time(F.col("ts").cast("timestamp")).alias("at"))
+
+
+@query(_FRAMES + ", r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pts_us DESC, frame_id DESC) AS n FROM frames) SELECT file_id, string_agg(frame_id || ' ' || event_type, chr(10) ORDER BY n DESC) AS text FROM r WHERE n <= 1000 GROUP BY file_id")
+def log_text(spark, sf_dir):
+    """Each log's ring as one text, oldest entry first: at most a thousand lines."""
+    return export.joined_log(seek.latest_entries(frames(spark, sf_dir)), F.concat_ws(" ", "frame_id", "event_type"))
+
+
+@query(_MEDIA + " SELECT pos, CAST(pos % 1001 AS DOUBLE) / 1000 * duration_s AS seconds FROM media")
+def scrub_seconds(spark, sf_dir):
+    """Where the scrubber's place out of a thousand lies in each item."""
+    return media(spark, sf_dir).select("pos", timecode.scrubbed(F.expr("double(pos % 1001)"), F.lit(1000.0), F.col("duration_s")).alias("seconds"))
+
+
 @query("SELECT event_id, CAST(floor(value / 60) AS BIGINT) AS minutes, CAST(floor((value - floor(value / 60) * 60) * 1000 + 0.5) AS BIGINT) AS millis FROM events")
 def time_parts(spark, sf_dir):
     """Whole minutes, and the rest in thousandths of a second, of a time."""

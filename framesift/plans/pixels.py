@@ -58,7 +58,7 @@ def mask_sdf(spark, sf_dir):
     return grid.select("k", "x", "y", F.floor(1000 * alpha + 0.5).cast("bigint").alias("alpha"))
 
 
-@query()
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 207 ELSE 93 END AS exif_bytes FROM orders")
 def exif_find_app1(spark, sf_dir):
     return pictures.jpegs(spark, sf_dir).select("o_orderkey", F.length(exif.exif_segment(F.col("jpeg"))).alias("exif_bytes"))
 
@@ -71,15 +71,46 @@ def exif_parse(spark, sf_dir):
     return found.select("o_orderkey", *(F.col(f"m.{c}").alias(c) for c in ("year", "month", "day", "timezone", "lat", "lon")))
 
 
-@query()
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN strftime(o_orderdate, '%Y') END AS year,
+  CASE WHEN o_orderkey % 2 = 0 THEN (CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE 1 END) * (CAST(o_orderkey % 90 AS DOUBLE) + CAST(o_orderkey % 60 AS DOUBLE) / 60 + CAST(o_orderkey % 6000 AS DOUBLE) / 100 / 3600) END AS lat,
+  CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 180 AS DOUBLE) + CAST(o_orderkey % 60 AS DOUBLE) / 60 + CAST(o_orderkey % 6000 AS DOUBLE) / 100 / 3600 END AS lon FROM orders""")
 def exif_gps_only(spark, sf_dir):
-    """What is left after a picture kept its place alone: no date, the same place."""
+    """What is left after a picture kept its place alone: no date, the same place. One without a place stays as it is."""
     rows = pictures.jpegs(spark, sf_dir).withColumn("place", exif.exif_carried(F.col("jpeg"), F.col("jpeg"), "gps"))
     rows = rows.withColumn("m", exif.exif_meta(F.col("place")))
     return rows.select("o_orderkey", F.col("m.year").alias("year"), F.col("m.lat").alias("lat"), F.col("m.lon").alias("lon"))
 
 
-@query()
+def _jpeg_hex() -> str:
+    """SQL for a synthetic picture's bytes in hexadecimal: numbers of two and four bytes in either order, directories one after another."""
+    two = lambda order, x: f"printf('%02x%02x', {x} % 256, {x} // 256)" if order == "II" else f"printf('%02x%02x', {x} // 256, {x} % 256)"
+    four = lambda order, x: " || ".join([two(order, f"({x} % 65536)"), two(order, f"({x} // 65536)")][:: 1 if order == "II" else -1])
+
+    def tiff(order: str, place: bool) -> str:
+        def entry(tag, kind, count, value):
+            return [two(order, tag), two(order, kind), four(order, count), value]
+
+        text = lambda hexed: f"'{hexed}'"
+        exif_at = 8 + 2 + 12 * (1 + place) + 4
+        gps_at = exif_at + 30 + 27
+        parts = [text("4949" if order == "II" else "4d4d"), two(order, 42), four(order, 8), two(order, 1 + place), *entry(0x8769, 4, 1, four(order, exif_at))]
+        parts += entry(0x8825, 4, 1, four(order, gps_at)) if place else []
+        parts += [four(order, 0), two(order, 2), *entry(0x9003, 2, 20, four(order, exif_at + 30)), *entry(0x9011, 2, 7, four(order, exif_at + 50)), four(order, 0)]
+        parts += ["lower(hex(strftime(o_orderdate, '%Y:%m:%d %H:%M:%S')))", text("00"), text("2b30313a303000")]
+        if place:
+            rational = lambda d: [four(order, x) for x in (f"(k % {d})", 1, "(k % 60)", 1, "(k % 6000)", 100)]
+            parts += [two(order, 4), *entry(1, 2, 2, "CASE WHEN k % 4 = 0 THEN '53' ELSE '4e' END || '00000000'[:6]"), *entry(2, 5, 3, four(order, gps_at + 54))]
+            parts += [*entry(3, 2, 2, text("45000000")), *entry(4, 5, 3, four(order, gps_at + 78)), four(order, 0), *rational(90), *rational(180)]
+        return " || ".join(f"({p})" for p in parts)
+
+    head = lambda size: f"'ffd8ffe1{size + 10 - 2:04x}457869660000'"
+    whole = lambda order, place: f"{head(197 if place else 83)} || {tiff(order, place)}"
+    front = f"CASE WHEN k % 2 = 0 THEN CASE WHEN k % 3 > 0 THEN {whole('II', True)} ELSE {whole('MM', True)} END ELSE CASE WHEN k % 3 > 0 THEN {whole('II', False)} ELSE {whole('MM', False)} END END"
+    scan = "array_to_string(list_transform(range(0, k % 50), lambda i: printf('%02x', i)), '')"
+    return f"{front} || 'ffdb0042' || repeat('00', 64) || 'ffda000301' || {scan} || 'ffd9'"
+
+
+@query(f"SELECT o_orderkey, CAST(77 + k % 50 AS INT) AS bare_bytes, sha1(unhex({_jpeg_hex()})) AS again, true AS same FROM (SELECT *, o_orderkey AS k FROM orders)")
 def exif_inject(spark, sf_dir):
     """Stripped pictures, and those that got the source's EXIF back, by length and hash."""
     rows = pictures.jpegs(spark, sf_dir).withColumn("bare", exif.exif_carried(F.col("jpeg"), F.col("jpeg"), "strip"))
@@ -92,9 +123,24 @@ def _redacted(spark, sf_dir, mode):
     return found.select("frame_id", F.sha1("rgba").alias("pixels"), F.length("rgba").alias("n"))
 
 
-@query()
+_BOARD = """pix AS (SELECT s_suppkey AS k, x, y, (x // (4 + s_suppkey % 5) + y // (4 + s_suppkey % 5)) % 2 = 0 AS red FROM supplier, range(0, 160) a(x), range(0, 120) b(y))"""
+_BOXES = """bx AS (SELECT s_suppkey AS k, unnest([{'x': s_suppkey % 60, 'y': s_suppkey * 3 % 50, 'w': 30 + s_suppkey % 20, 'h': 20, 'c': 0.5::DOUBLE}, {'x': 90, 'y': s_suppkey * 7 % 40, 'w': 25, 'h': 60 + s_suppkey % 30, 'c': 0.8::DOUBLE}]) AS b FROM supplier),
+bc AS (SELECT k, CAST(b.x AS DOUBLE) AS x, CAST(b.y AS DOUBLE) AS y, CAST(b.w AS DOUBLE) AS w, CASE WHEN b.y + b.h > 119.4::DOUBLE THEN 120::DOUBLE - b.y ELSE b.h END AS h, floor(least(b.w, b.h) / 2 * b.c + 0.5) AS r,
+  b.x < 0.8::DOUBLE AS sl, b.y < 0.6::DOUBLE AS st, b.x + b.w > 159.2::DOUBLE AS sr, b.y + b.h > 119.4::DOUBLE AS sb FROM bx)"""
+
+
+@query(f"""WITH {_BOARD}, {_BOXES},
+d AS (SELECT pix.k, pix.x AS px, pix.y AS py, red, w, h, bc.x + w / 2 AS cx, bc.y + h / 2 AS cy,
+  CASE WHEN pix.x + 0.5::DOUBLE < bc.x + w / 2 THEN CASE WHEN pix.y + 0.5::DOUBLE < bc.y + h / 2 THEN CASE WHEN sl OR st THEN 0 ELSE r END ELSE CASE WHEN sl OR sb THEN 0 ELSE r END END
+    ELSE CASE WHEN pix.y + 0.5::DOUBLE < bc.y + h / 2 THEN CASE WHEN sr OR st THEN 0 ELSE r END ELSE CASE WHEN sr OR sb THEN 0 ELSE r END END END AS r FROM pix JOIN bc ON pix.k = bc.k),
+q AS (SELECT *, abs(px + 0.5::DOUBLE - cx) - w / 2 + r AS qx, abs(py + 0.5::DOUBLE - cy) - h / 2 + r AS qy FROM d),
+i AS (SELECT k, px, py, red, bool_or(sqrt(greatest(qx, 0) * greatest(qx, 0) + greatest(qy, 0) * greatest(qy, 0)) + least(greatest(qx, qy), 0) - r <= 0) AS painted FROM q GROUP BY ALL)
+SELECT k AS frame_id, 76800 AS n, CAST(sum(CASE WHEN painted THEN 10 WHEN red THEN 255 ELSE 0 END) AS BIGINT) AS red, CAST(sum(CASE WHEN painted THEN 20 ELSE 0 END) AS BIGINT) AS green,
+  CAST(sum(CASE WHEN painted THEN 30 WHEN red THEN 0 ELSE 255 END) AS BIGINT) AS blue, CAST(sum((py * 160 + px) * CASE WHEN painted THEN 10 WHEN red THEN 255 ELSE 0 END) AS BIGINT) AS red_moment FROM i GROUP BY k""")
 def redact_solid(spark, sf_dir):
-    return _redacted(spark, sf_dir, "solid")
+    """Boxes painted over: the pictures' channel sums, and red weighed by place, tell how many pixels were painted and where."""
+    found = redact.redact(pictures.checkerboards(spark, sf_dir), "solid", (10, 20, 30)).withColumn("s", redact.channel_sums(F.col("rgba")))
+    return found.select("frame_id", F.length("rgba").alias("n"), "s.red", "s.green", "s.blue", "s.red_moment")
 
 
 @query()
@@ -107,10 +153,14 @@ def redact_blur(spark, sf_dir):
     return _redacted(spark, sf_dir, "blur")
 
 
-@query()
+@query(f"""WITH {_BOARD}, p AS (SELECT k, red, ((y + 1) * 160 + x) * 4 AS at FROM pix)
+SELECT k AS frame_id, 230400 AS n, CAST(count(*) FILTER (WHERE red) AS BIGINT) AS ones_red, 0::BIGINT AS ones_green, CAST(count(*) FILTER (WHERE NOT red) AS BIGINT) AS ones_blue FROM p GROUP BY k""")
 def tensor_build(spark, sf_dir):
+    """Model input of checkerboards: its bytes, and how many samples of each plane are 1 (0000803f in little-endian floats), all others being 0."""
     rows = pictures.checkerboards(spark, sf_dir).withColumn("t", redact.tensor(F.col("rgba"), F.col("width"), F.col("height")))
-    return rows.select("frame_id", F.sha1("t").alias("tensor"), F.length("t").alias("n"))
+    plane = lambda k: F.hex(F.substring("t", 1 + k * 76800, 76800))
+    ones = lambda k: F.regexp_count(plane(k), F.lit("0000803F")).cast("bigint")
+    return rows.select("frame_id", F.length("t").alias("n"), *(ones(k).alias(f"ones_{c}") for k, c in enumerate(("red", "green", "blue"))))
 
 
 @query("""WITH s AS (SELECT event_id, list_transform(range(0, 24), lambda i: (event_id * 37 + i * 101) % 1024) AS v FROM events)

@@ -103,12 +103,12 @@ def global_eta(spark, sf_dir):
     return progress.batch_remaining(_items(spark, sf_dir).withColumn("batch", F.expr("pos div 32")), F.lit(5000.0)).select("pos", F.col("remaining_all").alias("remaining"))
 
 
-@query("WITH " + MEDIA + """, c AS (SELECT pos, pos % 2 = 0 AS exported, CASE pos % 4 WHEN 0 THEN ['keepAudio'] WHEN 1 THEN ['drawMode', 'keepAudio'] WHEN 2 THEN ['namingPattern', 'exportMode'] ELSE ['minConfidence'] END AS keys FROM media)
-SELECT pos, false AS exported, len(list_filter(keys, lambda k: k NOT IN ('keepMetadata', 'keepAudio', 'exportMode', 'namingPattern'))) > 0 AS redraw FROM c""")
+@query("WITH " + MEDIA + """, c AS (SELECT pos, pos % 2 = 0 AS exported, CASE pos % 5 WHEN 0 THEN ['keepAudio'] WHEN 1 THEN ['drawMode', 'keepAudio'] WHEN 2 THEN ['namingPattern', 'exportMode'] WHEN 3 THEN ['minConfidence'] ELSE [] END AS keys FROM media)
+SELECT pos, exported AND len(keys) = 0 AS exported, len(list_filter(keys, lambda k: k NOT IN ('keepMetadata', 'keepAudio', 'exportMode', 'namingPattern'))) > 0 AS redraw FROM c""")
 def dirty_after_config(spark, sf_dir):
     """Any change of settings makes items unexported; changes that only concern the export don't redraw."""
-    keys = F.expr("case pos % 4 when 0 then array('keepAudio') when 1 then array('drawMode', 'keepAudio') when 2 then array('namingPattern', 'exportMode') else array('minConfidence') end")
-    return media(spark, sf_dir).select("pos", F.lit(False).alias("exported"), progress.needs_redraw(keys).alias("redraw"))
+    keys = F.expr("case pos % 5 when 0 then array('keepAudio') when 1 then array('drawMode', 'keepAudio') when 2 then array('namingPattern', 'exportMode') when 3 then array('minConfidence') else array() end")
+    return media(spark, sf_dir).select("pos", progress.still_exported(F.expr("pos % 2 = 0"), keys).alias("exported"), progress.needs_redraw(keys).alias("redraw"))
 
 
 @query(_FRAMES + ", n AS (SELECT *, lead(pts_us) OVER (PARTITION BY file_id ORDER BY pts_us, frame_id) AS later FROM frames) SELECT file_id, frame_id FROM n WHERE later IS NULL OR later - pts_us >= 7200000000")

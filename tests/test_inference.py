@@ -31,7 +31,13 @@ def test_write_files(spark, tmp_path):
     assert {r.name: bytes(r.content) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} == {"a.jpg": b"2", "b.jpg": b"3"}
 
 
-def test_batch_keeps_failures_apart(spark):
-    items = spark.createDataFrame([(1, None), (2, "bad"), (3, None)], "pos int, failure string")
-    found = {r.pos: (r.status, r.output, r.done) for r in export.run_batch(items, F.col("pos"), F.col("failure"), F.col("pos") == 3).collect()}
-    assert found == {1: ("ok", 1, True), 2: ("error", None, True), 3: ("cancelled", None, False)}
+def test_batch_keeps_failures_apart_and_stops_at_the_first_abort(spark):
+    rows = [(1, 1, None, False), (1, 2, "bad", None), (1, 3, None, True), (1, 4, None, False), (2, 1, None, False), (None, 1, None, True), (None, 0, None, False)]
+    items = spark.createDataFrame(rows, "batch int, pos int, failure string, aborted boolean")
+    done = export.run_batch(items, ["batch"], "pos", F.col("pos"), F.col("failure"), F.col("aborted"))
+    found = {(r.batch, r.pos): (r.status, r.error, r.output, r.done) for r in done.collect()}
+    assert found == {
+        (1, 1): ("ok", None, 1, True), (1, 2): ("error", "bad", None, True), (1, 3): ("cancelled", None, None, False), (1, 4): ("cancelled", None, None, False),
+        (2, 1): ("ok", None, 1, True), (None, 1): ("cancelled", None, None, False), (None, 0): ("ok", None, 0, True),
+    }
+    assert export.summary(export.run_batch(items.limit(0), ["batch"], "pos", F.col("pos"), F.col("failure"), F.col("aborted")), ["batch"]).count() == 0

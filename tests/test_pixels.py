@@ -104,6 +104,49 @@ def test_redact_leaves_frames_without_detections(spark):
     assert redact.redact(frames.limit(0), "blur").count() == 0
 
 
+def test_redact_passes_over_what_has_no_place(spark, monkeypatch):
+    monkeypatch.setattr(redact, "GROUP_BYTES", 600)
+    raw, box = checkerboard(16, 8).tobytes(), "array<struct<label:string,x:double,y:double,w:double,h:double>>"
+    rows = [(1, 16, 8, raw, [("plate", None, 1.0, 4.0, 4.0), None, ("plate", float("nan"), 1.0, 4.0, 4.0)]), (2, 16, 8, raw, [("dog", 2.0, 2.0, 4.0, 4.0)]), (3, None, 8, raw, [("plate", 2.0, 2.0, 4.0, 4.0)]), (4, 16, 8, raw, [(None, 2.0, 2.0, 4.0, 4.0)])]
+    frames = spark.createDataFrame(rows, f"frame_id int, width int, height int, rgba binary, detections {box}").coalesce(1)
+    found = {r.frame_id: bytes(r.rgba) for r in redact.redact(frames, "solid", (1, 2, 3)).collect()}
+    assert found[1] == found[3] == raw
+    square = np.frombuffer(found[2], np.uint8).reshape(8, 16, 4)
+    assert (square[2:6, 2:6, :3] == (1, 2, 3)).all() and found[4] == found[2] and (square[:, 7:] == checkerboard(16, 8)[:, 7:]).all()
+    for mode in ("pixelate", "blur"):
+        assert redact.redact(frames, mode).count() == 4
+    odd = spark.createDataFrame([(None, 1, 1), (b"abc", 1, 1), (b"abcd", None, 1)], "rgba binary, w int, h int")
+    assert all(r[0] is None for r in odd.select(redact.tensor(F.col("rgba"), F.col("w"), F.col("h"))).collect())
+    lay = F.array(*[F.struct(F.lit(0).alias("offset"), F.lit(2).alias("stride"))] * 3)
+    assert [r[0] for r in odd.select(redact.to_8_bit(F.col("rgba"), F.col("w"), F.col("h"), lay)).collect()] == [None, b"\x98", None]
+
+
+@pytest.mark.parametrize("radius", [1, 2, 10, 50])
+def test_running_sums_equal_the_weighted_blur(radius):
+    """Every output sample against the triangle's weights over the samples around it, edges repeated."""
+    image = np.random.default_rng(radius).integers(0, 256, (9, 13, 3))
+    weights = np.array([*range(1, radius + 2), *range(radius, 0, -1)])
+    for axis in (1, 0):
+        n = image.shape[axis]
+        at = np.clip(np.arange(n)[:, None] + np.arange(-radius, radius + 1), 0, n - 1)
+        image = np.moveaxis(np.tensordot(np.moveaxis(image, axis, -1)[..., at], weights, axes=(-1, 0)) // weights.sum(), -1, axis)
+    start = np.random.default_rng(radius).integers(0, 256, (9, 13, 3))
+    assert (redact.stack_blur(start, radius) == image).all()
+
+
+def test_dense_suppression_across_batches(spark):
+    """Groups that are cut by batches, and null frames, come out as the fold has them."""
+    rng = np.random.default_rng(4)
+    rows = [(None if f == 9 else f, i, *map(float, rng.integers(0, 60, 2)), *map(float, rng.integers(5, 40, 2)), 1.0, float(rng.random()), float(rng.random())) for f in range(10) for i in range(40)]
+    boxes = nms.class_candidates(spark.createDataFrame(rows, SCHEMA))
+    wanted = sorted(map(str, map(tuple, nms.suppress(boxes).collect())))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(str, map(tuple, nms.suppress_dense(boxes).collect()))) == wanted
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_tensor_is_planar(spark):
     raw = checkerboard(16, 8).tobytes()
     row = spark.createDataFrame([(raw, 16, 8)], "rgba binary, w int, h int").select(redact.tensor(F.col("rgba"), F.col("w"), F.col("h")).alias("t")).first()
