@@ -154,7 +154,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Write rows as Parquet under the shared folder and read them back: lineage is cut, and later steps read the columns they need."""
     path = shared_folder(df.sparkSession, "stored")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

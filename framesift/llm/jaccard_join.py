@@ -300,8 +300,11 @@ def _joined(df: DataFrame, id_col: str, text_col: str, settings: Settings) -> Da
     first = F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low").alias("id"), "node"))
     # the keepers are cut off, so that Spark may split the rows of a large class when it joins them
     keepers = checkpoint(classes.groupBy("comp").agg(first.alias("keeper")))
-    named = checkpoint(classes.select("comp", "node").join(keepers, "comp").select("node", "keeper"))
-    found = rows.join(named, "node", "left")
+    named = checkpoint(classes.select("comp", "node", "copies").join(keepers, "comp").select("node", "keeper", "copies"))
+    # sets with many copies meet their rows by broadcast: at most a thousand have a thousandth of all rows
+    often = F.col("copies") > max(PART, rows.count() // 1000)
+    hot, others = F.broadcast(named.where(often).select("node", "keeper")), named.where(~often).select("node", "keeper")
+    found = rows.join(hot, "node").unionByName(rows.join(hot, "node", "left_anti").join(others, "node", "left"), allowMissingColumns=True)
     component = F.when(F.col("n") > 0, F.when(F.col("keeper").isNull(), F.col("id")).otherwise(F.col("keeper.id"))).otherwise(F.col("id"))
     return found.select("id", "node", "n", component.alias("component_id"), F.when(F.col("n") > 0, F.col("keeper")).alias("keeper"))
 

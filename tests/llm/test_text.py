@@ -488,6 +488,15 @@ def test_join_with_split_groups(spark, monkeypatch):
     assert joined(spark.createDataFrame(rows, "doc_id bigint, text string"), words=3, percent=80) == brute(rows, 3, 80)
 
 
+def test_sets_with_many_copies(spark, monkeypatch):
+    """Sets that hold a large part of all rows, linked or alone, are named as others are."""
+    monkeypatch.setattr(jaccard_join, "PART", 8)
+    words = [f"w{j}" for j in range(50)]
+    rows = [(i, " ".join(words)) for i in range(40, 70)] + [(30, " ".join(words[:-1] + ["x"]))] + [(i, "another text that stands on many rows of the table") for i in range(100, 120)]
+    rows += [(i, f"one of its own {i} {i + 1} {i + 2}") for i in range(200, 220)] + [(300, None), (None, " ".join(words))]
+    assert joined(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), words=3, percent=80) == brute(rows, 3, 80)
+
+
 def test_op8_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     assert_same(queries.op8_jaccard_join(spark, sf), connect(sf), queries.oracle_sql()["op8_jaccard_join"])
