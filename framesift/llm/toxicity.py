@@ -116,6 +116,7 @@ class Landmarks:
     cuts: np.ndarray = field(init=False)
     marks: np.ndarray = field(init=False)
     weights: np.ndarray = field(init=False)
+    highest: np.ndarray = field(init=False)
 
     def __post_init__(self):
         # for each subsequence of a landmark (row) the landmarks that have it and their normalised weights
@@ -130,6 +131,7 @@ class Landmarks:
         row, self.marks = dense.nonzero()
         self.weights = dense[row, self.marks]
         self.cuts = np.searchsorted(row, np.arange(len(seen) + 1))
+        self.highest = np.append(dense.max(axis=1) if self.units else np.empty(0), 0.0)  # the last one for row -1
 
     def kernel(self, units: list[str]) -> dict[int, np.ndarray]:
         """For the units (by place) with any kernel value of FLOOR or more: their values, smaller ones as 0."""
@@ -143,9 +145,9 @@ class Landmarks:
         who, which, weight = subsequences(parts)
         row = self.row[which]
         norms = np.maximum(np.bincount(who, weight**2, len(parts)), 1e-12)
-        # what a part has on the landmarks' subsequences bounds all its kernel values
-        bound = np.bincount(who[row >= 0], weight[row >= 0] ** 2, len(parts)) / norms
-        near = (bound >= FLOOR**2)[who] & (row >= 0)
+        # each subsequence at its highest landmark weight: no kernel value of a part is above that sum
+        bound = np.bincount(who, weight * self.highest[row], len(parts)) / np.sqrt(norms)
+        near = (bound >= FLOOR - 1e-9)[who] & (row >= 0)
         who, row, weight = who[near], row[near], weight[near]
         # a product of the parts' and the landmarks' sparse rows
         n = self.cuts[row + 1] - self.cuts[row]
@@ -171,10 +173,13 @@ class Reader:
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
         self.known: dict[str, Found | int | None] = {}
+        self.old: dict[str, Found | int | None] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHE:
-            self.known = {w: v for w, v in self.known.items() if v is not None and not isinstance(v, int)}
+        # when half of the memory is new, what hasn't been met since the last time goes
+        if len(self.known) > CACHE // 2:
+            self.old, self.known = self.known, {}
+        self.known.update((w, self.old[w]) for w in words if w in self.old and w not in self.known)
         new = [w for w in words if w not in self.known]
         for k in range(0, len(new), 10_000):
             part = new[k : k + 10_000]
@@ -242,9 +247,10 @@ class Model:
 
     def evidence(self, n_words: int, sentences: list[list[Found]]) -> list[float]:
         """Worst sentence's decision; log of one more than the distinct units decided against; log of their share of the words; 1."""
-        worst = max([self.constant, *(float(pooled(s) @ self.weights) + self.constant for s in sentences)])
-        units = {unit: v for s in sentences for unit, v in s}
-        against = sum(float(v @ self.weights) + self.constant > 0 for v in units.values())
+        decide = lambda v: float(v @ self.weights) + self.constant
+        units = {unit: decide(v) for unit, v in {unit: v for s in sentences for unit, v in s}.items()}
+        worst = max([self.constant, *(decide(pooled(s)) if len(s) > 1 else units[s[0][0]] for s in sentences)])
+        against = sum(d > 0 for d in units.values())
         return [worst, float(np.log1p(against)), float(np.log((against + 0.5) / (n_words + 50))), 1.0]
 
     def score(self, n_words: int, sentences: list[list[Found]]) -> float:
