@@ -236,7 +236,8 @@ def components(links: DataFrame) -> DataFrame:
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
-        taken = labels.join(near, "node").select("node", "comp", F.least("comp", "least").alias("new"))
+        # cut off, so that Spark may split the nodes of a large component when they meet its label
+        taken = checkpoint(labels.join(near, "node").select("node", "comp", F.least("comp", "least").alias("new")))
         jump = taken.select(F.col("node").alias("new"), F.col("new").alias("next"))
         following = checkpoint(taken.join(jump, "new", "left").select("node", "comp", F.least("new", F.coalesce("next", "new")).alias("new")))
         changed = following.where("new <> comp").limit(1).count()
