@@ -6,7 +6,8 @@ most; the rest compile into one Spark column expression over the statistics.
 
 Learning uses a bounded sample: at most ``sample`` labelled rows of each class, in the order of a
 hash of the id, whole texts. Null and empty texts have zero statistics and are scored like any
-other. Repeated rows score equally; an empty table gives an empty result; without labelled rows of
+other. Equal tables give equal models and scores, however their rows are ordered and dealt over
+tasks. Repeated rows score equally; an empty table gives an empty result; without labelled rows of
 both classes every score is the share of label 1, or 0.5 with none.
 """
 
@@ -104,7 +105,10 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     from pyspark.ml.functions import array_to_vector
 
     sample = sample_rows(df, labels, learn, settings.sample, id_col, text_col, label_col)
-    rows = checkpoint(sample.select("label", statistics(F.col("text")).alias("s")).repartition(4))
+    # the bounded sample dealt and sorted by its values: the forest draws by place, and sums of two parts
+    # don't depend on which ends first, so equal tables give equal models whatever their files and tasks
+    measures = sample.select("label", statistics(F.col("text")).alias("s"))
+    rows = checkpoint(measures.repartition(2, "s").coalesce(2).sortWithinPartitions("s", "label"))
     classes = dict(rows.groupBy("label").count().collect())
     good, bad = classes.get(1, 0), classes.get(0, 0)
     if not good or not bad:

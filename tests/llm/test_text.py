@@ -236,6 +236,14 @@ def test_compiled_rules_equal_direct_evaluation(spark, sf_dir):
         assert r._score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
 
 
+def test_rules_do_not_depend_on_order_or_tasks(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = lambda docs, marks: rule_ensemble.fit(docs, marks, id_split("doc_id", 4) != 2, settings=rule_ensemble.Settings(trees=6))
+    found = learn(documents, labels)
+    assert found.rules and found == learn(documents.repartition(7, "text"), labels.orderBy(F.desc("doc_id")).repartition(5, "quality"))
+
+
 def test_samples_are_bounded_and_repeatable(spark):
     rows = [(i, f"text {i}") for i in range(3000)] + [(7, "an earlier text"), (7, None)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(3000)] + [(None, 1), (5, None), (6, 7)], "doc_id bigint, toxic int")
