@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, host_rules, jaccard_join, langid, packing, rule_ensemble, tiff, token_edits, toxicity, warc
+from framesift.llm import bpe, filter_audit, host_rules, jaccard_join, langid, packing, rule_ensemble, tiff, token_edits, toxicity, warc, whitening
 from framesift.llm.common import id_split, shared_folder, table
 
 
@@ -95,12 +95,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_media, op2_best_fit_packing, op3_host_rules, op4_edit_counts, op5_byte_bpe, op6_rule_ensemble, op7_language_id, op8_jaccard_join, op9_toxicity, op10_warc)}
+    return {f.__name__: f for f in (op1_tiff_media, op2_best_fit_packing, op3_host_rules, op4_edit_counts, op5_byte_bpe, op6_rule_ensemble, op7_language_id, op8_jaccard_join, op9_toxicity, op10_warc, op12_whitening, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_rules": _OP3, "op8_jaccard_join": _OP8, "op10_warc": _OP10}
+    return {"op3_host_rules": _OP3, "op8_jaccard_join": _OP8, "op10_warc": _OP10, "op13_filter_audit": _OP13}
 
 
 _OP3 = r"""
@@ -160,3 +168,38 @@ FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) A
              max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
       FROM pages)
 """
+
+
+_OP13 = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents),
+m AS (
+  SELECT doc_id, part,
+         (CASE WHEN len(words) < 100 THEN 1 ELSE 0 END)
+         + (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 10 * length(text) THEN 4 ELSE 0 END)
+         + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+         + (CASE WHEN doc_id > first THEN 16 ELSE 0 END) AS mask
+  FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS q, max(CAST(toxic = 1 AS INT)) AS t FROM labels GROUP BY doc_id),
+c AS MATERIALIZED (
+  SELECT part, mask, count(*) AS n, coalesce(sum(q), 0) AS good, coalesce(sum(t), 0) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(name, bit)),
+o AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1 : step - 1]), 0) AS INT) AS before FROM o, range(1, 6) r(step)),
+x AS (SELECT *, mask & bit > 0 AS fails, mask & before > 0 AS earlier FROM c, s)
+SELECT part, filter_order, step,
+       CAST(coalesce(sum(n) FILTER (WHERE NOT fails AND NOT earlier), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (WHERE fails AND NOT earlier), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (WHERE fails AND earlier), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (WHERE fails AND NOT earlier), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(toxic) FILTER (WHERE fails AND NOT earlier), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * 120 // greatest(1, bit_count(mask))) FILTER (WHERE fails), 0) AS BIGINT) AS shapley
+FROM x GROUP BY part, filter_order, step
+"""
