@@ -109,22 +109,22 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def audit(counts: DataFrame) -> DataFrame:
     """The report (part, filter_order, step and the counts) from _part, _mask, _n, _good and _toxic, a row for each part and mask."""
-    steps = [
-        F.struct(F.lit(order).alias("filter_order"), F.lit(i + 1).alias("step"), F.lit(_BIT[f]).alias("bit"), F.lit(sum(_BIT[x] for x in order[:i])).alias("before"))
-        for order in map("".join, itertools.permutations(FILTERS))
-        for i, f in enumerate(order)
-    ]
-    rows = counts.select("*", F.explode(F.array(*steps)).alias("s"))
-    mask, bit, before = F.col("_mask"), F.col("s.bit"), F.col("s.before")
-    fails, earlier = mask.bitwiseAND(bit) != 0, mask.bitwiseAND(before) != 0
+    orders = F.split(F.lit(",".join(map("".join, itertools.permutations(FILTERS)))), ",")
+    rows = counts.withColumn("filter_order", F.explode(orders)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))))
+    mask, order, step = F.col("_mask"), F.col("filter_order"), F.col("step")
+    own, passed = F.substr(order, step, F.lit(1)), F.substr(order, F.lit(1), step - 1)
+    failed = F.concat(*[F.when(mask.bitwiseAND(bit) != 0, f).otherwise("") for f, bit in _BIT.items()])
+    fails = F.contains(failed, own)
+    # a failed filter stands before this one: taking the failed letters out changes what has passed
+    earlier = F.call_function("translate", passed, failed, F.lit("")) != passed
     total = lambda when, n="_n": F.coalesce(F.sum(F.when(when, F.col(n))), F.lit(0)).cast("bigint")
     # of the 120 orders, the filter comes first among a row's k failed ones in 120 / k
     share = F.col("_n") * F.try_divide(F.lit(120), F.bit_count(mask)).cast("bigint")
-    return rows.groupBy(F.col("_part").alias("part"), F.col("s.filter_order").alias("filter_order"), F.col("s.step").alias("step")).agg(
+    return rows.groupBy(F.col("_part").alias("part"), order, step).agg(
         total(~fails & ~earlier).alias("kept"),
         total(fails & ~earlier).alias("removed"),
         total(fails & earlier).alias("redundant"),
-        total(mask == bit).alias("unique_fails"),
+        total(failed == own).alias("unique_fails"),
         total(fails & ~earlier, "_good").alias("good_lost"),
         total(fails & ~earlier, "_toxic").alias("toxic_lost"),
         F.coalesce(F.sum(F.when(fails, share)), F.lit(0)).cast("bigint").alias("shapley"),
