@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, filter_audit, host_rules, jaccard_join, langid, packing, rule_ensemble, tiff, token_edits, toxicity, warc, whitening
+from framesift.llm import bpe, context_mixing, filter_audit, host_rules, jaccard_join, langid, packing, rule_ensemble, tiff, token_edits, toxicity, warc, whitening
 from framesift.llm.common import id_split, shared_folder, table
 
 
@@ -95,6 +95,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model, counts = context_mixing.fit(documents, id_split("doc_id", 7) != 2)
+    found = context_mixing.score(documents, model, counts)
+    held_out = F.coalesce(id_split("doc_id", 7) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "total_bits", "n_bytes", "bits_per_byte")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -104,7 +112,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_media, op2_best_fit_packing, op3_host_rules, op4_edit_counts, op5_byte_bpe, op6_rule_ensemble, op7_language_id, op8_jaccard_join, op9_toxicity, op10_warc, op12_whitening, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_tiff_media, op2_best_fit_packing, op3_host_rules, op4_edit_counts, op5_byte_bpe, op6_rule_ensemble, op7_language_id, op8_jaccard_join, op9_toxicity, op10_warc, op11_context_mixing, op12_whitening, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
