@@ -6,8 +6,9 @@ of n-grams. Landmark texts of each language give a Nyström approximation of it,
 one-versus-rest kernel ridge regression is fitted. The fitted weights fold into one matrix from
 n-grams to languages, so a batch is scored by one product of its presence rows with that matrix.
 
-Learning uses a bounded sample: at most ``sample`` rows of each language, in the order of a hash
-of the id, whole texts; of an id with several texts of a language the one that sorts first. Null texts and texts without a letter get ``und`` and score 0. Repeated
+Learning uses a bounded sample: ``sample`` ids of each language (all, where it has fewer), in the
+order of a hash of the id, whole texts; of an id with several texts of a language the one that sorts
+first. So no language that the learning rows hold with a letter is lost, however often ids repeat. Null texts and texts without a letter get ``und`` and score 0. Repeated
 rows get equal results, an empty table an empty one; with nothing to learn from all is ``und``.
 """
 
@@ -81,9 +82,10 @@ def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "t
     """Learn from the rows where ``learn`` holds and the language isn't null."""
     rows = df.where(learn & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     rows = rows.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    # each language's share of hashes that holds little more than the sample, so that no language's rows meet in one task
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-    cut = sizes.select("lang", hash_share(F.lit(settings.sample), F.col("rows")).alias("cut"))
+    # each language's share of hashes that holds half as many ids again as the sample, so that no language's rows meet in one task;
+    # ids are counted, not rows (an id may stand on many), to within a few percent
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("ids"))
+    cut = sizes.select("lang", hash_share(F.lit(settings.sample), F.col("ids")).alias("cut"))
     few = rows.select("key", "lang", F.xxhash64("key").alias("hash")).join(F.broadcast(cut), "lang").where("hash <= cut").select("key", "lang", "hash").distinct()
     order = Window.partitionBy("lang").orderBy("hash", "key")
     picked = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= settings.sample).select("key", "lang", "n")
