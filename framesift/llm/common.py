@@ -174,3 +174,11 @@ def shared_dir(spark: SparkSession) -> str:
 def id_split(id_col: str, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo ``parts``: the split into learning and held-out rows (null id: null)."""
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % parts
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it where a table has a column of that name (in either case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

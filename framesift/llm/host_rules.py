@@ -114,21 +114,27 @@ def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", limit
     salted parts.
     """
     columns = df.columns if keep is None else keep
+    return _judged(df, text_col, host_col, limits, columns).select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("stats").alias("_stats"), F.col("base_failed").alias("_base_failed"), F.col("kept").alias("_kept"))
+
+
+def _judged(df: DataFrame, text_col: str, host_col: str, limits: Limits, columns: list[str]) -> DataFrame:
+    """row (the columns, in a struct, so that no name can clash), stats, base_failed and kept of every row."""
     host = F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")) if host_col in df.columns else F.lit("")
-    marked = stored(df.select(*[F.col(f"`{c}`") for c in columns], host.alias("_host"), statistics(F.col(f"`{text_col}`")).alias("_stats")))
-    either = base_failed(F.col("_stats"), limits) | soft_failed(F.col("_stats"), limits)
-    hosts = checkpoint(host_rates(marked, F.col("_host"), either).where(F.col("rate") > limits.max_host_rate).select("_host", F.lit(True).alias("_strict")))
+    marked = stored(df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), host.alias("host"), statistics(F.col(f"`{text_col}`")).alias("stats")))
+    stats = F.col("stats")
+    rates = host_rates(marked, F.col("host"), base_failed(stats, limits) | soft_failed(stats, limits))
+    hosts = checkpoint(rates.where(F.col("rate") > limits.max_host_rate).select(F.col("_host").alias("host"), F.lit(True).alias("strict")))
     if hosts.count() <= limits.broadcast_hosts:
-        joined = marked.join(F.broadcast(hosts), "_host", "left")
+        joined = marked.join(F.broadcast(hosts), "host", "left")
     else:
-        salt = F.explode(F.sequence(F.lit(0), F.lit(31)))
-        row = F.pmod(F.xxhash64("_stats", F.monotonically_increasing_id()), F.lit(32)).cast("int")
-        joined = marked.withColumn("_salt", row).join(hosts.withColumn("_salt", salt), ["_host", "_salt"], "left").drop("_salt")
-    base = base_failed(F.col("_stats"), limits)
-    kept = ~base & ~(soft_failed(F.col("_stats"), limits) & F.coalesce("_strict", F.lit(False)))
-    return joined.withColumns({"_base_failed": base, "_kept": kept}).select(*[F.col(f"`{c}`") for c in columns], "_stats", "_base_failed", "_kept")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(31)))
+        salt = F.pmod(F.xxhash64("stats", F.monotonically_increasing_id()), F.lit(32)).cast("int")
+        joined = marked.withColumn("salt", salt).join(hosts.withColumn("salt", salts), ["host", "salt"], "left")
+    base = base_failed(stats, limits)
+    kept = ~base & ~(soft_failed(stats, limits) & F.coalesce("strict", F.lit(False)))
+    return joined.select("row", "stats", base.alias("base_failed"), kept.alias("kept"))
 
 
 def filter_documents(df: DataFrame, text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:
-    """The rows of ``df`` that the rules keep, with its columns."""
-    return judge(df, text_col, host_col, limits).where("_kept").drop("_stats", "_base_failed", "_kept")
+    """The rows of ``df`` that the rules keep, with its columns, whatever they are called."""
+    return _judged(df, text_col, host_col, limits, df.columns).where("kept").select(*[F.col("row").getField(c).alias(c) for c in df.columns])

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import arrow_map, checkpoint, stored, text_groups
+from framesift.llm.common import arrow_map, checkpoint, free_name, stored, text_groups
 
 #: Words that a worker process remembers.
 CACHE = 50_000
@@ -318,25 +318,26 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     differ in other columns. Rows with a null id go where their class has an id; of a class
     without one, a row stays.
     """
+    other, chosen, gone_id, gone_node = (free_name(c, df.columns) for c in ("_key", "_set", "_gone_id", "_gone_node"))
     found = _joined(df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")), "_id", "_text", settings)
     alone = F.col("keeper").isNull()
     stays = alone | (F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("node") == F.col("keeper.node")))
     rows = checkpoint(found.groupBy("id", "node").agg(F.bool_or(~stays).alias("extra"), (F.bool_or(~alone) & (F.count("*") > 1)).alias("repeated")))
     # ids all of whose rows go; ids (null among them) whose rows have to be looked at one by one
     by_id = rows.groupBy("id").agg(F.bool_or("extra").alias("some"), F.bool_and("extra").alias("all"), F.bool_or("repeated").alias("repeated"))
-    ids = checkpoint(by_id.where("all AND id IS NOT NULL").select(F.col("id").alias("_key")))
-    mixed = checkpoint(by_id.where("(some OR repeated) AND (NOT all OR id IS NULL)").select(F.col("id").alias("_key")))
+    ids = checkpoint(by_id.where("all AND id IS NOT NULL").select(F.col("id").alias(other)))
+    mixed = checkpoint(by_id.where("(some OR repeated) AND (NOT all OR id IS NULL)").select(F.col("id").alias(other)))
     # a bounded list of ids spares the shuffle of all texts
     bounded = lambda x: F.broadcast(x) if x.count() <= settings.broadcast_ids else x
     columns = [F.col(f"`{c}`") for c in df.columns]
     key = F.col(f"`{id_col}`")
-    kept = df.join(bounded(ids), key == F.col("_key"), "left_anti").select(*columns)
+    kept = df.join(bounded(ids), key == F.col(other), "left_anti").select(*columns)
     if not mixed.limit(1).count():
         return kept
-    no_ids = mixed.where("_key IS NULL").limit(1).count() > 0
-    known = bounded(mixed.where("_key IS NOT NULL"))
-    whole = kept.join(known, key == F.col("_key"), "left_anti").select(*columns)
-    parts = kept.join(known, key == F.col("_key"), "left_semi").select(*columns)
+    no_ids = mixed.where(F.col(other).isNull()).limit(1).count() > 0
+    known = bounded(mixed.where(F.col(other).isNotNull()))
+    whole = kept.join(known, key == F.col(other), "left_anti").select(*columns)
+    parts = kept.join(known, key == F.col(other), "left_semi").select(*columns)
     if no_ids:
         whole, parts = whole.where(key.isNotNull()), parts.unionByName(kept.where(key.isNull()))
 
@@ -345,9 +346,9 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
         sets = [shingles(t or "", settings.words) for t in texts.to_pylist()]
         return pa.array([_node(s) if len(s) else None for s in sets], pa.binary())
 
-    gone = rows.where("extra").join(mixed, F.col("id").eqNullSafe(F.col("_key")), "left_semi").select(F.col("id").alias("_gone_id"), F.col("node").alias("_gone_node"))
-    marked = parts.withColumn("_set", node(F.col(f"`{text_col}`")))
-    marked = marked.join(gone, (F.col("_set") == F.col("_gone_node")) & key.eqNullSafe(F.col("_gone_id")), "left_anti")
+    gone = rows.where("extra").join(mixed, F.col("id").eqNullSafe(F.col(other)), "left_semi").select(F.col("id").alias(gone_id), F.col("node").alias(gone_node))
+    marked = parts.withColumn(chosen, node(F.col(f"`{text_col}`")))
+    marked = marked.join(gone, (F.col(chosen) == F.col(gone_node)) & key.eqNullSafe(F.col(gone_id)), "left_anti")
     # of repeated rows one stays, but for those without words
-    once = marked.where("_set IS NOT NULL").dropDuplicates([id_col, "_set"]).unionByName(marked.where("_set IS NULL"))
+    once = marked.where(F.col(chosen).isNotNull()).dropDuplicates([id_col, chosen]).unionByName(marked.where(F.col(chosen).isNull()))
     return whole.unionByName(once.select(*columns))

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.common import ascii_words, checkpoint, measured
+from framesift.llm.common import ascii_words, checkpoint, free_name, measured
 from framesift.llm.host_rules import repeated_words
 from framesift.llm.toxicity import sample_rows
 
@@ -136,7 +136,14 @@ def score(model: Model, s: Column) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def with_score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with a column _score; all its rows and columns stay."""
-    marked = df.withColumn("_statistics", statistics(F.col(f"`{text_col}`")))
-    return marked.withColumn("_score", score(model, F.col("_statistics"))).drop("_statistics")
+def with_score(df: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
+    """``df`` with the score in a column ``name``, which takes the place of one of that name; all its rows and other columns stay."""
+    marks = free_name("_statistics", [*df.columns, name])
+    marked = df.withColumn(marks, statistics(F.col(f"`{text_col}`")))
+    return marked.withColumn(name, score(model, F.col(marks))).drop(marks)
+
+
+def filter_documents(df: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with a score of at least ``threshold``, with its columns, whatever they are called. Null texts count as empty ones."""
+    name = free_name("_score", df.columns)
+    return with_score(df, model, text_col, name).where(F.col(name) >= threshold).drop(name)

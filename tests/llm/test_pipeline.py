@@ -3,6 +3,7 @@
 import corpus_pipeline
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from framesift.llm import host_rules
@@ -49,3 +50,35 @@ def test_stages(spark, stages):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+CLASHING = ["_score", "_statistics", "_host", "_kept", "_key", "_set", "_row", "_stats", "host", "stats", "row", "_gone_id"]
+
+
+def test_stages_keep_awkward_rows_and_columns(spark):
+    """Nulls, empty and very long texts, repeated rows, and columns with names that the operators use: each stage ends, and the first three keep all columns."""
+    sf = "/root/testdata/sf0.01"
+    given = table(spark, sf, "documents").limit(300)
+    odd = spark.createDataFrame(
+        [(None, "a text without an id " * 30, None, None, None), (10**6, None, "en", None, None), (10**6 + 1, "", None, "h", 0), (10**6 + 2, "lorem ipsum dolor sit amet " * 20_000, "en", "h", None)], given.schema
+    )
+    docs = given.unionByName(odd).unionByName(odd).withColumns({c: F.lit(c) for c in CLASHING})
+    docs = docs.withColumn("_KEPT2", F.lit(1)).persist()
+    before = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf).persist()
+        rows = [tuple(r) for r in out.collect()]
+        assert out.columns == docs.columns, name
+        assert rows and set(rows) <= before, name
+        docs, before = out, set(rows)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_stages_of_empty_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    none = table(spark, sf, "documents").where("false").withColumns({c: F.lit(c) for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, sf)
+        assert out.collect() == [], name
+        assert name == "best_fit_packing" or out.columns == none.columns

@@ -518,3 +518,14 @@ def test_components(spark):
 
 def test_words():
     assert ascii_words("a b \x1cc\td") == ["a b", "\x1cc", "d"] and space_words("a b \x1cc\td") == ["a", "b", "\x1cc", "d"]
+
+
+def test_op7_keeps_a_language_of_few_ids_on_many_rows(spark):
+    english, french = "the quick brown fox jumps over a lazy dog near the river bank", "le renard brun saute par dessus un chien paresseux près de la rivière"
+    rows = spark.range(3000).select("id", F.concat(F.lit(english + " "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    few = spark.range(50_000).select((F.col("id") % 10 + 10_000).alias("id"), F.concat(F.lit(french + " "), (F.col("id") % 10).cast("string")).alias("text"), F.lit("fr").alias("lang"))
+    docs = rows.unionByName(few).withColumnRenamed("id", "doc_id")
+    model = langid.fit(docs, F.lit(True))
+    assert model.languages == ["en", "fr"]
+    asked = spark.createDataFrame([(1, french), (2, english)], "doc_id bigint, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(asked, model).collect()} == {1: "fr", 2: "en"}
