@@ -167,15 +167,15 @@ region AS (SELECT *, least(xe - xi + 5 - CAST(xe - xi AS BIGINT) % 5, width - xi
 def _region(placed: DataFrame) -> DataFrame:
     radius = g.corner_radius(F.col("label"), F.col("w"), F.col("h"))
     box = g.clip_to_edges(_box(), radius, F.col("width"), F.col("height"))
-    clipped = placed.select(*_KEY, "width", "height", *(box[c].alias(c) for c in ("x", "y", "w", "h")))
+    clipped = placed.select(*_KEY, "conf", "width", "height", *(box[c].alias(c) for c in ("x", "y", "w", "h")))
     region = g.blur_region(_box(), F.col("width"), F.col("height"))
-    return clipped.select(*_KEY, *(v.cast("bigint").alias(k) for k, v in region.items()))
+    return clipped.select(*_KEY, "conf", *(v.cast("bigint").alias(k) for k, v in region.items()))
 
 
 @query(_REGION + """SELECT frame_id, label, anchor, CAST(fe AS BIGINT) AS feather, CAST(xi AS BIGINT) AS xi, CAST(yi AS BIGINT) AS yi, CAST(xe AS BIGINT) AS xe, CAST(ye AS BIGINT) AS ye,
   CAST(wi AS BIGINT) AS wi, CAST(hi AS BIGINT) AS hi, CAST(greatest(10, least(50, floor(wi * hi / 100 + 0.5))) AS BIGINT) AS strength FROM region""")
 def blur_region(spark, sf_dir):
-    return _region(_placed(spark, sf_dir))
+    return _region(_placed(spark, sf_dir)).drop("conf")
 
 
 @query(_PLACED + """, s AS (SELECT *, floor(w + 0.5) AS bw, floor(h + 0.5) AS bh FROM p),
@@ -225,7 +225,7 @@ def flagship(spark, sf_dir):
 
 #: Regions of the boxes that suppression keeps; the two recursive folds share one statement.
 _KEPT_REGION = _NMS + _REGION[len(_GATED):] + """,
-q AS MATERIALIZED (SELECT region.frame_id, region.label, region.anchor, CAST(xi AS BIGINT) AS xi, CAST(yi AS BIGINT) AS yi, CAST(xe AS BIGINT) AS xe, CAST(ye AS BIGINT) AS ye
+q AS MATERIALIZED (SELECT region.frame_id, region.label, region.anchor, region.conf, CAST(xi AS BIGINT) AS xi, CAST(yi AS BIGINT) AS yi, CAST(xe AS BIGINT) AS xe, CAST(ye AS BIGINT) AS ye
   FROM region JOIN (SELECT frame_id, label, anchor FROM kept) USING (frame_id, label, anchor))
 """
 
@@ -236,17 +236,17 @@ SELECT a.frame_id, a.label AS label_a, a.anchor AS anchor_a, b.label AS label_b,
 WHERE (a.label < b.label OR a.label = b.label AND a.anchor < b.anchor) AND NOT (a.xe <= b.xi OR b.xe <= a.xi OR a.ye <= b.yi OR b.ye <= a.yi)
   AND greatest(a.xi, b.xi) // 128 = a.gx AND greatest(a.yi, b.yi) // 128 = a.gy""")
 def overlap_pairs(spark, sf_dir):
-    """Blur regions of all detections of a frame that overlap; touching ones don't."""
-    return overlap.overlapping(_kept_regions(spark, sf_dir), cell=128)
+    """Blur regions of all detections of a frame that overlap; touching ones don't. Regions are computed once and meet by frame."""
+    return overlap.overlapping(_kept_regions(spark, sf_dir))
 
 
 def _kept_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of every box that suppression keeps."""
-    return _region(_on_canvas(nms.suppress(_candidates(spark, sf_dir))))
+    return _region(_on_canvas(nms.suppress_dense(_candidates(spark, sf_dir))))
 
 
 @query(_KEPT_REGION + """,
-n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY label DESC, anchor) AS i FROM q),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY CASE label WHEN 'plate' THEN 1 ELSE 2 END, conf DESC, anchor) AS i FROM q),
 z AS (SELECT frame_id, max(i) AS n FROM n GROUP BY frame_id),
 w AS (SELECT frame_id, 0::BIGINT AS i, []::STRUCT(b BIGINT, xi BIGINT, yi BIGINT, xe BIGINT, ye BIGINT)[] AS acc FROM z
   UNION ALL SELECT w.frame_id, n.i, list_append(w.acc, {'b': list_min(list_filter(range(1, len(w.acc) + 2),
@@ -254,5 +254,5 @@ w AS (SELECT frame_id, 0::BIGINT AS i, []::STRUCT(b BIGINT, xi BIGINT, yi BIGINT
   FROM w JOIN n ON n.frame_id = w.frame_id AND n.i = w.i + 1)
 SELECT w.frame_id, n.label, n.anchor, w.acc[n.i].b AS batch FROM w JOIN z ON z.frame_id = w.frame_id AND z.n = w.i JOIN n ON n.frame_id = w.frame_id""")
 def overlap_batches(spark, sf_dir):
-    """First-fit batches of the regions of all detections of a frame, so that no two of a batch overlap."""
+    """First-fit batches of the regions of all detections of a frame, so that no two of a batch overlap; plates first, then people, the surest first."""
     return overlap.batches(_kept_regions(spark, sf_dir))
