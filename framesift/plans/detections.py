@@ -225,8 +225,8 @@ def flagship(spark, sf_dir):
 
 #: Regions of the boxes that suppression keeps; the two recursive folds share one statement.
 _KEPT_REGION = _NMS + _REGION[len(_GATED):] + """,
-q AS MATERIALIZED (SELECT region.frame_id, region.label, region.anchor, region.conf, CAST(xi AS BIGINT) AS xi, CAST(yi AS BIGINT) AS yi, CAST(xe AS BIGINT) AS xe, CAST(ye AS BIGINT) AS ye
-  FROM region JOIN (SELECT frame_id, label, anchor FROM kept) USING (frame_id, label, anchor))
+q AS MATERIALIZED (SELECT region.frame_id, region.label, region.anchor, z.conf, CAST(xi AS BIGINT) AS xi, CAST(yi AS BIGINT) AS yi, CAST(xe AS BIGINT) AS xe, CAST(ye AS BIGINT) AS ye
+  FROM region JOIN (SELECT frame_id, label, anchor, conf FROM kept) z USING (frame_id, label, anchor))
 """
 
 

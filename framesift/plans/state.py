@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framesift.functions import timecode
-from framesift.operators import cache, progress, seek
+from framesift.operators import cache, progress, queue, seek
 from framesift.plans.registry import query
 from framesift.sources.tables import FRAMES, INFERENCES, MEDIA, TRIMS, frames, inferences, media, table, trims
 
@@ -131,6 +131,22 @@ def latest_request(spark, sf_dir):
     return rows.groupBy("file_id", "slot").agg(F.max("frame_id").alias("frame_id"), (F.count("*") - 1).alias("dropped"))
 
 
+@query("WITH RECURSIVE " + FRAMES + """, q AS (SELECT file_id, frame_id, pts_us, CAST(round(value * 100) AS BIGINT) * 3600000 AS service_us FROM frames),
+l AS MATERIALIZED (SELECT file_id, list(pts_us ORDER BY pts_us, frame_id) AS t, list(frame_id ORDER BY pts_us, frame_id) AS f, list(service_us ORDER BY pts_us, frame_id) AS s FROM q GROUP BY file_id),
+z AS (SELECT file_id, len(list_filter(t, lambda x: x <= t[1])) AS i, t[1] AS started FROM l
+  UNION ALL
+  SELECT z.file_id,
+    CASE WHEN len(list_filter(l.t, lambda x: x <= z.started + l.s[z.i])) > z.i THEN len(list_filter(l.t, lambda x: x <= z.started + l.s[z.i])) ELSE len(list_filter(l.t, lambda x: x <= l.t[z.i + 1])) END,
+    CASE WHEN len(list_filter(l.t, lambda x: x <= z.started + l.s[z.i])) > z.i THEN z.started + l.s[z.i] ELSE l.t[z.i + 1] END
+  FROM z JOIN l USING (file_id) WHERE z.i < len(l.t)),
+a AS (SELECT z.file_id, l.f[z.i] AS frame_id, z.started AS started_us, z.started + l.s[z.i] AS completed_us FROM z JOIN l USING (file_id))
+SELECT q.file_id, q.frame_id, q.pts_us, started_us, completed_us, started_us IS NULL AS superseded FROM q LEFT JOIN a USING (file_id, frame_id)""")
+def request_queue(spark, sf_dir):
+    """Requests of each file at a server with a queue of one: when each starts and completes, or that a newer one takes its place."""
+    service = F.round(F.col("value") * 100).cast("bigint") * 3_600_000
+    return queue.latest_wins(frames(spark, sf_dir).withColumn("service_us", service))
+
+
 @query(_FRAMES + ", r AS (SELECT file_id, frame_id, row_number() OVER (PARTITION BY file_id ORDER BY pts_us DESC, frame_id DESC) AS n FROM frames) SELECT file_id, frame_id, n FROM r WHERE n <= 1000")
 def log_ring(spark, sf_dir):
     """The last thousand entries of each log."""
