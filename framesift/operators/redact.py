@@ -212,15 +212,31 @@ def channel_sums(rgba: Column) -> Column:
     return run(rgba)
 
 
+def area_scaled(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """A picture (rows, columns, channels) scaled so that each sample is the mean of the area it covers, parts of pixels by their share."""
+    for axis, size in ((0, height), (1, width)):
+        old = pixels.shape[axis]
+        edges = np.arange(size + 1) * (old / size)
+        whole = np.minimum(edges.astype(np.int64), old)
+        share = (edges - whole).reshape([-1 if k == axis else 1 for k in range(pixels.ndim)])
+        # sums up to an edge: of all pixels before it, and of the share of the one that it cuts
+        sums = np.cumsum(pixels, axis=axis, dtype=np.float64)
+        sums = np.concatenate([np.zeros_like(sums.take([0], axis)), sums], axis=axis).take(whole, axis)
+        sums += share * pixels.take(np.minimum(whole, old - 1), axis)
+        pixels = np.diff(sums, axis=axis) * (size / old)
+    return pixels
+
+
 def snapshot(pixels: np.ndarray, side: int = g.SIDE) -> np.ndarray:
-    """A picture scaled into the model's square, nearest sample, grey around it."""
+    """A picture scaled into the model's square by area, each channel by itself, grey around it; .5 rounds up."""
     h, w = pixels.shape[:2]
     scale = min(side / w, side / h)
-    sw, sh = half_up(w * scale), half_up(h * scale)
+    sw, sh = max(1, half_up(w * scale)), max(1, half_up(h * scale))
     px, py = (side - sw) // 2, (side - sh) // 2
-    out = np.full((side, side, 4), GREY, np.uint8)
-    rows, cols = np.minimum((np.arange(sh) / scale).astype(int), h - 1), np.minimum((np.arange(sw) / scale).astype(int), w - 1)
-    out[py : py + sh, px : px + sw] = pixels[rows][:, cols]
+    out = np.full((side, side, pixels.shape[2]), GREY, np.uint8)
+    for k in range(pixels.shape[2]):
+        # sums of whole numbers leave errors far below this
+        out[py : py + sh, px : px + sw, k] = np.floor(area_scaled(pixels[:, :, k], sw, sh) + (0.5 + 1e-9))
     return out
 
 

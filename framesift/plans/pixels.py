@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions import tonemap
 from framesift.functions.geometry import rounded_distance
-from framesift.operators import exif, redact
+from framesift.operators import exif, inference, redact
 from framesift.plans.registry import query
 from framesift.sources import pictures
 from framesift.sources.tables import table
@@ -163,6 +163,20 @@ def tensor_build(spark, sf_dir):
     return rows.select("frame_id", F.length("t").alias("n"), *(ones(k).alias(f"ones_{c}") for k, c in enumerate(("red", "green", "blue"))))
 
 
+@query(f"""WITH {_BOARD},
+h AS (SELECT k, x // 2 AS x, y // 2 + 10 AS y, floor(255 * count(*) FILTER (WHERE red) / 4::DOUBLE + 0.5) AS r, floor(255 * count(*) FILTER (WHERE NOT red) / 4::DOUBLE + 0.5) AS b FROM pix GROUP BY k, x // 2, y // 2),
+grid AS (SELECT k, gx, gy FROM (SELECT s_suppkey AS k FROM supplier), range(0, 4) a(gx), range(0, 4) b(gy)),
+c AS (SELECT k, x // 20 AS gx, y // 20 AS gy, count(*) AS n, sum(r) AS r, sum(b) AS b FROM h GROUP BY ALL)
+SELECT grid.k AS frame_id, gy * 4 + gx + 1 AS anchor, CAST(gx * 20 + 10 AS DOUBLE) AS cx, CAST(gy * 20 + 10 AS DOUBLE) AS cy, 20::DOUBLE AS w, 20::DOUBLE AS h,
+  CAST(coalesce(r, 0) + 114 * (400 - coalesce(n, 0)) AS BIGINT) AS red, CAST(114 * (400 - coalesce(n, 0)) AS BIGINT) AS green, CAST(coalesce(b, 0) + 114 * (400 - coalesce(n, 0)) AS BIGINT) AS blue
+FROM grid LEFT JOIN c USING (k, gx, gy)""")
+def inference_heads(spark, sf_dir):
+    """Head rows of a stand-in model on checkerboards that are letterboxed to half their size: sums of each plane over a grid of cells."""
+    heads = inference.infer(pictures.checkerboards(spark, sf_dir), lambda: inference.cell_means(20), side=80)
+    whole = lambda c: F.round(F.col(c) * (255 * 400)).cast("bigint")
+    return heads.select("frame_id", "anchor", "cx", "cy", "w", "h", whole("obj").alias("red"), whole("c0").alias("green"), whole("c1").alias("blue"))
+
+
 @query("""WITH s AS (SELECT event_id, list_transform(range(0, 24), lambda i: (event_id * 37 + i * 101) % 1024) AS v FROM events)
 SELECT event_id, array_to_string(list_transform(v[1:16] || v[17:20] || v[21:24], lambda x: lpad(printf('%x', x // 4), 2, '0')), '') AS planes FROM s""")
 def downscale_10bit(spark, sf_dir):

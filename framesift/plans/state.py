@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from framesift.functions import timecode
 from framesift.operators import cache, progress, queue, seek
 from framesift.plans.registry import query
+from framesift.sources.shared import shared_folder
 from framesift.sources.tables import FRAMES, INFERENCES, MEDIA, TRIMS, frames, inferences, media, table, trims
 
 _FRAMES, _INFER = "WITH " + FRAMES, "WITH " + INFERENCES
@@ -35,6 +36,21 @@ def cache_misses(spark, sf_dir):
     return cache.misses(rows.withColumnRenamed("frame_id", "key"), cached).select(F.col("key").alias("frame_id"))
 
 
+@query(_FRAMES + """, k AS (SELECT frame_id, frame_id % 3 <> 0 AS held, frame_id % 15 = 0 AS given FROM frames)
+SELECT frame_id, CASE WHEN held THEN frame_id % 7 WHEN given THEN 99 ELSE frame_id * 13 % 11 END AS n,
+  CASE WHEN held THEN 'cache' WHEN given THEN 'override' ELSE 'computed' END AS first_source, 'cache' AS second_source FROM k""")
+def read_through(spark, sf_dir):
+    """Detections of every frame through the cache, twice: the first run computes what is missing and stores it, the second finds all."""
+    rows = frames(spark, sf_dir).select(F.col("frame_id").alias("key"))
+    held = cache.DetectionCache(spark, shared_folder(spark, "cache"), "n bigint, source string")
+    held.put(rows.where("key % 3 <> 0").select("key", F.expr("key % 7").alias("n"), F.lit("computed").alias("source")), "given")
+    compute = lambda missing: missing.select("key", F.expr("key * 13 % 11").alias("n"))
+    override = rows.where("key % 15 = 0").distinct().select("key", F.lit(99).cast("bigint").alias("n"))
+    first = held.read_through(rows, compute, "run-1", override).withColumnRenamed("source", "first_source")
+    second = held.read_through(rows, compute, "run-2").select("key", F.col("source").alias("second_source"))
+    return first.join(second, "key").select(F.col("key").alias("frame_id"), "n", "first_source", "second_source")
+
+
 @query(_FRAMES + _CACHE + """, u AS (SELECT *, 0 AS side FROM cached UNION ALL SELECT *, 1 FROM fresh)
 SELECT key, n, cached_at FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY cached_at DESC, side DESC) = 1""")
 def upsert_latest(spark, sf_dir):

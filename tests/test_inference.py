@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from framesift.operators import export, inference, nms
+from framesift.operators import export, inference, nms, redact
 from framesift.sources.pictures import checkerboard
 
 
@@ -41,3 +41,14 @@ def test_batch_keeps_failures_apart_and_stops_at_the_first_abort(spark):
         (2, 1): ("ok", None, 1, True), (None, 1): ("cancelled", None, None, False), (None, 0): ("ok", None, 0, True),
     }
     assert export.summary(export.run_batch(items.limit(0), ["batch"], "pos", F.col("pos"), F.col("failure"), F.col("aborted")), ["batch"]).count() == 0
+
+
+def test_area_scaling_keeps_means():
+    """Against a plain sum over all pixels and their shares, up and down, in sizes that don't divide."""
+    rng = np.random.default_rng(2)
+    for (h, w), (sh, sw) in (((7, 10), (3, 4)), ((5, 4), (8, 9)), ((6, 6), (6, 6)), ((9, 2), (1, 1))):
+        picture = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        share = lambda n, m: np.array([[max(0.0, min((i + 1) * n / m, j + 1) - max(i * n / m, j)) for j in range(n)] for i in range(m)]) * (m / n)
+        wanted = share(h, sh) @ picture @ share(w, sw).T
+        assert np.allclose(redact.area_scaled(picture, sw, sh), wanted)
+        assert np.isclose(redact.area_scaled(picture, sw, sh).mean(), picture.mean())
