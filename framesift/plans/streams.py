@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from framesift.plans.registry import query
+from framesift.plans import state  # noqa: F401  (its SQL is used here)
+from framesift.plans.registry import ORACLES, query
 from framesift.sources.tables import FRAMES, INFERENCES
 from framesift.streaming import jobs
 
@@ -35,3 +36,27 @@ def stream_generations(spark, sf_dir):
 def stream_playback(spark, sf_dir):
     """Each frame once, with its cached detections; frames without are left to be inferred."""
     return jobs.playback(spark, sf_dir)
+
+
+@query(ORACLES["debounce_events"])
+def stream_debounce(spark, sf_dir):
+    """Events that none of their file follows within two hours, decided by event-time timers over several micro-batches and a restart."""
+    return jobs.debounced(spark, sf_dir, 7_200_000_000)
+
+
+@query(ORACLES["hang_episodes"])
+def stream_hangs(spark, sf_dir):
+    """Runs of late pings, closed by event-time timers over several micro-batches and a restart."""
+    return jobs.hang_episodes(spark, sf_dir, 3_600_000_000)
+
+
+@query(ORACLES["stream_stats"])
+def stream_running_stats(spark, sf_dir):
+    """Running count and total of each model as value state in RocksDB, over several micro-batches and a restart."""
+    return jobs.running_stats(spark, sf_dir)
+
+
+@query(ORACLES["stream_playback"])
+def stream_misses(spark, sf_dir):
+    """Frames joined to the stream of their detections: each once, without detections once the watermark rules them out."""
+    return jobs.misses(spark, sf_dir)

@@ -6,15 +6,17 @@ shared checkpoint folder, so driver and executors see the same files.
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framesift.sources.shared import shared_folder
+from framesift.streaming import stateful
+
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,3 +89,68 @@ def playback(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink = rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
     sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+#: A watermark's delay over which files of the event table may come in any order.
+ANY_ORDER = "400 days"
+_STAGED = "file_id bigint, frame_id bigint, pts_us bigint, event_type string, value double, active boolean"
+
+
+def in_two_runs(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFrame], files: int = 4, mode: str = "append") -> DataFrame:
+    """What a stream over the event table has written when it has seen all of it.
+
+    Events lie in several files, each a micro-batch. The query ends with them; then rows of a far
+    later time come in (with negative frame_id, one for each file and a last one), and the query
+    goes on from its checkpoint, so that every timer and every outer join is settled.
+    """
+    session, folder = stateful.with_rocksdb(spark), _folder(spark)
+    given = session.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = given.select(F.col("user_id").alias("file_id"), F.col("event_id").alias("frame_id"), at.alias("pts_us"), "event_type", "value", (F.col("event_type") != "signup").alias("active"))
+    rows.repartition(files).write.parquet(f"{folder}/in")
+
+    def run() -> None:
+        read = session.readStream.schema(_STAGED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+        job(read).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+    run()
+    late = lambda files, days: files.select("file_id", F.lit(-1).cast("bigint").alias("frame_id"), (F.lit(days) * F.lit(86_400_000_000)).cast("bigint").alias("pts_us"), F.lit("signup").alias("event_type"), F.lit(0.0).alias("value"), F.lit(False).alias("active"))
+    last = late(rows.select("file_id").distinct(), 100_000).unionByName(late(session.range(1).select((-F.col("id") - 1).alias("file_id")), 102_000))
+    last.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    run()
+    # the caller's own session reads what has been written
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+
+
+def debounced(spark: SparkSession, sf_dir: str, wait_us: int) -> DataFrame:
+    found = in_two_runs(spark, sf_dir, lambda rows: stateful.debounced(rows, wait_us, ANY_ORDER))
+    return found.where("frame_id >= 0 AND NOT late").select("file_id", "frame_id")
+
+
+def hang_episodes(spark: SparkSession, sf_dir: str, limit_us: int) -> DataFrame:
+    found = in_two_runs(spark, sf_dir, lambda rows: stateful.hang_episodes(rows, limit_us, ANY_ORDER))
+    return found.where("NOT late").select("file_id", "started_us", "longest_us", "n")
+
+
+def running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of each model: n grows with each micro-batch that holds the model."""
+    model = F.when(F.col("event_type").isin("view", "click"), "detect_n").otherwise("detect_x").alias("model")
+    amounts = lambda rows: rows.where("frame_id >= 0").select(model, F.round(F.col("value") * 100).cast("bigint").alias("amount"))
+    found = in_two_runs(spark, sf_dir, lambda rows: stateful.running_stats(amounts(rows)), mode="update")
+    return found.groupBy("model").agg(F.max_by(F.struct("n", "total_hundredths"), "n").alias("r")).select("model", "r.n", "r.total_hundredths")
+
+
+def misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame once, with what its detections' stream holds for it."""
+
+    def job(rows: DataFrame) -> DataFrame:
+        timed = rows.withColumn("at", F.timestamp_micros("pts_us"))
+        cached = timed.withColumn("n", F.expr("if(frame_id % 3 <> 0 AND frame_id >= 0, frame_id % 7, null)"))
+        return stateful.drawn_or_missed(timed, cached, ANY_ORDER)
+
+    found = in_two_runs(spark, sf_dir, job).where("frame_id >= 0")
+    return found.select("frame_id", F.coalesce("n", F.lit(-1)).cast("bigint").alias("n"), F.col("n").isNotNull().alias("drawn"))
