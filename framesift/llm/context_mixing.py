@@ -47,7 +47,7 @@ from framesift.llm.common import arrow_map, stored
 
 END = b""
 #: Bytes of texts that are split at a time and that are worked on at a time; bytes of a run of a long word; pairs and bytes in a piece.
-GROUP, PART, LONGEST, PIECE = 1 << 20, 1 << 25, 1 << 15, 1 << 15
+GROUP, PART, LONGEST, PIECE = 1 << 20, 1 << 23, 1 << 15, 1 << 15
 #: Inputs of a mixer, gates, buckets of the map, and the largest log odds.
 INPUTS, GATES, BUCKETS, LIMIT = 3, 32, 33, 12.0
 #: Words before that are classes of their own, coarse and fine.
