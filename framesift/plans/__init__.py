@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def all_queries():
     """Queries and SQL oracles of all plan modules."""
-    from framesift.plans import catalog, detections, exports, pixels, registry, state, streams  # noqa: F401
+    from framesift.plans import catalog, detections, exports, files, pixels, registry, state, streams  # noqa: F401
 
     return registry.QUERIES, registry.ORACLES
 
