@@ -176,7 +176,8 @@ def write_named(files: DataFrame, path: str, distinct: bool = False) -> None:
     names stay, a file of the same name is replaced.
 
     First all tasks write to folders of their own, then a manifest makes the write count, then its
-    files are moved. A write that fails before leaves nothing; one that fails later is finished by
+    files are moved. A write that fails before leaves nothing (at most hidden folders of attempts
+    that were still running); one that fails later is finished by
     ``recover``. An attempt that was lost or ran twice isn't in the manifest.
     """
     spark = files.sparkSession

@@ -153,8 +153,8 @@ class Packets:
     key: np.ndarray
 
 
-def expand(moov: bytes) -> Packets:
-    """The packets of the first video track, out of its run-length tables."""
+def expand(moov: bytes, length: int) -> Packets:
+    """The packets of the first video track of a file of ``length`` bytes, out of its run-length tables."""
     tracks = [body for kind, body in children(moov) if kind == b"trak"]
     video = [t for t in tracks if (child(t, b"mdia", b"hdlr") or b"")[8:12] == b"vide"]
     if not video:
@@ -167,6 +167,8 @@ def expand(moov: bytes) -> Packets:
 
     sized = child(tables, b"stsz") or b""
     same, n = (int.from_bytes(sized[at : at + 4], "big") for at in (4, 8))
+    if same * n > length:
+        raise Damaged("packets outside the file")
     size = np.full(n, same, np.int64) if same else rows_of(sized or None, 1, skip=8)[:, 0]
     n = len(size)
     durations = rows_of(child(tables, b"stts"), 2)
@@ -189,7 +191,7 @@ def expand(moov: bytes) -> Packets:
     offset = before + np.repeat(places[in_chunk > 0] - before[firsts], in_chunk[in_chunk > 0])
 
     shifts = rows_of(child(tables, b"ctts"), 2, ">i4")
-    if len(shifts) and shifts[:, 0].sum() != n:
+    if len(shifts) and (shifts[:, 0].sum() != n or (shifts[:, 0] < 0).any()):
         raise Damaged("composition offsets and sizes differ in number")
     shown = time + (np.repeat(shifts[:, 1], shifts[:, 0]) if len(shifts) else 0)
     listed = child(tables, b"stss")
@@ -245,7 +247,7 @@ class PacketReader(DataSourceReader):
         for path, length, low, high in partition.stretches:
             with system.open_input_file(path) as file:
                 try:
-                    found = expand(movie_box(file, length))
+                    found = expand(movie_box(file, length), length)
                     if len(found.size) and (found.offset + found.size).max() > length:
                         raise Damaged("packets outside the file")
                 except Damaged as error:
