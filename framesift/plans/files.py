@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framesift.functions import media as m
-from framesift.operators import exif
+from framesift.operators import decode, exif
 from framesift.plans.registry import query
 from framesift.sources import files, movies, pictures
 from framesift.sources.shared import shared_folder
@@ -70,3 +70,32 @@ def packets_in_range(spark, sf_dir):
     """Packets of six days; the others' bytes are not read."""
     found = movies.packets(spark, _movies(spark, sf_dir), 17048448000000, 17053632000000).where("error IS NULL")
     return found.select(_name().alias("name"), "n", "pts_us", F.decode("data", "UTF-8").alias("data"))
+
+
+class _StandIn:
+    """A decoder whose frames are its packets in capitals, one packet late; it fails at an event type or a packet's number in the group."""
+
+    def __init__(self, event: str, longest: int):
+        self.event, self.longest, self.held, self.seen = event, longest, [], 0
+
+    def decode(self, packet):
+        self.seen += 1
+        if packet["data"].decode().split(" ")[0] == self.event or self.seen > self.longest:
+            raise ValueError("can't go on")
+        ready, self.held = self.held, [(packet["pts_us"], packet["data"].upper())]
+        return ready
+
+    def flush(self):
+        return self.held
+
+
+@query(_PACKETS + """, g AS (SELECT *, max(n) FILTER (WHERE key) OVER (PARTITION BY name ORDER BY n) AS gop FROM q),
+t AS (SELECT name, gop, count(*) AS size, bool_or(starts_with(data, 'error ')) AS error, bool_or(starts_with(data, 'click ')) AS click FROM g GROUP BY ALL),
+m AS (SELECT *, CASE WHEN NOT error AND size <= 6 THEN 'fast' WHEN NOT click AND size <= 12 THEN 'plain' WHEN size <= 9 THEN 'slow' END AS mode FROM t)
+SELECT name, gop, pts_us, mode, upper(data) AS frame, NULL::VARCHAR AS error FROM g JOIN m USING (name, gop) WHERE mode IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name, gop, pts_us ORDER BY n) = 1
+UNION ALL SELECT name, gop, NULL, NULL, NULL, 'slow: can''t go on' FROM m WHERE mode IS NULL""")
+def decoded_frames(spark, sf_dir):
+    """Frames of movies through three stand-in decoders that fail part of the way through some groups; the last one's failures are rows."""
+    modes = [("fast", lambda: _StandIn("error", 6)), ("plain", lambda: _StandIn("click", 12)), ("slow", lambda: _StandIn("", 9))]
+    found = decode.decoded(movies.packets(spark, _movies(spark, sf_dir)), modes)
+    return found.select(_name().alias("name"), "gop", "pts_us", "mode", F.decode("frame", "UTF-8").alias("frame"), "error")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions import tonemap
 from framesift.functions.geometry import rounded_distance
-from framesift.operators import exif, inference, redact
+from framesift.operators import exif, hdr, inference, redact
 from framesift.plans.registry import query
 from framesift.sources import pictures
 from framesift.sources.tables import table
@@ -187,3 +187,26 @@ def downscale_10bit(spark, sf_dir):
     layout = F.array(*(F.struct(F.lit(o).alias("offset"), F.lit(s).alias("stride")) for o, s in ((0, 8), (32, 4), (40, 4))))
     rows = table(spark, sf_dir, "events").select("event_id", redact.to_8_bit(raw, F.lit(4), F.lit(4), layout).alias("p"))
     return rows.select("event_id", F.lower(F.hex("p")).alias("planes"))
+
+
+@query("""WITH p AS (SELECT event_id, i, event_id % 3 AS m, CAST((event_id * 37 + i * 53) % 877 AS DOUBLE) / 876 AS y, CAST(event_id * 7 % 101 - 50 AS DOUBLE) / 896 AS cb, CAST(event_id * 11 % 101 - 50 AS DOUBLE) / 896 AS cr,
+  CASE WHEN event_id % 3 = 2 THEN 0.2126::DOUBLE ELSE 0.2627::DOUBLE END AS kr, CASE WHEN event_id % 3 = 2 THEN 0.0722::DOUBLE ELSE 0.0593::DOUBLE END AS kb FROM events, range(0, 16) t(i)),
+q AS (SELECT *, y + 2 * (1 - kr) * cr AS r, y + 2 * (1 - kb) * cb AS b FROM p),
+e AS (SELECT event_id, i, m, list_transform([r, (y - kr * r - kb * b) / (1 - kr - kb), b], lambda x: least(greatest(x, 0::DOUBLE), 1::DOUBLE)) AS v FROM q),
+l AS (SELECT event_id, i, m, CASE m WHEN 0 THEN list_transform(v, lambda x: CASE WHEN x <= 0.5::DOUBLE THEN x * x / 3 ELSE (exp((x - 0.55991073::DOUBLE) / 0.17883277::DOUBLE) + 0.28466892::DOUBLE) / 12 END)
+  WHEN 1 THEN list_transform(v, lambda x: least(pow(greatest(pow(x, 1 / 78.84375::DOUBLE) - 0.8359375::DOUBLE, 0) / (18.8515625::DOUBLE - 18.6875::DOUBLE * pow(x, 1 / 78.84375::DOUBLE)), 1 / 0.1593017578125::DOUBLE) * (10000 / 203::DOUBLE), 1)) ELSE v END AS v FROM e),
+k AS (SELECT *, CASE WHEN m = 0 THEN pow(greatest(0.2627::DOUBLE * v[1] + 0.6780::DOUBLE * v[2] + 0.0593::DOUBLE * v[3], 1e-6), 0.2::DOUBLE) ELSE 1 END AS k FROM l),
+d AS (SELECT event_id, i, m, v, v[1] * k AS r, v[2] * k AS g, v[3] * k AS b FROM k),
+c AS (SELECT event_id, i, m, CASE WHEN m = 2 THEN v ELSE list_transform([1.6605::DOUBLE * r + -0.5877::DOUBLE * g + -0.0728::DOUBLE * b, -0.1246::DOUBLE * r + 1.1329::DOUBLE * g + -0.0083::DOUBLE * b, -0.0182::DOUBLE * r + -0.1006::DOUBLE * g + 1.1187::DOUBLE * b],
+  lambda x: CASE WHEN least(greatest(x, 0), 1) <= 0.0031308::DOUBLE THEN 12.92::DOUBLE * least(greatest(x, 0), 1) ELSE 1.055::DOUBLE * pow(least(greatest(x, 0), 1), 1 / 2.4::DOUBLE) - 0.055::DOUBLE END) END AS v FROM d)
+SELECT event_id, CASE m WHEN 0 THEN 'hlg' WHEN 1 THEN 'pq' END AS effective, string_agg(array_to_string(list_transform(v, lambda x: printf('%02X', CAST(floor(255 * x + 0.5) AS INT))), '') || 'FF', '' ORDER BY i) AS rgba FROM c GROUP BY event_id, m""")
+def hdr_frames(spark, sf_dir):
+    """4 x 4 frames of 10-bit planes in RGBA, as hexadecimal text: HLG and PQ frames tone-mapped, the others as they are."""
+    luma = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: 64 + (F.col("event_id") * 37 + i * 53) % 877)
+    chroma = lambda k: F.array_repeat(512 + F.col("event_id") * k % 101 - 50, 4)
+    word = lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))
+    planes = F.unhex(F.array_join(F.transform(F.concat(luma, chroma(7), chroma(11)), word), ""))
+    space = F.element_at(F.array(*map(F.lit, ("bt2020", "bt2020", "bt709"))), (F.col("event_id") % 3 + 1).cast("int"))
+    transfer = F.element_at(F.array(*map(F.lit, ("hlg", "pq", "bt709"))), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit(4).alias("width"), F.lit(4).alias("height"), planes.alias("planes"), space.alias("primaries"), transfer.alias("transfer"), F.lit(False).alias("full_range"))
+    return hdr.rendered(rows).select("event_id", "effective", F.hex("rgba").alias("rgba"))

@@ -22,9 +22,9 @@ from framesift.sources import files
 
 #: Microseconds, the unit of written movies.
 SCALE = 1_000_000
-SCHEMA = "path string, n bigint, key boolean, pts_us bigint, dur_us bigint, offset bigint, size bigint, data binary, error string"
+SCHEMA = "path string, n bigint, gop bigint, key boolean, pts_us bigint, dur_us bigint, offset bigint, size bigint, data binary, error string"
 ARROW = pa.schema([
-    ("path", pa.string()), ("n", pa.int64()), ("key", pa.bool_()), ("pts_us", pa.int64()), ("dur_us", pa.int64()),
+    ("path", pa.string()), ("n", pa.int64()), ("gop", pa.int64()), ("key", pa.bool_()), ("pts_us", pa.int64()), ("dur_us", pa.int64()),
     ("offset", pa.int64()), ("size", pa.int64()), ("data", pa.binary()), ("error", pa.string()),
 ])
 
@@ -252,7 +252,7 @@ class PacketReader(DataSourceReader):
                         raise Damaged("packets outside the file")
                 except Damaged as error:
                     if low == 0:
-                        yield self._batch([(path, None, None, None, None, None, None, None, str(error))])
+                        yield self._batch([(path, *[None] * 8, str(error))])
                     continue
                 wanted = (found.offset >= low) & (found.offset < high)
                 if self.start is not None:
@@ -262,10 +262,11 @@ class PacketReader(DataSourceReader):
                 yield from self._packets(path, file, found, np.flatnonzero(wanted))
 
     def _packets(self, path: str, file: pa.NativeFile, found: Packets, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+        groups = np.maximum.accumulate(np.where(found.key, np.arange(len(found.key)), 0))
         rows, held = [], 0
         for i in wanted.tolist():
             offset, size = int(found.offset[i]), int(found.size[i])
-            rows.append((path, i, bool(found.key[i]), int(found.pts[i]), int(found.dur[i]), offset, size, file.read_at(size, offset), None))
+            rows.append((path, i, int(groups[i]), bool(found.key[i]), int(found.pts[i]), int(found.dur[i]), offset, size, file.read_at(size, offset), None))
             held += size
             if held >= files.BATCH or len(rows) >= 4096:
                 yield self._batch(rows)
@@ -291,7 +292,7 @@ class PushedReader(PacketReader):
 
 
 class MoviePackets(DataSource):
-    """``movie_packets``: a row a packet, with its number in decoding order.
+    """``movie_packets``: a row a packet, with its number in decoding order (n) and that of the key frame it depends on (gop).
 
     Options: ``path`` (a folder), ``splitBytes`` (64 MiB), ``startUs`` and ``endUs`` (inclusive bounds of
     pts_us), ``pushdown`` (true where the session sets ``spark.sql.python.filterPushdown.enabled``: bounds

@@ -137,10 +137,11 @@ def test_tasks_that_run_again(tmp_path):
 
 
 def plain(start, durations, keys, packets, shifts, per_chunk):
-    """Packets one by one: number, key, time, duration, place, size, bytes."""
-    at, time, found = 20 + 16, start, []
+    """Packets one by one: number, group, key, time, duration, place, size, bytes."""
+    at, time, gop, found = 20 + 16, start, 0, []
     for i, (d, k, p, s) in enumerate(zip(durations, keys, packets, shifts)):
-        found.append((i, k, time + s, d, at, len(p), p))
+        gop = i if k else gop
+        found.append((i, gop, k, time + s, d, at, len(p), p))
         time, at = time + d, at + len(p)
     return found
 
@@ -159,9 +160,9 @@ def test_packets_of_a_movie(spark, tmp_path, seed):
     for split in (64 << 20, 97):  # whole, and cut so that every task has some packets
         found = [tuple(bytes(x) if isinstance(x, bytearray) else x for x in r[1:-1]) for r in movies.packets(spark, str(tmp_path), split=split).collect()]
         assert sorted(found) == want
-    low, high = (want[n // 3][2], want[n // 2][2]) if n else (0, 1)
+    low, high = (want[n // 3][3], want[n // 2][3]) if n else (0, 1)
     asked = movies.packets(spark, str(tmp_path), low, high)
-    assert sorted(r.n for r in asked.collect()) == [w[0] for w in want if low <= w[2] <= high]
+    assert sorted(r.n for r in asked.collect()) == [w[0] for w in want if low <= w[3] <= high]
 
 
 def test_only_asked_packets_are_read(tmp_path, counted):
