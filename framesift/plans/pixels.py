@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions import tonemap
 from framesift.functions.geometry import rounded_distance
-from framesift.operators import exif, hdr, inference, redact
+from framesift.operators import exif, hdr, inference, orient, redact
 from framesift.plans.registry import query
 from framesift.sources import pictures
 from framesift.sources.tables import table
@@ -210,3 +210,18 @@ def hdr_frames(spark, sf_dir):
     transfer = F.element_at(F.array(*map(F.lit, ("hlg", "pq", "bt709"))), (F.col("event_id") % 3 + 1).cast("int"))
     rows = table(spark, sf_dir, "events").select("event_id", F.lit(4).alias("width"), F.lit(4).alias("height"), planes.alias("planes"), space.alias("primaries"), transfer.alias("transfer"), F.lit(False).alias("full_range"))
     return hdr.rendered(rows).select("event_id", "effective", F.hex("rgba").alias("rgba"))
+
+
+@query("""WITH p AS (SELECT p_partkey, 3 + p_partkey % 3 AS w, 2 + p_partkey // 3 % 2 AS h, CASE WHEN p_partkey % 10 BETWEEN 1 AND 8 THEN p_partkey % 10 ELSE 1 END AS o FROM part),
+q AS (SELECT *, o IN (3, 4, 6, 7) AS rows, o IN (2, 3, 7, 8) AS columns, CASE WHEN o >= 5 THEN h ELSE w END AS width, CASE WHEN o >= 5 THEN w ELSE h END AS height FROM p),
+x AS (SELECT *, CASE WHEN o >= 5 THEN i % width ELSE i // width END AS r, CASE WHEN o >= 5 THEN i // width ELSE i % width END AS c FROM q, range(0, 15) t(i) WHERE i < w * h),
+y AS (SELECT *, CASE WHEN rows THEN h - 1 - r ELSE r END * w + CASE WHEN columns THEN w - 1 - c ELSE c END AS source FROM x)
+SELECT p_partkey, o AS orientation, width, height, string_agg(printf('%02X%02X00FF', source, p_partkey % 251), '' ORDER BY i) AS rgba FROM y GROUP BY ALL""")
+def oriented_pictures(spark, sf_dir):
+    """Small pictures turned by the orientation in the EXIF segment of their files; 0 and 9 turn nothing."""
+    size = {"width": F.expr("3 + p_partkey % 3"), "height": F.expr("2 + p_partkey div 3 % 2")}
+    pixels = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda i: F.concat(F.lpad(F.hex(i), 2, "0"), F.lpad(F.hex(F.col("p_partkey") % 251), 2, "0"), F.lit("00FF")))
+    head = F.concat(F.lit("FFD8FFE10022457869660000" + "4D4D002A00000008" + "0001" + "0112000300000001" + "000"), (F.col("p_partkey") % 10).cast("string"), F.lit("0000" + "00000000" + "FFDA0002"))
+    rows = table(spark, sf_dir, "part").select("p_partkey").withColumns(size).withColumn("rgba", F.unhex(F.array_join(pixels, "")))
+    rows = rows.withColumn("orientation", orient.orientation(F.unhex(head)))
+    return orient.oriented(rows).select("p_partkey", F.col("orientation").cast("bigint").alias("orientation"), "width", "height", F.hex("rgba").alias("rgba"))
