@@ -190,6 +190,36 @@ def test_damaged_archives_dont_stop_the_job(spark, tmp_path):
     assert sum(not r.valid for r in found) == 6
 
 
+@pytest.mark.parametrize("step", [1, 7, 1 << 18])
+def test_archives_read_in_steps(step):
+    blocks = [b"", b"x" * 5000, b"WARC/1.1\r\n\r\n" * 9, bytes(300)]
+    parts = [warc.record([("WARC-Record-ID", i)], b) + b"\r\n\r\n" for i, b in enumerate(blocks)]
+    for whole in (b"".join(parts), b"".join(map(gzip.compress, parts)), gzip.compress(b"".join(parts)), gzip.compress(parts[0]) + b"".join(parts[1:])):
+        assert [b for _, b in warc.records(warc.inflated(memoryview(whole), step))] == blocks
+    cut = list(warc.records(warc.inflated(memoryview(gzip.compress(b"".join(parts))[:-9]), step)))
+    assert isinstance(cut[-1], str) and [b for _, b in cut[:-1]] == blocks[: len(cut) - 1]
+    # a file that isn't an archive is given up at its first bytes, however long it is
+    assert list(warc.records(iter([b"no archive", None]))) == ["no record at byte 0"]
+    for bad in (b"9" * 5000, b"99999999999", b"\xc2\xb2", b""):
+        assert isinstance(next(warc.records([b"WARC/1.1\r\nContent-Length: " + bad + b"\r\n\r\n"])), str)
+
+
+def test_archives_are_cut_by_bytes_and_digests_travel_either_way(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_CELLS", 2)
+    rows = [(i, "u", f"{i % 7} " * (600 + 1000 * (i % 7))) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    found = []
+    for limit in (0, 6, 7):
+        path = f"{tmp_path}/warc{limit}"
+        warc.write_archives(df, f"file://{path}", broadcast_digests=limit, cell_bytes=4000)
+        sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / f"warc{limit}").glob("*.gz")]
+        assert len(sizes) > 5 and max(sizes) < 2 * (4000 + 15_000)
+        found.append({(r.record_id, r.record_type, r.refers_to, r.stated_bytes, r.valid) for r in warc.read_archives(spark, f"file://{path}").collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 60 and sum(r[1] == "response" for r in found[0]) == 7
+    faults = warc.read_records(spark, f"file://{tmp_path}/warc0", max_file_bytes=10).collect()
+    assert len(faults) > 5 and all(r.error.endswith("bytes") and r.block is None for r in faults)
+
+
 def test_reassembly_finds_faults(spark):
     columns = ["record_id", "record_type", "segment", "origin_id", "total_length", "refers_to", "target_uri", "payload_digest", "block"]
     part = lambda origin, n, block, total=None: (origin if n == 1 else f"{origin}.{n}", "response" if n == 1 else "continuation", n, None if n == 1 else origin, total, None, None, None, block)
