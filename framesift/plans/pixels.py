@@ -118,38 +118,91 @@ def exif_inject(spark, sf_dir):
     return rows.select("o_orderkey", F.length("bare").alias("bare_bytes"), F.sha1("again").alias("again"), (F.col("again") == F.col("jpeg")).alias("same"))
 
 
-def _redacted(spark, sf_dir, mode):
-    found = redact.redact(pictures.checkerboards(spark, sf_dir), mode, (10, 20, 30))
-    return found.select("frame_id", F.sha1("rgba").alias("pixels"), F.length("rgba").alias("n"))
-
-
 _BOARD = """pix AS (SELECT s_suppkey AS k, x, y, (x // (4 + s_suppkey % 5) + y // (4 + s_suppkey % 5)) % 2 = 0 AS red FROM supplier, range(0, 160) a(x), range(0, 120) b(y))"""
 _BOXES = """bx AS (SELECT s_suppkey AS k, unnest([{'x': s_suppkey % 60, 'y': s_suppkey * 3 % 50, 'w': 30 + s_suppkey % 20, 'h': 20, 'c': 0.5::DOUBLE}, {'x': 90, 'y': s_suppkey * 7 % 40, 'w': 25, 'h': 60 + s_suppkey % 30, 'c': 0.8::DOUBLE}]) AS b FROM supplier),
 bc AS (SELECT k, CAST(b.x AS DOUBLE) AS x, CAST(b.y AS DOUBLE) AS y, CAST(b.w AS DOUBLE) AS w, CASE WHEN b.y + b.h > 119.4::DOUBLE THEN 120::DOUBLE - b.y ELSE b.h END AS h, floor(least(b.w, b.h) / 2 * b.c + 0.5) AS r,
   b.x < 0.8::DOUBLE AS sl, b.y < 0.6::DOUBLE AS st, b.x + b.w > 159.2::DOUBLE AS sr, b.y + b.h > 119.4::DOUBLE AS sb FROM bx)"""
 
 
-@query(f"""WITH {_BOARD}, {_BOXES},
+#: Which pixels of the boards a rounded box covers.
+_COVERED = f"""WITH {_BOARD}, {_BOXES},
 d AS (SELECT pix.k, pix.x AS px, pix.y AS py, red, w, h, bc.x + w / 2 AS cx, bc.y + h / 2 AS cy,
   CASE WHEN pix.x + 0.5::DOUBLE < bc.x + w / 2 THEN CASE WHEN pix.y + 0.5::DOUBLE < bc.y + h / 2 THEN CASE WHEN sl OR st THEN 0 ELSE r END ELSE CASE WHEN sl OR sb THEN 0 ELSE r END END
     ELSE CASE WHEN pix.y + 0.5::DOUBLE < bc.y + h / 2 THEN CASE WHEN sr OR st THEN 0 ELSE r END ELSE CASE WHEN sr OR sb THEN 0 ELSE r END END END AS r FROM pix JOIN bc ON pix.k = bc.k),
 q AS (SELECT *, abs(px + 0.5::DOUBLE - cx) - w / 2 + r AS qx, abs(py + 0.5::DOUBLE - cy) - h / 2 + r AS qy FROM d),
-i AS (SELECT k, px, py, red, bool_or(sqrt(greatest(qx, 0) * greatest(qx, 0) + greatest(qy, 0) * greatest(qy, 0)) + least(greatest(qx, qy), 0) - r <= 0) AS painted FROM q GROUP BY ALL)
+i AS (SELECT k, px, py, red, bool_or(sqrt(greatest(qx, 0) * greatest(qx, 0) + greatest(qy, 0) * greatest(qy, 0)) + least(greatest(qx, qy), 0) - r <= 0) AS painted FROM q GROUP BY ALL)"""
+
+
+@query(f"""{_COVERED}
 SELECT k AS frame_id, 76800 AS n, CAST(sum(CASE WHEN painted THEN 10 WHEN red THEN 255 ELSE 0 END) AS BIGINT) AS red, CAST(sum(CASE WHEN painted THEN 20 ELSE 0 END) AS BIGINT) AS green,
   CAST(sum(CASE WHEN painted THEN 30 WHEN red THEN 0 ELSE 255 END) AS BIGINT) AS blue, CAST(sum((py * 160 + px) * CASE WHEN painted THEN 10 WHEN red THEN 255 ELSE 0 END) AS BIGINT) AS red_moment FROM i GROUP BY k""")
 def redact_solid(spark, sf_dir):
     """Boxes painted over: the pictures' channel sums, and red weighed by place, tell how many pixels were painted and where."""
-    found = redact.redact(pictures.checkerboards(spark, sf_dir), "solid", (10, 20, 30)).withColumn("s", redact.channel_sums(F.col("rgba")))
+    return _redacted(spark, sf_dir, "solid")
+
+
+#: The boards before anything is painted, boxes by their place among a frame's detections, and what is returned of a frame.
+_PAINTED = f"""WITH {_BOARD}, {_BOXES}, bn AS (SELECT *, CASE WHEN x = 90 THEN 2 ELSE 1 END AS n FROM bc),
+p0 AS (SELECT k, x, y, CASE WHEN red THEN 255 ELSE 0 END AS r, CASE WHEN red THEN 0 ELSE 255 END AS b FROM pix)"""
+_SUMS = "SELECT k AS frame_id, 76800 AS n, CAST(sum(r) AS BIGINT) AS red, 0::BIGINT AS green, CAST(sum(b) AS BIGINT) AS blue, CAST(sum((y * 160 + x) * r) AS BIGINT) AS red_moment FROM p2 GROUP BY k"
+
+
+def _pixelated(n: int) -> str:
+    """SQL that replaces the n-th box of each frame by blocks of mean colour."""
+    return f"""z{n} AS (SELECT k, CAST(x AS INT) AS ax, CAST(y AS INT) AS ay, CAST(w AS INT) AS w, CAST(h AS INT) AS h, greatest(8, least(60, floor(least(w, h) / 8 + 0.5))) AS block FROM bn WHERE n = {n}),
+g{n} AS (SELECT p.*, p.x >= ax AND p.x < ax + w AND p.y >= ay AND p.y < ay + h AS inside, ((p.x - ax + 1) * CAST(ceil(w / block) AS INT) - 1) // w AS i, ((p.y - ay + 1) * CAST(ceil(h / block) AS INT) - 1) // h AS j FROM p{n - 1} p JOIN z{n} USING (k)),
+m{n} AS (SELECT k, i, j, CAST(floor(sum(r) / count(*) + 0.5) AS INT) AS r, CAST(floor(sum(b) / count(*) + 0.5) AS INT) AS b FROM g{n} WHERE inside GROUP BY ALL),
+p{n} AS (SELECT g.k, x, y, CASE WHEN inside THEN m.r ELSE g.r END AS r, CASE WHEN inside THEN m.b ELSE g.b END AS b FROM g{n} g LEFT JOIN m{n} m ON g.inside AND g.k = m.k AND g.i = m.i AND g.j = m.j)"""
+
+
+def _triangle(name: str, source: str, n: int, along: str, across: str, start: str, size: str) -> str:
+    """SQL that weighs a region's samples by a triangle along an axis: second differences of the sums of sums, edges repeated."""
+    weighed = lambda c: f"CAST((lead(q{c}, s) OVER o - 2 * lag(q{c}, 1, 0) OVER o + lag(q{c}, s + 2, 0) OVER o) // ((s + 1) * (s + 1)) AS BIGINT) AS {c}"
+    return f"""{name}a AS (SELECT p.k, p.{across}, t, s, {start} + t AS {along}, {size} AS size, p.r, p.b FROM (SELECT *, unnest(range(-s, {size} + s)) AS t FROM z{n}) z JOIN {source} p ON p.k = z.k AND p.{along} = {start} + greatest(0, least({size} - 1, t)) AND p.x BETWEEN xi AND xi + wi - 1 AND p.y BETWEEN yi AND yi + hi - 1),
+{name}b AS (SELECT *, CAST(sum(r) OVER o AS BIGINT) AS sr, CAST(sum(b) OVER o AS BIGINT) AS sb FROM {name}a WINDOW o AS (PARTITION BY k, {across} ORDER BY t ROWS UNBOUNDED PRECEDING)),
+{name}c AS (SELECT *, CAST(sum(sr) OVER o AS BIGINT) AS qr, CAST(sum(sb) OVER o AS BIGINT) AS qb FROM {name}b WINDOW o AS (PARTITION BY k, {across} ORDER BY t ROWS UNBOUNDED PRECEDING)),
+{name} AS (SELECT k, x, y, {weighed("r")}, {weighed("b")} FROM {name}c WINDOW o AS (PARTITION BY k, {across} ORDER BY t) QUALIFY t BETWEEN 0 AND size - 1)"""
+
+
+def _blurred(n: int) -> str:
+    """SQL that blends the n-th box of each frame with its blurred region by the feathered mask."""
+    corner = "CASE WHEN px < cx THEN CASE WHEN py < cy THEN CASE WHEN sl OR st THEN 0 ELSE r END ELSE CASE WHEN sl OR sb THEN 0 ELSE r END END ELSE CASE WHEN py < cy THEN CASE WHEN sr OR st THEN 0 ELSE r END ELSE CASE WHEN sr OR sb THEN 0 ELSE r END END END"
+    mixed = lambda c: f"CASE WHEN f.k IS NULL THEN p.{c} ELSE CAST(round_even(v.{c} * share + p.{c} * (1 - share), 0) AS BIGINT) END AS {c}"
+    return f"""f{n} AS (SELECT *, floor(greatest(3, greatest(w, h) / 12) + 0.5) AS fe FROM bn WHERE n = {n}),
+e{n} AS (SELECT *, CAST(greatest(0, floor(x - 2 * fe)) AS INT) AS xi, CAST(greatest(0, floor(y - 2 * fe)) AS INT) AS yi, CAST(least(160, ceil(x + w + 2 * fe)) AS INT) AS xe, CAST(least(120, ceil(y + h + 2 * fe)) AS INT) AS ye FROM f{n}),
+y{n} AS (SELECT * RENAME (x AS ax, y AS ay), least(xe - xi + 5 - (xe - xi) % 5, 160 - xi) AS wi, least(ye - yi + 5 - (ye - yi) % 5, 120 - yi) AS hi FROM e{n}),
+z{n} AS (SELECT *, CAST(greatest(10, least(50, floor(wi * hi / 100 + 0.5))) AS INT) AS s FROM y{n}),
+{_triangle(f"h{n}", f"p{n - 1}", n, "x", "y", "xi", "wi")},
+{_triangle(f"v{n}", f"h{n}", n, "y", "x", "yi", "hi")},
+k{n} AS (SELECT v.k, v.x, v.y, w, h, fe, z.r, sl, st, sr, sb, ax + w / 2 AS cx, ay + h / 2 AS cy, least(CASE WHEN sr THEN ax + w ELSE 1000 END, greatest(CASE WHEN sl THEN ax ELSE -1000 END, v.x)) AS px, least(CASE WHEN sb THEN ay + h ELSE 1000 END, greatest(CASE WHEN st THEN ay ELSE -1000 END, v.y)) AS py FROM v{n} v JOIN z{n} z USING (k)),
+c{n} AS (SELECT *, {corner} AS rc FROM k{n}),
+q{n} AS (SELECT *, abs(px - cx) - w / 2 + rc AS qx, abs(py - cy) - h / 2 + rc AS qy FROM c{n}),
+a{n} AS (SELECT k, x, y, least(1, greatest(0, 1 - (sqrt(greatest(qx, 0) * greatest(qx, 0) + greatest(qy, 0) * greatest(qy, 0)) + least(greatest(qx, qy), 0) - rc) / fe)) AS share FROM q{n}),
+p{n} AS (SELECT p.k, p.x, p.y, {mixed("r")}, {mixed("b")} FROM p{n - 1} p LEFT JOIN a{n} f ON p.k = f.k AND p.x = f.x AND p.y = f.y LEFT JOIN v{n} v ON p.k = v.k AND p.x = v.x AND p.y = v.y)"""
+
+
+def _redacted(spark, sf_dir, mode):
+    """Channel sums of redacted boards, and red weighed by place."""
+    found = redact.redact(pictures.checkerboards(spark, sf_dir), mode, (10, 20, 30)).withColumn("s", redact.channel_sums(F.col("rgba")))
     return found.select("frame_id", F.length("rgba").alias("n"), "s.red", "s.green", "s.blue", "s.red_moment")
 
 
-@query()
+@query(f"{_COVERED} SELECT k AS frame_id, CAST(count(*) FILTER (WHERE NOT painted) AS BIGINT) AS lit, count(*) FILTER (WHERE NOT painted) / count(*)::DOUBLE AS ratio FROM i GROUP BY k")
+def blackout_ratio(spark, sf_dir):
+    """Share of a frame's pixels that aren't black once its boxes are painted in black: counted on the pixels."""
+    found = redact.redact(pictures.checkerboards(spark, sf_dir), "solid").withColumn("lit", redact.channel_sums(F.col("rgba"))["lit"])
+    return found.select("frame_id", "lit", (F.col("lit") / (F.col("width") * F.col("height"))).alias("ratio"))
+
+
+@query(f"{_PAINTED}, {_pixelated(1)}, {_pixelated(2)} {_SUMS}")
 def redact_pixelate(spark, sf_dir):
+    """Boxes in blocks of mean colour, the second over the first; the SQL works the same blocks out pixel by pixel."""
     return _redacted(spark, sf_dir, "pixelate")
 
 
-@query()
+@query(f"{_PAINTED}, {_blurred(1)}, {_blurred(2)} {_SUMS}")
 def redact_blur(spark, sf_dir):
+    """Boxes blurred, the second over the first; the SQL weighs, masks and blends pixel by pixel."""
     return _redacted(spark, sf_dir, "blur")
 
 
