@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from framesift.functions import tonemap
 from framesift.functions.geometry import rounded_distance
-from framesift.operators import exif, hdr, inference, orient, redact
+from framesift.operators import exif, filemeta, hdr, inference, orient, redact
 from framesift.plans.registry import query
 from framesift.sources import pictures
-from framesift.sources.tables import table
+from framesift.sources.tables import MEDIA, media, table
 
 _RGB = "s AS (SELECT event_id, CAST(event_id % 101 AS DOUBLE) / 100 AS r, CAST(event_id * 7 % 101 AS DOUBLE) / 100 AS g, CAST(event_id * 13 % 101 AS DOUBLE) / 100 AS b FROM events)"
 _SRGB = """, c AS (SELECT event_id, [least(greatest(1.6605::DOUBLE * r + -0.5877::DOUBLE * g + -0.0728::DOUBLE * b, 0), 1), least(greatest(-0.1246::DOUBLE * r + 1.1329::DOUBLE * g + -0.0083::DOUBLE * b, 0), 1), least(greatest(-0.0182::DOUBLE * r + -0.1006::DOUBLE * g + 1.1187::DOUBLE * b, 0), 1)] AS v FROM d),
@@ -71,6 +71,24 @@ def exif_parse(spark, sf_dir):
     return found.select("o_orderkey", *(F.col(f"m.{c}").alias(c) for c in ("year", "month", "day", "timezone", "lat", "lon")))
 
 
+@query(rf"""WITH {MEDIA}, t AS (SELECT *, mime = 'video/mp4' AS video, mime = 'image/jpeg' AS jpeg, pos % 86400 AS s,
+  CASE WHEN pos % 5 = 0 THEN 'none' ELSE '+' || (pos % 90) || '.25-' || lpad(CAST(pos % 180 AS VARCHAR), 3, '0') || '.5/' END AS xyz FROM media),
+d AS (SELECT pos, CASE WHEN video OR jpeg THEN captured_at END AS day, video, jpeg, s, duration_s * 97 AS length, xyz FROM t)
+SELECT pos, strftime(day, '%Y') AS year, strftime(day, '%m') AS month, strftime(day, '%d') AS day, CASE WHEN video THEN lpad(CAST(s // 3600 AS VARCHAR), 2, '0') WHEN jpeg THEN '00' END AS hour,
+  CASE WHEN video THEN lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') WHEN jpeg THEN '00' END AS minute, CASE WHEN jpeg THEN '+01:00' END AS timezone,
+  CASE WHEN video AND pos % 5 <> 0 THEN CAST(pos % 90 AS DOUBLE) + 0.25::DOUBLE WHEN jpeg AND pos % 2 = 0 THEN (CASE WHEN pos % 4 = 0 THEN -1 ELSE 1 END) * (CAST(pos % 90 AS DOUBLE) + CAST(pos % 60 AS DOUBLE) / 60 + CAST(pos % 6000 AS DOUBLE) / 100 / 3600) END AS lat,
+  CASE WHEN video AND pos % 5 <> 0 THEN -(CAST(pos % 180 AS DOUBLE) + 0.5::DOUBLE) WHEN jpeg AND pos % 2 = 0 THEN CAST(pos % 180 AS DOUBLE) + CAST(pos % 60 AS DOUBLE) / 60 + CAST(pos % 6000 AS DOUBLE) / 100 / 3600 END AS lon,
+  CASE WHEN video AND length > 0 THEN (CASE WHEN floor(length + 0.5) < 36000 THEN '0' ELSE '' END) || CAST(CAST(floor(length + 0.5) AS BIGINT) // 3600 AS VARCHAR) || ':' || lpad(CAST(CAST(floor(length + 0.5) AS BIGINT) % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(length + 0.5) AS BIGINT) % 60 AS VARCHAR), 2, '0') END AS duration FROM d""")
+def file_meta(spark, sf_dir):
+    """Date, place and length of every catalogued file: pictures by their EXIF bytes, videos by their container's tags, others nothing."""
+    place = F.expr("case when pos % 5 = 0 then 'none' else concat('+', string(pos % 90), '.25-', lpad(string(pos % 180), 3, '0'), '.5/') end")
+    # the tag's date has a time of day, the session's time zone isn't part of it
+    taken = F.timestamp_micros(F.unix_date(F.col("captured_at").cast("date")).cast("bigint") * filemeta.DAY_US + F.expr("pos % 86400") * 1_000_000)
+    rows = media(spark, sf_dir).join(pictures.jpegs(spark, sf_dir), F.col("pos") == F.col("o_orderkey"))
+    found = rows.withColumn("m", filemeta.file_meta(F.col("mime"), F.col("jpeg"), taken, place, F.col("duration_s") * 97))
+    return found.select("pos", "m.*")
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN strftime(o_orderdate, '%Y') END AS year,
   CASE WHEN o_orderkey % 2 = 0 THEN (CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE 1 END) * (CAST(o_orderkey % 90 AS DOUBLE) + CAST(o_orderkey % 60 AS DOUBLE) / 60 + CAST(o_orderkey % 6000 AS DOUBLE) / 100 / 3600) END AS lat,
   CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 180 AS DOUBLE) + CAST(o_orderkey % 60 AS DOUBLE) / 60 + CAST(o_orderkey % 6000 AS DOUBLE) / 100 / 3600 END AS lon FROM orders""")
