@@ -39,7 +39,7 @@ BITS, DAMPING = 16, 0.6
 STEPS = [(a, b) for a in range(1, 4) for b in range(1, 4) if a + b <= 5]
 #: Weights by the number of skipped characters, as whole numbers: their sums are exact in any order.
 WEIGHTS = np.array([round(1000 * DAMPING**k) for k in range(4)], float)
-#: Kernel values below this count as 0: low enough for words with two inserted characters or one replaced (test_disguised_insults).
+#: Kernel values below this count as 0 unless the settings say otherwise: low enough for words with two inserted characters or one replaced (test_disguised_insults).
 FLOOR = 0.35
 #: Words that a worker process remembers.
 CACHE = 400_000
@@ -50,7 +50,7 @@ _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 
 @dataclass(frozen=True)
 class Settings:
-    """Sample rows of each class, landmarks of each kind, characters of a landmark, different sample texts that it must occur in, its least log-odds and log-likelihood ratio if toxic (the latter keeps out words that a few documents of one topic share), its highest log-odds if clean, and the SVM's penalty."""
+    """Sample rows of each class, landmarks of each kind, characters of a landmark, different sample texts that it must occur in, its least log-odds and log-likelihood ratio if toxic (the latter keeps out words that a few documents of one topic share), its highest log-odds if clean, the SVM's penalty and passes, and the kernel value below which a value counts as 0 (0: the exact kernel)."""
 
     sample: int = 6000
     landmarks: int = 96
@@ -62,6 +62,7 @@ class Settings:
     least_odds: float = 2.5
     penalty: float = 1.0
     epochs: int = 20
+    floor: float = FLOOR
 
 
 def normal(word: str) -> str:
@@ -109,9 +110,10 @@ def subsequences(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Landmarks:
-    """Landmark units and the kernel of other units with them."""
+    """Landmark units and the kernel of other units with them; values below the floor count as 0."""
 
     units: list[str]
+    floor: float = FLOOR
     row: np.ndarray = field(init=False)
     cuts: np.ndarray = field(init=False)
     marks: np.ndarray = field(init=False)
@@ -134,7 +136,7 @@ class Landmarks:
         self.highest = np.append(dense.max(axis=1) if self.units else np.empty(0), 0.0)  # the last one for row -1
 
     def kernel(self, units: list[str]) -> dict[int, np.ndarray]:
-        """For the units (by place) with any kernel value of FLOOR or more: their values, smaller ones as 0."""
+        """For the units (by place) with any kernel value above 0 that isn't below the floor: their values, smaller ones as 0."""
         parts, owner = [], []
         for k, u in enumerate(units):
             w = windows(u)
@@ -147,7 +149,7 @@ class Landmarks:
         norms = np.maximum(np.bincount(who, weight**2, len(parts)), 1e-12)
         # each subsequence at its highest landmark weight: no kernel value of a part is above that sum
         bound = np.bincount(who, weight * self.highest[row], len(parts)) / np.sqrt(norms)
-        near = (bound >= FLOOR - 1e-9)[who] & (row >= 0)
+        near = (bound >= self.floor - 1e-9)[who] & (row >= 0)
         who, row, weight = who[near], row[near], weight[near]
         # a product of the parts' and the landmarks' sparse rows
         n = self.cuts[row + 1] - self.cuts[row]
@@ -155,7 +157,7 @@ class Landmarks:
         place = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.cuts[row], n)
         wide = len(self.units)
         values = np.bincount(who[entry] * wide + self.marks[place], weight[entry] * self.weights[place], len(parts) * wide).reshape(-1, wide) / np.sqrt(norms)[:, None]
-        values[values < FLOOR] = 0
+        values[values < self.floor] = 0
         found: dict[int, np.ndarray] = {}
         for p in values.any(axis=1).nonzero()[0].tolist():
             k, v = owner[p], values[p].astype(np.float32)
@@ -238,12 +240,13 @@ def pooled(sentence: list[Found]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Landmark units, the SVM's weight on each landmark kernel, its constant, and the calibration's weights."""
+    """Landmark units, the SVM's weight on each landmark kernel, its constant, the calibration's weights, and the kernel's floor."""
 
     units: list[str]
     weights: np.ndarray
     constant: float
     calibration: np.ndarray
+    floor: float = FLOOR
 
     def evidence(self, n_words: int, sentences: list[list[Found]]) -> list[float]:
         """Worst sentence's decision; log of one more than the distinct units decided against; log of their share of the words; 1."""
@@ -262,8 +265,8 @@ NOTHING = Model([], np.zeros(0), 0.0, np.array([0.0, 0.0, 0.0, -500.0]))
 
 
 @functools.lru_cache(maxsize=2)
-def _reader(units: tuple[str, ...]) -> Reader:
-    return Reader(Landmarks(list(units)))
+def _reader(units: tuple[str, ...], floor: float) -> Reader:
+    return Reader(Landmarks(list(units), floor))
 
 
 def hash_share(n: Column, rows: Column) -> Column:
@@ -310,9 +313,9 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
         return NOTHING
     # clean units that look most like those, among all of the sample
     fine = units.where(F.col("c") >= settings.least_documents).withColumn("odds", odds).where(F.col("odds") < settings.clean_odds)
-    fine_units = [r.unit for r in _closeness(fine, bad_units).orderBy(F.desc("near"), "unit").limit(settings.landmarks).collect()]
+    fine_units = [r.unit for r in _closeness(fine, bad_units, settings.floor).orderBy(F.desc("near"), "unit").limit(settings.landmarks).collect()]
     names = bad_units + fine_units
-    marks = Landmarks(names)
+    marks = Landmarks(names, settings.floor)
     base = np.zeros((len(names), len(names)))
     for k, v in marks.kernel(names).items():
         base[k] = v
@@ -320,11 +323,11 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     good = values > 1e-3 * values.max()
     half = vectors[:, good] * values[good] ** -0.5  # kernels with the landmarks -> Nyström features
 
-    rows = _training_rows(sample, names, len(bad_units))
+    rows = _training_rows(sample, names, len(bad_units), settings.floor)
     kernels, label = np.array([r.kernel for r in rows]).reshape(-1, len(names)), np.array([r.label for r in rows])
     weights, constant = support_vectors(kernels @ half, 2.0 * label - 1, settings.penalty, settings.epochs)
     weights = half @ weights
-    model = Model(names, weights, constant, NOTHING.calibration)
+    model = Model(names, weights, constant, NOTHING.calibration, settings.floor)
     evidence = _evidence(sample, model)
     return replace(model, calibration=calibrate(np.array([r.evidence for r in evidence]), np.array([r.label for r in evidence])))
 
@@ -346,11 +349,11 @@ def _unit_counts(sample: DataFrame, settings: Settings) -> DataFrame:
     return checkpoint(counts.where(F.col("t") + F.col("c") >= settings.least_documents))
 
 
-def _closeness(units: DataFrame, bad_units: list[str]) -> DataFrame:
-    """unit and near, its highest kernel value with any of ``bad_units``, of the units that have one of FLOOR or more."""
+def _closeness(units: DataFrame, bad_units: list[str], floor: float) -> DataFrame:
+    """unit and near, its highest kernel value with any of ``bad_units``, of the units that have one that counts."""
 
     def make():
-        marks = Landmarks(bad_units)
+        marks = Landmarks(bad_units, floor)
 
         def work(batch: pa.RecordBatch):
             names = batch.column("unit").to_pylist()
@@ -362,11 +365,11 @@ def _closeness(units: DataFrame, bad_units: list[str]) -> DataFrame:
     return arrow_map(units, {"unit": "unit"}, "unit string, near double", make)
 
 
-def _training_rows(sample: DataFrame, names: list[str], n_bad: int) -> list:
+def _training_rows(sample: DataFrame, names: list[str], n_bad: int, floor: float) -> list:
     """label and kernel of the training sentences of each sample document: bounded by the sample."""
 
     def make():
-        reader = Reader(Landmarks(names))
+        reader = Reader(Landmarks(names, floor))
 
         def work(batch: pa.RecordBatch):
             for start, texts in text_groups(batch):
@@ -386,7 +389,7 @@ def _evidence(sample: DataFrame, model: Model) -> list:
     """label and evidence of each sample document."""
 
     def make():
-        reader = Reader(Landmarks(model.units))
+        reader = Reader(Landmarks(model.units, model.floor))
 
         def work(batch: pa.RecordBatch):
             for start, texts in text_groups(batch):
@@ -439,7 +442,7 @@ def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text
 
     def make():
         model = shared.value
-        reader = _reader(tuple(model.units))
+        reader = _reader(tuple(model.units), model.floor)
 
         def work(batch: pa.RecordBatch):
             for start, texts in text_groups(batch, "_text"):

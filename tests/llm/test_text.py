@@ -300,7 +300,8 @@ def test_language_scores_equal_explicit_kernels(spark):
         assert found[i].lang_pred == names[outputs.argmax()] and found[i].score == pytest.approx(odds.max() / odds.sum(), abs=1e-6)
 
 
-def test_kernel_equals_explicit_subsequences():
+@pytest.mark.parametrize("floor", [toxicity.FLOOR, 0.2, 0.0])
+def test_kernel_equals_explicit_subsequences(floor):
     """Kernel values against a plain enumeration of subsequences and their weights."""
 
     def weights(unit):
@@ -317,12 +318,23 @@ def test_kernel_equals_explicit_subsequences():
         return sum(x[s] * y[s] for s in x) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
 
     marks, units = ["idiot", "clown", "worthless"], ["idiot", "idi0t", "idxiot", "clowns", "clawn", "worthles", "harmless", "tree", "idiotidiot"]
-    found = toxicity.Landmarks(marks).kernel(units)
+    found = toxicity.Landmarks(marks, floor).kernel(units)
     for k, u in enumerate(units):
         for j, m in enumerate(marks):
             exact = plain(u, m)
-            if abs(exact - toxicity.FLOOR) > 0.01:
-                assert (found[k][j] if k in found else 0) == pytest.approx(exact if exact >= toxicity.FLOOR else 0, abs=0.01), (u, m)
+            if abs(exact - floor) > 0.01 or not floor:
+                assert (found[k][j] if k in found else 0) == pytest.approx(exact if exact >= floor else 0, abs=0.01), (u, m)
+
+
+def test_floor_travels_with_the_model(spark):
+    rows = [(i, f"you are such an idiot number {i}" if i % 2 else f"the harbour opens at nine today {i}", i % 2) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    settings = toxicity.Settings(floor=0.0, least_evidence=5.0)
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.col("doc_id") >= 0, settings=settings)
+    assert model.floor == 0.0 and "idiot" in model.units
+    reader = toxicity.Reader(toxicity.Landmarks(model.units, 0.0))
+    for r in toxicity.score(docs, model, ("doc_id", "text")).collect():
+        assert r.score == model.score(*reader.sentences([r.text])[0])
 
 
 def test_scores_depend_on_the_text_alone():
@@ -372,7 +384,7 @@ def test_disguised_insults():
     """Disguised insults keep a kernel value with the plain word; two replaced characters of a short word share too little with it."""
     rnd = random.Random(1)
     words = ["idiot", "trash", "clown", "loser", "moron", "stupid", "scum", "worthless", "pathetic", "disgusting"]
-    marks = toxicity.Landmarks(words)
+    marks, exact = toxicity.Landmarks(words), toxicity.Landmarks(words, 0.0)
 
     def inserted(w, n):
         for _ in range(n):
@@ -385,7 +397,7 @@ def test_disguised_insults():
             w = w[:i] + rnd.choice(by) + w[i + 1 :]
         return w
 
-    def recall(disguise):
+    def recall(disguise, marks=marks):
         units = [(k, toxicity.normal(disguise(w))) for k, w in enumerate(words) for _ in range(60)]
         near = marks.kernel([u for _, u in units])
         return sum(i in near and near[i][k] > 0 for i, (k, _) in enumerate(units)) / len(units)
@@ -393,6 +405,9 @@ def test_disguised_insults():
     assert recall(lambda w: inserted(w, 1)) == recall(lambda w: replaced(w, 1, "*")) == 1
     assert recall(lambda w: inserted(w, 2)) >= 0.95 and recall(lambda w: replaced(w, 1, "0134578")) >= 0.85
     assert recall(lambda w: replaced(w, 2, "*")) >= 0.45 and recall(lambda w: replaced(w, 2, "0134578")) >= 0.2
+    # without a floor hardly any disguise leaves nothing
+    assert recall(lambda w: replaced(w, 2, "*"), exact) >= 0.9 and recall(lambda w: replaced(w, 2, "0134578"), exact) >= 0.8
+    assert recall(lambda w: inserted(w, 2), exact) == 1
 
 
 # ---------------------------------------------------------------- Jaccard join
