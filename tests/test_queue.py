@@ -50,3 +50,18 @@ def test_ties_nulls_and_repeats(spark):
     # a request that comes when the server gets free has waited; of two at once the last counts
     assert found(df, 10) == {(1, 1, 10): (None, None), (1, 2, 10): (10, 15), (1, 3, 15): (15, 20), (1, 4, 16): (None, None), (1, 5, 20): (20, 21), (1, 5, 90): (90, 91), (2, 1, 0): (0, 0)}
     assert found(df.limit(0), 10) == {}
+
+
+def test_a_file_is_one_run_in_one_shuffle_and_busy_files_are_cut(spark):
+    rng = random.Random(2)
+    rows = [(file, k, rng.randrange(400), rng.choice([0, 1, 5, 40, load])) for file, load in ((1, 3), (2, 90), (3, 5000)) for k in range(60)]
+    rows += [(4, 1, 5, 7), (4, 1, 5, 9), (5, 1, 0, 10), (5, 2, 13, 1), (5, 2, 13, 1)]
+    wanted = simulate([r for r in rows if r != (4, 1, 5, 7) and r != (4, 1, 5, 9)] + [(4, 1, 5, 9)])
+    df = spark.createDataFrame(rows, SCHEMA)
+    # few requests: no rounds over stretches, whatever their number
+    whole = queue.latest_wins(df, 13)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+    assert found(df, 13) == wanted
+    for most in (1, 7, 50):
+        out = queue.latest_wins(df, 13, most).collect()
+        assert len(out) == len(wanted) and {(r.file_id, r.frame_id, r.pts_us): (r.started_us, r.completed_us) for r in out} == wanted
