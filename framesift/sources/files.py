@@ -1,4 +1,4 @@
-"""Files as rows: a reader of the first bytes of each file, and a sink of one object for each name.
+"""Files as rows: a reader of the first bytes of each file, a sink of one object for each name, and packs of small files.
 
 Paths are those of any file system that pyarrow knows; a path without a scheme is local. Files and
 folders whose names begin with a dot or an underscore are not read, as in Spark's own sources.
@@ -199,3 +199,79 @@ def recover(spark: SparkSession, path: str) -> int:
     for staging in left:
         _publish(spark, path, f"{path}/.staging/{staging.rsplit('/', 1)[1]}")
     return len(left)
+
+
+#: Bytes of contents after which a task begins another pack.
+PACK = 256 << 20
+
+
+def pack(files: DataFrame, path: str, most: int = PACK) -> DataFrame:
+    """``files`` (name, content) put end to end into packs under the folder ``path``: name, pack, start and length of each.
+
+    A small file of its own takes a block of disk and an entry of its folder, and its name passes the
+    driver when the folder is listed; in a pack it takes its bytes. Every task attempt writes packs of its own, of about ``most``
+    bytes or one content; only those of attempts that count are in what is returned, which stands as a table beside them. A
+    null content is an empty file, rows with a null name are left out, equal names stay apart.
+    """
+    spark = files.sparkSession
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = place(f"{path}/packs")
+        system.create_dir(root, recursive=True)
+        file, target, at = None, "", 0
+        try:
+            for batch in batches:
+                rows = []
+                for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
+                    if file is None or at >= most:
+                        if file is not None:
+                            file.close()
+                        target, at = f"{root}/{uuid.uuid4().hex}", 0
+                        file = system.open_output_stream(target, buffer_size=1 << 20)
+                    body = content.as_buffer() if content.is_valid else b""
+                    file.write(body)
+                    rows.append((name, target, at, len(body)))
+                    at += len(body)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["name", "pack", "start", "length"])
+        finally:
+            if file is not None:
+                file.close()
+
+    index = files.where("name IS NOT NULL").select("name", "content").mapInArrow(write, "name string, pack string, start bigint, length bigint")
+    index.write.parquet(f"{path}/index")
+    return spark.read.parquet(f"{path}/index")
+
+
+def packed_heads(index: DataFrame, size: int = 65536) -> DataFrame:
+    """name, length and the first ``size`` bytes of each file in ``pack``'s table; of longer files no more is read. Short neighbours are read at once."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, file = None, None
+        try:
+            for batch in batches:
+                members = list(zip(*(batch.column(c).to_pylist() for c in ("pack", "start", "length"))))
+                i = 0
+                while i < len(members):
+                    source, start, _ = members[i]
+                    n, end = i, start
+                    while n < len(members) and members[n][:2] == (source, end) and end - start < BATCH:
+                        n, end = n + 1, end + members[n][2]
+                        if members[n - 1][2] > size:
+                            # nothing after a long file's head is wanted with it
+                            end = members[n - 1][1] + size
+                            break
+                    if source != opened:
+                        if file is not None:
+                            file.close()
+                        file, opened = place(source)[0].open_input_file(place(source)[1]), source
+                    block = file.read_at(end - start, start)
+                    heads = [block[at - start : at - start + min(size, length)] for _, at, length in members[i:n]]
+                    part = batch.slice(i, n - i)
+                    yield pa.RecordBatch.from_arrays([part.column("name"), part.column("length"), pa.array(heads, pa.binary())], ["name", "length", "head"])
+                    i = n
+        finally:
+            if file is not None:
+                file.close()
+
+    return index.select("name", "pack", "start", "length").mapInArrow(read, "name string, length bigint, head binary")

@@ -223,3 +223,28 @@ def test_movies_of_null_and_empty_rows(spark, tmp_path):
     files.write_named(made, str(tmp_path), distinct=True)
     found = [(r.n, r.key, r.pts_us, r.dur_us, bytes(r.data)) for r in movies.packets(spark, str(tmp_path)).orderBy("n").collect()]
     assert found == [(0, True, 5, 0, b"first"), (1, False, 5, 4, b""), (2, True, 9, 40_000, b"")]
+
+
+def test_small_files_stand_in_packs(spark, tmp_path):
+    rows = [(f"{k}", bytes([k % 251]) * (k % 40)) for k in range(500)] + [("long", b"ab" * 5000), ("after", b"xyz"), ("null", None), (None, b"gone"), ("after", b"again")]
+    df = spark.createDataFrame(rows, "name string, content binary").repartition(3)
+    index = files.pack(df, str(tmp_path / "out"), most=4000)
+    found = sorted((r.name, r.length, bytes(r.head)) for r in files.packed_heads(index, size=100).collect())
+    assert found == sorted((n, len(c or b""), (c or b"")[:100]) for n, c in rows if n)
+    packs = os.listdir(tmp_path / "out" / "packs")
+    assert len(packs) == index.select("pack").distinct().count() < 12
+    assert files.packed_heads(files.pack(df.limit(0), str(tmp_path / "none"))).collect() == []
+
+
+def test_long_members_are_read_by_their_heads(spark, tmp_path):
+    body = os.urandom(1 << 20)
+    index = files.pack(spark.createDataFrame([("a", b"1"), ("b", body), ("c", b"3")], "name string, content binary").coalesce(1), str(tmp_path))
+    assert [bytes(r.head) for r in files.packed_heads(index, size=10).orderBy("name").collect()] == [b"1", body[:10], b"3"]
+
+
+def test_head_exif_makes_no_file_for_each_picture(spark, sf_dir, tmp_path, monkeypatch):
+    from framesift.plans import files as plans
+
+    monkeypatch.setattr(plans, "shared_folder", lambda *_: str(tmp_path / "pictures"))
+    assert plans.head_exif(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert len(listing(tmp_path)) < 20
