@@ -1,5 +1,7 @@
 """Pixel and byte operators: relations that must hold on checkerboards and synthetic JPEG bytes."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +181,24 @@ def test_filters(spark):
     assert nms.filter_detections(found, 0.0, nms.LABELS).count() == 3
     assert nms.filter_detections(found, 0.05, nms.LABELS).count() == 1
     assert nms.filter_detections(found, 0.0, ()).count() == 0
+
+
+def test_suppression_equals_the_fold(spark):
+    """Groups of many sizes, NaN and empty boxes, in batches that cut groups; and no array of a group's boxes in the plan."""
+    rng = random.Random(8)
+    rows = []
+    for frame in [*range(40), None]:
+        for anchor in range(rng.choice([1, 2, 3, 30, 90])):
+            side = lambda top: rng.choice([0.0, float("nan")]) if rng.random() < 0.02 else rng.random() * top
+            rows.append((frame, rng.choice(["plate", "person", None]), anchor, rng.randrange(50) / 50, side(60), side(60), side(30), side(30)))
+    boxes = spark.createDataFrame(rows, "frame_id bigint, label string, anchor bigint, conf double, cx double, cy double, w double, h double")
+    wanted = sorted(map(str, map(tuple, nms.suppress_fold(boxes).collect())))
+    assert 300 < len(wanted) < len(rows)
+    for size in (7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert sorted(map(str, map(tuple, nms.suppress(boxes).collect()))) == wanted
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = nms.suppress(boxes)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Sort [") == 1
