@@ -193,6 +193,19 @@ def tensor(rgba: Column, width: Column, height: Column) -> Column:
     return build(rgba, width, height)
 
 
+def samples_of_one(tensor: Column) -> Column:
+    """Array of how many samples of each plane of a planar float32 tensor are 1, in the order of the planes; null where its bytes aren't three planes."""
+
+    def ones(raw: bytes | None) -> list | None:
+        return None if raw is None or len(raw) % 12 else (np.frombuffer(raw, "<f4").reshape(3, -1) == 1).sum(axis=1).tolist()
+
+    @F.arrow_udf("array<bigint>")
+    def count(tensors: pa.Array) -> pa.Array:
+        return _each(pa.list_(pa.int64()), ones, tensors)
+
+    return count(tensor)
+
+
 def channel_sums(rgba: Column) -> Column:
     """Struct of the sums of red, green and blue over a picture's pixels, of red times the pixel's number, and of pixels of which some channel is above 10."""
 

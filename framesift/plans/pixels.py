@@ -229,9 +229,8 @@ SELECT k AS frame_id, 230400 AS n, CAST(count(*) FILTER (WHERE red) AS BIGINT) A
 def tensor_build(spark, sf_dir):
     """Model input of checkerboards: its bytes, and how many samples of each plane are 1 (0000803f in little-endian floats), all others being 0."""
     rows = pictures.checkerboards(spark, sf_dir).withColumn("t", redact.tensor(F.col("rgba"), F.col("width"), F.col("height")))
-    plane = lambda k: F.hex(F.substring("t", 1 + k * 76800, 76800))
-    ones = lambda k: F.regexp_count(plane(k), F.lit("0000803F")).cast("bigint")
-    return rows.select("frame_id", F.length("t").alias("n"), *(ones(k).alias(f"ones_{c}") for k, c in enumerate(("red", "green", "blue"))))
+    rows = rows.withColumn("ones", redact.samples_of_one(F.col("t")))
+    return rows.select("frame_id", F.length("t").alias("n"), *(F.col("ones")[k].alias(f"ones_{c}") for k, c in enumerate(("red", "green", "blue"))))
 
 
 @query(f"""WITH {_BOARD},

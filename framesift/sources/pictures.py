@@ -65,8 +65,14 @@ def checkerboard(width: int, height: int, cell: int = 8) -> np.ndarray:
     return np.stack([np.where(red, 255, 0), np.zeros_like(x), np.where(red, 0, 255), np.full_like(x, 255)], axis=2).astype(np.uint8)
 
 
+#: Frames in a partition of checkerboards, about 10 MB of pixels: an Arrow batch holds up to a partition's rows, so that bounds what a Python worker is given.
+FRAMES = 128
+
+
 def checkerboards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 160 x 120 checkerboard for each supplier, with two detections placed by its key."""
+    """A 160 x 120 checkerboard for each supplier, with two detections placed by its key. Keys are dealt over partitions of about ``FRAMES`` before pixels are made."""
+    keys = table(spark, sf_dir, "supplier").select("s_suppkey")
+    keys = keys.repartition(max(1, -(-keys.count() // FRAMES)))
 
     @F.arrow_udf("binary")
     def build(keys: pa.Array) -> pa.Array:
@@ -74,4 +80,4 @@ def checkerboards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     box = lambda label, x, y, w, h: F.struct(F.lit(label).alias("label"), F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"), F.expr(w).cast("double").alias("w"), F.expr(h).cast("double").alias("h"))
     found = F.array(box("plate", "s_suppkey % 60", "s_suppkey * 3 % 50", "30 + s_suppkey % 20", "20"), box("person", "90", "s_suppkey * 7 % 40", "25", "60 + s_suppkey % 30"))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame_id"), F.lit(160).alias("width"), F.lit(120).alias("height"), build("s_suppkey").alias("rgba"), found.alias("detections"))
+    return keys.select(F.col("s_suppkey").alias("frame_id"), F.lit(160).alias("width"), F.lit(120).alias("height"), build("s_suppkey").alias("rgba"), found.alias("detections"))

@@ -202,3 +202,23 @@ def test_suppression_equals_the_fold(spark):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = nms.suppress(boxes)._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and plan.count("Sort [") == 1
+
+
+def test_partitions_of_pictures_are_small(spark, tmp_path):
+    """What a Python worker is given at a time doesn't grow with the table."""
+    from framesift.sources import pictures
+
+    spark.range(3000).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    frames = pictures.checkerboards(spark, str(tmp_path))
+    sizes = [r["n"] for r in frames.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= pictures.FRAMES + 8
+
+
+def test_samples_of_one_are_counted_without_text(spark, sf_dir):
+    from framesift.plans import all_queries
+
+    raw = np.array([1, 0, 1, 0.5, 1, 1], "<f4").tobytes()
+    rows = spark.createDataFrame([(raw,), (None,), (b"abc",), (b"",)], "t binary").select(redact.samples_of_one(F.col("t")).alias("n")).collect()
+    assert [r.n for r in rows] == [[1, 1, 2], None, None, [0, 0, 0]]
+    plan = all_queries()[0]["tensor_build"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "hex" not in plan and "regexp" not in plan
