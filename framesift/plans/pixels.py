@@ -131,9 +131,8 @@ def _jpeg_hex() -> str:
 @query(f"SELECT o_orderkey, CAST(77 + k % 50 AS INT) AS bare_bytes, sha1(unhex({_jpeg_hex()})) AS again, true AS same FROM (SELECT *, o_orderkey AS k FROM orders)")
 def exif_inject(spark, sf_dir):
     """Stripped pictures, and those that got the source's EXIF back, by length and hash."""
-    rows = pictures.jpegs(spark, sf_dir).withColumn("bare", exif.exif_carried(F.col("jpeg"), F.col("jpeg"), "strip"))
-    rows = rows.withColumn("again", exif.exif_carried(F.col("jpeg"), F.col("bare"), "keep"))
-    return rows.select("o_orderkey", F.length("bare").alias("bare_bytes"), F.sha1("again").alias("again"), (F.col("again") == F.col("jpeg")).alias("same"))
+    rows = pictures.jpegs(spark, sf_dir).withColumn("s", exif.exif_stripped_and_back(F.col("jpeg")))
+    return rows.select("o_orderkey", F.length("s.bare").alias("bare_bytes"), F.sha1("s.again").alias("again"), (F.col("s.again") == F.col("jpeg")).alias("same"))
 
 
 _BOARD = """pix AS (SELECT s_suppkey AS k, x, y, (x // (4 + s_suppkey % 5) + y // (4 + s_suppkey % 5)) % 2 = 0 AS red FROM supplier, range(0, 160) a(x), range(0, 120) b(y))"""

@@ -222,3 +222,15 @@ def test_samples_of_one_are_counted_without_text(spark, sf_dir):
     assert [r.n for r in rows] == [[1, 1, 2], None, None, [0, 0, 0]]
     plan = all_queries()[0]["tensor_build"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "hex" not in plan and "regexp" not in plan
+
+
+def test_exif_goes_out_and_back_in_one_pass(spark, sf_dir):
+    from framesift.plans import all_queries
+
+    raw = [exif_jpeg(k, "2024:03:15 10:42:00") for k in range(6)] + [None, b"", b"\xff\xd8"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "k int, jpeg binary").withColumn("s", exif.exif_stripped_and_back(F.col("jpeg")))
+    one = [(r.s.bare, r.s.again) for r in df.orderBy("k").collect()]
+    assert one == [(bare := exif.carry_over(r, r, "strip"), exif.carry_over(r, bare, "keep")) for r in raw]
+    plan = all_queries()[0]["exif_inject"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    # one worker makes the pictures, one takes them through
+    assert plan.count("ArrowEvalPython") <= 2
