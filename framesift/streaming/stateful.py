@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,105 +49,131 @@ class RunningStats(StatefulProcessor):
 
 
 class _Ordered(StatefulProcessor):
-    """Holds each key's rows until the watermark has passed them by ``wait_us``, then takes them in order; late rows go out at once.
+    """Holds rows until the watermark has passed them by ``wait_us``, then takes each file's in order; late rows go out at once.
 
-    A row behind the watermark is late: it decides nothing. One timer stands for the earliest row held,
-    so the work of a micro-batch follows the rows that become ready.
+    A row behind the watermark is late: it decides nothing. A key is a group of files, as every question to
+    the state store costs far more than a row: their rows are held as whole numbers, one binary value
+    for each micro-batch, and a timer stands for the earliest. A group's rows held have to fit one task.
     """
 
-    columns: tuple[str, ...] = ("pts_us", "frame_id")
-    held_schema = "pts_us bigint, frame_id bigint"
+    columns: tuple[str, ...] = ("file_id", "pts_us", "frame_id")
+    schema = ""
     wait_us = 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getListState("held", self.held_schema)
+        self.handle, self.held = handle, handle.getListState("held", "rows binary")
 
-    def _wake(self, row: tuple) -> None:
-        self.handle.registerTimer((row[0] + self.wait_us) // 1000 + 1)
+    def _wake(self, rows: np.ndarray) -> None:
+        at = (int(rows[:, 1].min()) + self.wait_us) // 1000 + 1
+        # an earlier timer registers the next one
+        if not any(timer <= at for timer in self.handle.listTimers()):
+            self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        given = [row for part in rows for row in zip(*(part[c].tolist() for c in self.columns))]
-        late, known = [r for r in given if r[0] < passed], [r for r in given if r[0] >= passed]
-        if known:
-            self.held.appendList(known)
-            self._wake(min(known))
-        if late:
-            yield self.late(key, late)
+        given = np.concatenate([np.stack([part[c].to_numpy(np.int64) for c in self.columns], axis=1) for part in rows])
+        late = given[:, 1] < passed
+        if not late.all():
+            self.held.appendValue((given[~late].tobytes(),))
+            self._wake(given[~late])
+        if late.any():
+            yield self.late(given[late])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(r) for r in self.held.get())
-        n = sum(r[0] + self.wait_us < passed for r in held)
-        if n:
-            self.held.put(held[n:]) if n < len(held) else self.held.clear()
-            if n < len(held):
-                self._wake(held[n])
-            found = self.take(key, held[:n], held[n:])
-            if found is not None:
-                yield found
-
-    def late(self, key, rows: list[tuple]) -> pd.DataFrame:
+        rows = np.frombuffer(b"".join(bytes(r[0]) for r in self.held.get()), np.int64).reshape(-1, len(self.columns))
+        if not (rows[:, 1] + self.wait_us < passed).any():
+            return
+        rows = rows[np.lexsort(rows.T[::-1])]
+        ready = rows[:, 1] + self.wait_us < passed
+        if ready.all():
+            self.held.clear()
+        else:
+            self.held.put([(rows[~ready].tobytes(),)])
+            # the timer that has expired is still listed
+            self.handle.registerTimer((int(rows[~ready, 1].min()) + self.wait_us) // 1000 + 1)
+        found = self.take(rows, ready)
+        if len(found):
+            yield found
+
+    def late(self, rows: np.ndarray) -> pd.DataFrame:
         raise NotImplementedError
 
-    def take(self, key, ready: list[tuple], rest: list[tuple]) -> pd.DataFrame | None:
+    def take(self, rows: np.ndarray, ready: np.ndarray) -> pd.DataFrame:
+        """What the rows that are ready decide, of rows by file and time."""
         raise NotImplementedError
 
     def close(self) -> None:
         pass
 
+    def over(self, rows: DataFrame, delay: str, groups: int) -> DataFrame:
+        """A stream of the columns as one of what the processor hands on; rows without a file or a time belong to no sequence and go, as in the batch form."""
+        known = rows.dropna(subset=["file_id", "pts_us"]).withColumn("frame_id", F.coalesce("frame_id", F.lit(_NO_FRAME)))
+        whole = clocked(known.select(*(F.col(c).cast("bigint").alias(c) for c in self.columns)), delay)
+        grouped = whole.withColumn("_files", F.pmod(F.hash("file_id"), F.lit(groups))).groupBy("_files")
+        return grouped.transformWithStateInPandas(self, self.schema, "append", "eventtime")
+
+
+#: Groups of files that share a value of state.
+GROUPS = 512
+#: Stands for a null frame_id among the rows held: nulls come first, as in the batch form.
+_NO_FRAME = -(1 << 63)
+
 
 class Debounce(_Ordered):
-    """Of each key's rows (pts_us, frame_id), those that no other of the key follows within the wait."""
+    """Of each file's rows (pts_us, frame_id), those that no other of the file follows within the wait."""
+
+    schema = "file_id bigint, pts_us bigint, frame_id bigint, late boolean"
 
     def __init__(self, wait_us: int):
         self.wait_us = wait_us
 
-    def take(self, key, ready, rest):
-        following = [*ready[1:], *rest[:1], None]
-        alone = [r for r, after in zip(ready, following) if after is None or after[0] - r[0] >= self.wait_us]
-        return self._frame(key, alone, False) if alone else None
+    def take(self, rows, ready):
+        alone = ready.copy()
+        alone[:-1] &= (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) >= self.wait_us)
+        return self._frame(rows[alone], False)
 
-    def late(self, key, rows):
-        return self._frame(key, rows, True)
+    def late(self, rows):
+        return self._frame(rows, True)
 
-    def _frame(self, key, rows: list[tuple], late: bool) -> pd.DataFrame:
-        return pd.DataFrame({"file_id": key[0], "pts_us": [r[0] for r in rows], "frame_id": [r[1] for r in rows], "late": late})
+    def _frame(self, rows: np.ndarray, late: bool) -> pd.DataFrame:
+        return pd.DataFrame({c: rows[:, k] for k, c in enumerate(self.columns)} | {"late": np.full(len(rows), late)})
 
 
 class HangEpisodes(_Ordered):
-    """Runs of each key's pings (pts_us, frame_id, active) that come later than the limit after the one before: one row when a ping in time ends the run."""
+    """Runs of each file's pings (pts_us, frame_id, active) that come later than the limit after the one before: one row when a ping in time ends the run."""
 
-    columns = ("pts_us", "frame_id", "active")
-    held_schema = "pts_us bigint, frame_id bigint, active boolean"
+    columns = ("file_id", "pts_us", "frame_id", "active")
+    schema = "file_id bigint, started_us bigint, longest_us bigint, n bigint, late boolean"
 
     def __init__(self, limit_us: int):
         self.limit_us = limit_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.run = handle.getValueState("run", "last_us bigint, started_us bigint, longest_us bigint, n bigint")
+        self.runs = handle.getValueState("runs", "file_last_started_longest_n binary")
 
-    def take(self, key, ready, rest):
-        last, started, longest, n = self.run.get() if self.run.exists() else (None, 0, 0, 0)
-        ended = []
-        for pts, _, active in ready:
+    def take(self, rows, ready):
+        runs = np.frombuffer(bytes(self.runs.get()[0]), np.int64).reshape(-1, 5).tolist() if self.runs.exists() else []
+        known, ended = {run[0]: run[1:] for run in runs}, []
+        for file, pts, _, active in rows[ready].tolist():
+            last, started, longest, n = known.get(file, (None, 0, 0, 0))
             if last is not None and pts - last > self.limit_us and active:
                 started = started if n else last
                 longest, n = max(longest, pts - last), n + 1
             elif n:
-                ended.append((started, longest, n))
+                ended.append((file, started, longest, n))
                 longest = n = 0
-            last = pts
-        self.run.update((last, started, longest, n))
-        return self._frame(key, ended, False) if ended else None
+            known[file] = pts, started, longest, n
+        self.runs.update((np.array([(file, *run) for file, run in known.items()], np.int64).tobytes(),))
+        return self._frame(ended, False)
 
-    def late(self, key, rows):
-        return self._frame(key, [(r[0], None, None) for r in rows], True)
+    def late(self, rows):
+        return self._frame([(file, pts, None, None) for file, pts in rows[:, :2].tolist()], True)
 
-    def _frame(self, key, rows: list[tuple], late: bool) -> pd.DataFrame:
-        columns = {c: pd.array([r[i] for r in rows], "Int64") for i, c in enumerate(("started_us", "longest_us", "n"))}
-        return pd.DataFrame({"file_id": key[0], **columns, "late": late})
+    def _frame(self, rows: list[tuple], late: bool) -> pd.DataFrame:
+        columns = {c: pd.array([r[k] for r in rows], "Int64") for k, c in enumerate(("file_id", "started_us", "longest_us", "n"))}
+        return pd.DataFrame(columns | {"late": np.full(len(rows), late)})
 
 
 def running_stats(rows: DataFrame, ttl_ms: int = 0) -> DataFrame:
@@ -159,17 +186,14 @@ def clocked(rows: DataFrame, delay: str) -> DataFrame:
     return rows.withColumn("_clock", F.timestamp_micros("pts_us")).withWatermark("_clock", delay).drop("_clock")
 
 
-def debounced(rows: DataFrame, wait_us: int, delay: str) -> DataFrame:
+def debounced(rows: DataFrame, wait_us: int, delay: str, groups: int = GROUPS) -> DataFrame:
     """A stream of file_id, pts_us and frame_id as one of the rows that none of their file follows within the wait, and of late rows."""
-    schema = "file_id bigint, pts_us bigint, frame_id bigint, late boolean"
-    return clocked(rows.select("file_id", "pts_us", "frame_id"), delay).groupBy("file_id").transformWithStateInPandas(Debounce(wait_us), schema, "append", "eventtime")
+    return Debounce(wait_us).over(rows, delay, groups).withColumn("frame_id", F.nullif("frame_id", F.lit(_NO_FRAME)))
 
 
-def hang_episodes(rows: DataFrame, limit_us: int, delay: str) -> DataFrame:
+def hang_episodes(rows: DataFrame, limit_us: int, delay: str, groups: int = GROUPS) -> DataFrame:
     """A stream of file_id, pts_us, frame_id and active as one of ended episodes (started_us, longest_us, n), and of late rows (started_us: their time)."""
-    schema = "file_id bigint, started_us bigint, longest_us bigint, n bigint, late boolean"
-    known = rows.select("file_id", "pts_us", "frame_id", F.coalesce("active", F.lit(False)).alias("active"))
-    return clocked(known, delay).groupBy("file_id").transformWithStateInPandas(HangEpisodes(limit_us), schema, "append", "eventtime")
+    return HangEpisodes(limit_us).over(rows.withColumn("active", F.coalesce("active", F.lit(False))), delay, groups)
 
 
 def drawn_or_missed(frames: DataFrame, detections: DataFrame, delay: str, within: str = "1 hour") -> DataFrame:

@@ -114,3 +114,20 @@ def test_each_frame_comes_once_and_state_shrinks(spark, tmp_path):
     assert sorted(found) == sorted((r[1], r[1] * 2 if r[3] else None) for r in rows)
     kept = [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in stream.progress if p["stateOperators"]]
     assert max(kept) > 20 and kept[-1] < 10
+
+
+@pytest.mark.parametrize("kind", ["debounced", "hang_episodes"])
+def test_state_doesnt_grow_with_files(spark, tmp_path, kind):
+    rng = random.Random(4)
+    rows = [(file, file * 10 + k, rng.randrange(900) * SECOND, True) for file in range(1500) for k in range(4)]
+    rows += [(7, None, 950 * SECOND, True), (None, 1, 5 * SECOND, True), (8, 2, None, True)]
+    rows += [(file, -1, 10**6 * SECOND, False) for file in range(1500)]
+    stream = Stream(spark, tmp_path, lambda r: getattr(stateful, kind)(r, 300 * SECOND, "1000 seconds"))
+    for part in (rows[:3000], rows[3000:-1500], rows[-1500:] + LAST):
+        stream.put(part)
+        found = stream.run().where("NOT late").drop("late", "batch", "pts_us")
+    wanted = getattr(seek, kind)(spark.createDataFrame(rows, SCHEMA), 300 * SECOND)
+    if kind == "debounced":
+        found, wanted = found.where("frame_id IS NULL OR frame_id >= 0"), wanted.where("frame_id IS NULL OR frame_id >= 0").select("file_id", "frame_id")
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+    assert max(op["numRowsTotal"] for p in stream.progress for op in p["stateOperators"]) <= 600
