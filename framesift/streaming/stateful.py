@@ -108,7 +108,7 @@ class _Ordered(StatefulProcessor):
 
     def over(self, rows: DataFrame, delay: str, groups: int) -> DataFrame:
         """A stream of the columns as one of what the processor hands on; rows without a file or a time belong to no sequence and go, as in the batch form."""
-        known = rows.dropna(subset=["file_id", "pts_us"]).withColumn("frame_id", F.coalesce("frame_id", F.lit(_NO_FRAME)))
+        known = rows.dropna(subset=["file_id", "pts_us"]).withColumn("frame_id", F.coalesce("frame_id", F.lit(_NONE)))
         whole = clocked(known.select(*(F.col(c).cast("bigint").alias(c) for c in self.columns)), delay)
         grouped = whole.withColumn("_files", F.pmod(F.hash("file_id"), F.lit(groups))).groupBy("_files")
         return grouped.transformWithStateInPandas(self, self.schema, "append", "eventtime")
@@ -116,8 +116,8 @@ class _Ordered(StatefulProcessor):
 
 #: Groups of files that share a value of state.
 GROUPS = 512
-#: Stands for a null frame_id among the rows held: nulls come first, as in the batch form.
-_NO_FRAME = -(1 << 63)
+#: Stands for a null among the rows held: nulls come first, as in the batch form.
+_NONE = -(1 << 63)
 
 
 class Debounce(_Ordered):
@@ -188,7 +188,7 @@ def clocked(rows: DataFrame, delay: str) -> DataFrame:
 
 def debounced(rows: DataFrame, wait_us: int, delay: str, groups: int = GROUPS) -> DataFrame:
     """A stream of file_id, pts_us and frame_id as one of the rows that none of their file follows within the wait, and of late rows."""
-    return Debounce(wait_us).over(rows, delay, groups).withColumn("frame_id", F.nullif("frame_id", F.lit(_NO_FRAME)))
+    return Debounce(wait_us).over(rows, delay, groups).withColumn("frame_id", F.nullif("frame_id", F.lit(_NONE)))
 
 
 def hang_episodes(rows: DataFrame, limit_us: int, delay: str, groups: int = GROUPS) -> DataFrame:
@@ -196,15 +196,99 @@ def hang_episodes(rows: DataFrame, limit_us: int, delay: str, groups: int = GROU
     return HangEpisodes(limit_us).over(rows.withColumn("active", F.coalesce("active", F.lit(False))), delay, groups)
 
 
-def drawn_or_missed(frames: DataFrame, detections: DataFrame, delay: str, within: str = "1 hour") -> DataFrame:
+class DrawnOrMissed(StatefulProcessor):
+    """Pairs of frames and detections as they come; a frame that has none goes out when the watermark passes the end of its time.
+
+    Rows are held by groups of frames as one binary value for each micro-batch, as in ``_Ordered``: Spark's own outer join of two
+    streams asks the state store several times a row and goes through all state in every micro-batch. Both sides are held
+    until the watermark passes their ``until_us``, so that a frame's detections are still there when it is decided.
+    """
+
+    columns = ("frame_id", "at_us", "until_us", "n")
+    schema = "frame_id bigint, n bigint"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.rows = handle, handle.getListState("rows", "rows binary")
+
+    def _held(self) -> np.ndarray:
+        return np.frombuffer(b"".join(bytes(r[0]) for r in self.rows.get()), np.int64).reshape(-1, len(self.columns))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        given = np.concatenate([np.stack([part[c].to_numpy(np.int64) for c in self.columns], axis=1) for part in rows])
+        held, over = self._held(), given[:, 2] <= passed
+        (old_frames, old_found), (frames, found) = self._sides(held), self._sides(given)
+        for left, right in ((frames, np.concatenate([old_found, found])), (old_frames, found)):
+            at, size, order = self._near(left, right)
+            if size.any():
+                first = np.repeat(at - np.cumsum(size) + size, size)
+                yield self._frame(np.repeat(left[:, 0], size), right[order[first + np.arange(len(first))], 3])
+            if left is frames and (gone := (size == 0) & (frames[:, 2] <= passed)).any():
+                yield self._frame(frames[gone, 0], None)
+        given = given[~over]
+        if not len(given):
+            return
+        self.rows.appendValue((given.tobytes(),))
+        due = int(given[:, 2].min()) // 1000 + 1
+        # an earlier timer registers the next one
+        if not len(held) or due < int(held[:, 2].min()) // 1000 + 1:
+            self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, rows = timerValues.getCurrentWatermarkInMs() * 1000, self._held()
+        ready = rows[:, 2] <= passed
+        if not ready.any():
+            return
+        if ready.all():
+            self.rows.clear()
+        else:
+            self.rows.put([(rows[~ready].tobytes(),)])
+            self.handle.registerTimer(int(rows[~ready, 2].min()) // 1000 + 1)
+        frames, found = self._sides(rows)
+        frames = frames[frames[:, 2] <= passed]
+        missed = frames[self._near(frames, found)[1] == 0, 0]
+        if len(missed):
+            yield self._frame(missed, None)
+
+    @staticmethod
+    def _sides(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        seen = rows[:, 3] != _NONE
+        return rows[~seen], rows[seen]
+
+    @staticmethod
+    def _near(frames: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each frame, where its detections begin and how many they are, in the order of ``found`` that comes third."""
+        # a frame's time sorts before equal times of detections, its end after them
+        kinds = np.repeat(np.array([0, 1, 2], np.int8), (len(frames), len(found), len(frames)))
+        times = np.concatenate([frames[:, 1], found[:, 1], frames[:, 2]])
+        order = np.lexsort((kinds, times, np.concatenate([frames[:, 0], found[:, 0], frames[:, 0]])))
+        before = np.empty(len(order), np.int64)
+        before[order] = np.cumsum(kinds[order] == 1)
+        begin = before[: len(frames)]
+        return begin, before[len(frames) + len(found) :] - begin, order[kinds[order] == 1] - len(frames)
+
+    def _frame(self, ids: np.ndarray, n: np.ndarray | None) -> pd.DataFrame:
+        return pd.DataFrame({"frame_id": ids, "n": pd.array([None] * len(ids) if n is None else n, "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def drawn_or_missed(frames: DataFrame, detections: DataFrame, delay: str, within: str = "1 hour", groups: int = GROUPS) -> DataFrame:
     """Frames (frame_id, at) joined to detections (frame_id, at, n) that come up to ``within`` after them: each frame once, with n, or null once the watermark rules one out.
 
     Both sides' state goes when the watermark passes it. The watermark follows the slower stream, so
     detections that bring nothing have to go on telling the time: their rows with a null n do only that.
+    A frame with several detections comes with each. A frame whose time is over when it comes, or that has
+    no time, goes out at once, with what is held then or without.
     """
-    left = frames.select("frame_id", "at").withWatermark("at", delay).alias("f")
+    until = F.col("at") + F.expr(f"INTERVAL {within}")
+    whole = lambda rows, n: rows.select(F.coalesce("frame_id", F.lit(_NONE)).alias("frame_id"), *(F.coalesce(F.unix_micros(c), F.lit(_NONE)).alias(k) for c, k in ((F.col("at"), "at_us"), (until, "until_us"))), n.cast("bigint").alias("n"))
+    left = frames.select("frame_id", "at").withWatermark("at", delay)
     # the condition names the time, so that it stays above the watermark
-    real = F.when(F.col("at").isNotNull(), F.col("n").isNotNull())
-    right = detections.select("frame_id", "at", "n").withWatermark("at", delay).where(real).alias("d")
-    near = F.expr(f"d.frame_id = f.frame_id AND d.at >= f.at AND d.at <= f.at + INTERVAL {within}")
-    return left.join(right, near, "leftOuter").select("f.frame_id", "d.n")
+    real = F.when(F.col("at").isNotNull(), F.col("n").isNotNull() & F.col("frame_id").isNotNull())
+    right = detections.select("frame_id", "at", "n").withWatermark("at", delay).where(real)
+    both = whole(left, F.lit(_NONE)).unionByName(whole(right, F.col("n")))
+    grouped = both.withColumn("_frames", F.pmod(F.hash("frame_id"), F.lit(groups))).groupBy("_frames")
+    found = grouped.transformWithStateInPandas(DrawnOrMissed(), DrawnOrMissed.schema, "append", "eventtime")
+    return found.select(F.nullif("frame_id", F.lit(_NONE)).alias("frame_id"), "n")

@@ -131,3 +131,31 @@ def test_state_doesnt_grow_with_files(spark, tmp_path, kind):
         found, wanted = found.where("frame_id IS NULL OR frame_id >= 0"), wanted.where("frame_id IS NULL OR frame_id >= 0").select("file_id", "frame_id")
     assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
     assert max(op["numRowsTotal"] for p in stream.progress for op in p["stateOperators"]) <= 600
+
+
+def test_frames_meet_detections_of_other_batches(spark, tmp_path):
+    rng, within = random.Random(6), 30 * SECOND
+    # file_id is a detection's n; ids repeat, so that frames have none, one or several in reach
+    rows = [(None if k % 9 == 0 else k, rng.randrange(700), rng.randrange(900) * SECOND, k % 2 == 0) for k in range(6000)]
+    parts = by_time(rows, 100 * SECOND, 3, seed=2)
+    parts[1] += [(None, 5, None, False), (3, 5, None, True), (None, None, 450 * SECOND, False), (4, None, 450 * SECOND, True)]
+    parts += [[(None, -1, 10**6 * SECOND, active) for active in (False, True)], [(None, 8, 1 * SECOND, False), (None, -2, 2 * 10**6 * SECOND, False), (None, -2, 2 * 10**6 * SECOND, True)]]
+
+    def job(r):
+        timed = r.withColumn("at", F.timestamp_micros("pts_us")).withColumn("n", F.col("file_id"))
+        return stateful.drawn_or_missed(timed.where("NOT active"), timed.where("active"), "200 seconds", "30 seconds")
+
+    stream = Stream(spark, tmp_path, job)
+    for part in parts:
+        stream.put(part)
+        found = stream.run()  # a stop and a restart after each
+    given = [r for part in parts for r in part if r[1] is None or r[1] >= 0]
+    seen = [r for r in given if r[3] and None not in r]
+    wanted = []
+    for _, frame, at, active in given:
+        if not active:
+            # the frame of second 1 that comes last is over, and so are its detections
+            n = [] if at in (None, SECOND) and frame in (5, 8) else [d[0] for d in seen if d[1] == frame and at <= d[2] <= at + within]
+            wanted += [(frame, k) for k in n or [None]]
+    assert sorted(map(str, wanted)) == sorted(str((r.frame_id, r.n)) for r in found.where("frame_id IS NULL OR frame_id >= 0").collect())
+    assert max(op["numRowsTotal"] for p in stream.progress for op in p["stateOperators"]) <= 2000
