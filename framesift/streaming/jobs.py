@@ -96,6 +96,11 @@ ANY_ORDER = "400 days"
 _STAGED = "file_id bigint, frame_id bigint, pts_us bigint, event_type string, value double, active boolean"
 
 
+def state_partitions(spark: SparkSession) -> int:
+    """Partitions of a stream's state: the session's, but no more than tasks that run at once. Each has a store that every micro-batch opens and commits, whatever it holds."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, spark.sparkContext.defaultParallelism))
+
+
 def in_two_runs(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFrame], files: int = 4, mode: str = "append") -> DataFrame:
     """What a stream over the event table has written when it has seen all of it.
 
@@ -104,6 +109,7 @@ def in_two_runs(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], Dat
     goes on from its checkpoint, so that every timer and every outer join is settled.
     """
     session, folder = stateful.with_rocksdb(spark), _folder(spark)
+    session.conf.set("spark.sql.shuffle.partitions", str(state_partitions(spark)))
     given = session.read.parquet(f"{sf_dir}/events.parquet")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = given.select(F.col("user_id").alias("file_id"), F.col("event_id").alias("frame_id"), at.alias("pts_us"), "event_type", "value", (F.col("event_type") != "signup").alias("active"))

@@ -1,12 +1,13 @@
 """Stream state that survives a stop, timers, late rows and the outer join of two streams, over several micro-batches."""
 
+import glob
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from framesift.operators import seek
-from framesift.streaming import stateful
+from framesift.streaming import jobs, stateful
 
 SECOND = 1_000_000
 SCHEMA = "file_id bigint, frame_id bigint, pts_us bigint, active boolean"
@@ -159,3 +160,14 @@ def test_frames_meet_detections_of_other_batches(spark, tmp_path):
             wanted += [(frame, k) for k in n or [None]]
     assert sorted(map(str, wanted)) == sorted(str((r.frame_id, r.n)) for r in found.where("frame_id IS NULL OR frame_id >= 0").collect())
     assert max(op["numRowsTotal"] for p in stream.progress for op in p["stateOperators"]) <= 2000
+
+
+def test_state_has_no_more_partitions_than_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(jobs, "_folder", lambda spark: f"file://{tmp_path}/run")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        jobs.running_stats(spark, sf_dir)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert len(glob.glob(f"{tmp_path}/run/state/state/0/[0-9]*")) == 8
